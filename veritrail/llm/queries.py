@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import ann, decontamination, licenses, packing, simhash, url_filters
+from veritrail.llm import ann, decontamination, licenses, packing, quality, simhash, toxicity, url_filters
 from veritrail.llm.common import table
 
 #: The rule list of the URL filter: (host, path, verdict).
@@ -25,6 +25,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.learned(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,8 +51,13 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op3_decontamination, op4_packing, op5_license_scan, op7_simhash, op8_nearest)}
+    return {f.__name__: f for f in (op1_url_filters, op2_quality, op3_decontamination, op4_packing, op5_license_scan, op7_simhash, op8_nearest, op10_toxicity)}
 
 
 _OP1_SQL = """

@@ -120,23 +120,27 @@ def words(chunk: Chunk, kind: np.ndarray = ALNUM) -> Words:
     return Words(starts, ends, np.searchsorted(starts, chunk.offsets, "left"))
 
 
-def word_hashes(chunk: Chunk, w: Words) -> np.ndarray:
-    """A 64-bit hash of each word: equal words, equal hashes, in any document and batch."""
-    out = np.empty(len(w), np.uint64)
+def span_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span: equal bytes, equal hashes, in any document and batch. Both bounds ascend."""
+    out = np.empty(len(starts), np.uint64)
     i = 0
-    while i < len(w):
-        j = max(i + 1, int(np.searchsorted(w.ends, w.starts[i] + PIECE, "right")))
-        base = w.starts[i]
-        piece = chunk.low[base : w.ends[j - 1]]
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
+        base = starts[i]
+        piece = low[base : ends[j - 1]]
         up, down = powers(len(piece))
         x = (piece.astype(np.uint64) + np.uint64(1)) * up
         total = np.cumsum(x)
-        s, e = w.starts[i:j] - base, w.ends[i:j] - base
+        s, e = starts[i:j] - base, ends[i:j] - base
         out[i:j] = mix((total[e - 1] - total[s] + x[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         i = j
     return out
 
 
+def word_hashes(chunk: Chunk, w: Words) -> np.ndarray:
+    return span_hashes(chunk.low, w.starts, w.ends)
+
+
 def shingles(hashes: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k consecutive words of each document, and of each document the first (n + 1 entries)."""
     counts = np.maximum(np.diff(of) - (k - 1), 0)
