@@ -135,3 +135,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = written(placed.select("fp", "root").join(ids, "root").select(F.col("fp").alias("class_fp"), "component_id"), "components")
     return prints.join(labelled, prints.fp == labelled.class_fp).select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component, that of the least id.
+
+    Rows of one id are one document, of which one row stays. Documents with a null id all stay.
+    """
+    found = groups(docs, id_col, text_col)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
