@@ -61,11 +61,11 @@ def anti_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT coalesce(c.k, o.k) AS custkey, CASE WHEN o.k IS NULL THEN 'declared_not_used' ELSE 'used_not_declared' END AS problem
-    FROM (SELECT DISTINCT c_custkey AS k FROM customer) c FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON c.k = o.k WHERE c.k IS NULL OR o.k IS NULL""")
+    FROM (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0) c FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P') o ON c.k = o.k WHERE c.k IS NULL OR o.k IS NULL""")
 def exact_cover_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared constants (customers) against used ones (orders)."""
-    declared = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"))
-    return dedupe.cover_violations(declared, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey")), "custkey")
+    """Declared constants (customers in credit) against used ones (of orders with status P)."""
+    declared = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"))
+    return dedupe.cover_violations(declared, table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("custkey")), "custkey")
 
 
 @query("""

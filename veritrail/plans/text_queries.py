@@ -222,17 +222,17 @@ def secret_key_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_]+=[^ \t\n\r\f\v]+')) AS field FROM documents),
-    s AS (SELECT doc_id, split_part(field, '=', 1) AS name, substring(field, length(split_part(field, '=', 1)) + 2) AS v FROM f)
+    WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_]+ ?= ?[^ \t\n\r\f\v]+')) AS field FROM documents),
+    s AS (SELECT doc_id, trim(split_part(field, '=', 1)) AS name, trim(substring(field, length(split_part(field, '=', 1)) + 2), ' "') AS v FROM f)
     SELECT doc_id, name, CASE WHEN regexp_matches(name, '(?i)key|token|secret|password|authorization|credential') OR regexp_matches(v, '(sk-|AIza|ghp_|gho_|ghu_|ghs_|ghr_|xox[a-z]-)[A-Za-z0-9_\-]{6,}')
         OR (regexp_matches(v, '^[A-Za-z0-9_\-]{20,}$') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')) THEN '[REDACTED]' ELSE v END AS value FROM s""")
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key=value fields in documents with secret values redacted."""
-    fields = F.regexp_extract_all("text", F.lit(r"[A-Za-z_]+=[^ \t\n\r\f\x0B]+"), F.lit(0))
+    fields = F.regexp_extract_all("text", F.lit(r"[A-Za-z_]+ ?= ?[^ \t\n\r\f\x0B]+"), F.lit(0))
     found = table(spark, sf_dir, "documents").select("doc_id", F.explode(fields).alias("field"))
     name = F.split_part("field", F.lit("="), F.lit(1))
-    value = F.substr("field", F.length(name) + 2)
-    return found.select("doc_id", name.alias("name"), web.redacted_value(name, value).alias("value"))
+    value = F.btrim(F.substr("field", F.length(name) + 2), F.lit(' "'))
+    return found.select("doc_id", F.trim(name).alias("name"), web.redacted_value(F.trim(name), value).alias("value"))
 
 
 @query(r"""

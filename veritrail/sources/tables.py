@@ -20,7 +20,7 @@ def read_json_objects(spark: SparkSession, path: str, schema: StructType) -> Dat
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Files as rows: (path, raw, size, sha) with sha the SHA-256 of the bytes, which is an artifact's address."""
+    """Files as rows: (path, raw, size, sha) with sha the SHA-256 of the bytes, which is an artifact's address. Spark lists no empty files."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.col("content").alias("raw"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha"))
 
