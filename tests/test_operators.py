@@ -171,3 +171,77 @@ def test_diagnostics(spark):
     assert [r.n for r in frame(spark, [("iteration_12",), ("odd",)], "x string").select(diagnostics.iteration_number(F.col("x")).alias("n")).collect()] == [12, -1]
     asked, ok, done = (frame(spark, [(1, x) for x in v], "g int, label string") for v in (["a", "b", "c"], ["a", "b"], ["a"]))
     assert diagnostics.quality(asked, ok, done, "g", "label").first() == (1, 3, 2, 1, ["b", "c"], False)
+
+
+def test_providers_give_candidates_of_the_wanted_paper_only(spark):
+    import json
+
+    from veritrail.operators import providers
+
+    doi = "10.1/x"
+    answers = [
+        ("openalex", {"best_oa_location": {"pdf_url": "a"}, "locations": [{"is_oa": True, "pdf_url": "b"}, {"is_oa": False, "pdf_url": "c"}, {"is_oa": True, "pdf_url": "a"}, 5]}, [("a", 0), ("b", 1)]),
+        ("unpaywall", {"best_oa_location": None, "oa_locations": [{"url_for_pdf": "u"}, {"url_for_pdf": 7}]}, [("u", 1)]),
+        ("crossref", {"message": {"link": [{"URL": "l", "content-type": "application/pdf", "intended-application": "text-mining"}, {"URL": "m", "content-type": "text/html", "intended-application": "text-mining"}]}}, [("l", 0)]),
+        ("semantic_scholar", {"openAccessPdf": {"url": "s", "status": "GOLD"}}, [("s", 0)]),
+        ("core", {"results": [{"doi": "https://doi.org/10.1/X", "downloadUrl": "d", "links": [{"type": "download", "url": "e"}], "sourceFulltextUrls": ["f", "d"]}, {"doi": "10.9/other", "downloadUrl": "z"}]}, [("d", 1), ("e", 1), ("f", 1)]),
+        ("doaj", {"results": [{"bibjson": {"identifier": [{"type": "doi", "id": "10.1/x"}], "link": [{"type": "fulltext", "url": "h", "content_type": "HTML"}, {"type": "fulltext", "url": "p", "content_type": "pdf"}]}}]}, [("p", 0), ("h", 0)]),
+        ("europepmc", {"resultList": {"result": [{"doi": "10.1/x", "fullTextUrlList": {"fullTextUrl": [{"documentStyle": "pdf", "url": "q"}, {"documentStyle": "html", "url": "r"}]}}]}}, [("q", 1)]),
+        ("chemrxiv", {"itemHits": [{"item": {"title": "The Title!", "asset": {"original": {"url": "t"}}}}, {"item": {"title": "Other", "asset": {"original": {"url": "w"}}}}]}, [("t", 2)]),
+    ]
+    rows = [(k, doi, "the title", name, json.dumps(payload)) for k, (name, payload, _) in enumerate(answers)] + [(99, doi, "t", "openalex", "no json"), (98, doi, "t", "core", "[1]")]
+    found = {}
+    for r in providers.candidates(frame(spark, rows, "paper int, doi string, title string, provider string, payload string")).orderBy("paper", "position").collect():
+        found.setdefault(r.paper, []).append((r.url, r.tier))
+    assert found == {k: want for k, (_, _, want) in enumerate(answers)}
+
+
+def test_constructs_and_refuted_claims(spark):
+    from veritrail.operators import stitching
+
+    text = "😀 At 1200 K and 1.0/1.5 atm the speed was 35 cm/s; p = 10 bar\nrun 5\nK3 2.5 s-1 at 7K"
+    found = stitching.constructs(frame(spark, [(1, text), (2, None), (3, "none")], "doc_id long, text string"))
+    spans = {(text[r.value_start : r.value_end], text[r.unit_start : r.unit_end]): r for r in found.collect()}
+    assert {("1200", "K"), ("35", "cm/s"), ("10", "bar"), ("7", "K")} <= set(spans) and ("1.5", "atm") not in spans and ("5", "K") not in spans
+    at = lambda s, k=0: (text.index(s, k), text.index(s, k) + len(s))
+    claim = lambda i, label, value, unit, q: (i, 1, *at(label), *at(value), *at(unit), q)
+    claims = [claim(1, "speed", "35", "cm/s", "velocity"), claim(2, "At", "1200", "K", "pressure"), claim(3, "At", "35", "cm/s", "velocity"), claim(4, "the", "speed", "was", "velocity"), claim(5, "was", "cm/s", "35", "velocity")]
+    df = frame(spark, claims, "claim_id int, doc_id long, label_start int, label_end int, value_start int, value_end int, unit_start int, unit_end int, quantity string")
+    assert {r.claim_id: r.refutation for r in stitching.refuted(df, found).collect()} == {1: None, 2: "other_quantity", 3: "several_constructs", 4: "no_construct", 5: "other_place"}
+
+
+def test_identity_is_a_strict_conjunction(spark):
+    from veritrail.operators import identity
+
+    body = "Laminar flame speeds of toluene in air\nJane Smith, 2012\nDOI 10.1016/j.cf.1\n" + "text " * 200
+    cited = "A review of flames\nBob Roe 2020\n" + "text " * 200 + "\nReferences\nSmith, J. Laminar flame speeds of toluene in air (2012) 10.1016/j.cf.1"
+    title = "Laminar flame speeds of toluene in air"
+    rows = [
+        (1, body, "10.1016/j.cf.1", title, ["Smith, J."], 2012, True), (2, cited, "10.1016/j.cf.1", title, ["Smith, J."], 2012, False), (3, body, None, title, ["Smith, J."], 2012, True),
+        (4, body, None, title, [], 2012, False), (5, body, None, title, ["Smith, J."], 1999, False), (6, "Erratum: " + body, "10.1016/j.cf.1", title, ["Smith"], 2012, False),
+        (7, body.replace("flame speeds", "ame speeds"), "10.1016/j.cf.1", title, ["Smith"], 2012, True), (8, body.replace("toluene", "benzene"), "10.1016/j.cf.1", title, ["Smith"], 2012, False),
+    ]
+    df = frame(spark, rows, "k int, text string, doi string, title string, authors array<string>, year int, want boolean")
+    assert {r.k: r.identity for r in identity.confirmed(df).collect()} == {r[0]: r[-1] for r in rows}
+    assert identity.missing_token("flow in a tue", "flow in a tube") is None and identity.missing_token("methanol flame", "methane flame") == "methane" and identity.missing_token("d2 flame", "h2 flame") == "h2"
+
+
+def test_affixes_and_edges(spark):
+    from veritrail.functions import affixes
+
+    df = frame(spark, [(1, " ± "), (2, "(cid:12)"), (3, "≤"), (4, "x"), (5, ""), (6, "·")], "k int, x string")
+    assert [r.a for r in df.orderBy("k").select(affixes.affix_class(F.col("x")).alias("a")).collect()] == ["sign", "sign", "relational", None, None, "exponent"]
+    cases = [("1023K", 4, 5, True), ("Kinetics", 0, 1, False), ("12.5", 3, 4, False), ("1,000", 0, 1, False), ("1023K", 0, 4, True), ("a b", 2, 3, True), ("xy", 1, 1, True)]
+    df = frame(spark, cases, "t string, s int, e int, want boolean")
+    assert all(r.got == r.want for r in df.select("want", affixes.clean_edges(F.col("t"), F.col("s"), F.col("e")).alias("got")).collect())
+
+
+def test_migrations(spark):
+    from veritrail.operators import migrations
+
+    old = frame(spark, [("r", 1, ["a", "b"]), ("q", 2, None)], "report_id string, calls int, covered array<string>")
+    made = migrations.covered_pairs(migrations.report_to_passes(old, ["calls"])).orderBy("report_id").collect()
+    assert made[1].passes == [(1,)] and made[1].covered == [("a", "root"), ("b", "root")] and made[0].covered == []
+    assert migrations.manifest(frame(spark, [("s", None)], "slug string, status string")).first() == ("s", "requested", "", 0, "")
+    held, fresh = frame(spark, [("a", 1)], "sha string, n int"), frame(spark, [("a", 2), ("b", 3)], "sha string, n int")
+    assert {tuple(r) for r in migrations.appended(held, fresh).collect()} == {("a", 1), ("b", 3)}

@@ -70,11 +70,11 @@ def exact_cover_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT coalesce(o.k, c.c_custkey) AS custkey, coalesce(o.status, c.c_mktsegment) AS note, coalesce(c.c_name, 'new-' || o.k) AS owner
-    FROM (SELECT c_custkey, c_mktsegment, c_name FROM customer WHERE c_custkey % 3 <> 0) c
+    FROM (SELECT c_custkey, c_mktsegment, c_name FROM customer WHERE c_acctbal > 0) c
     FULL JOIN (SELECT o_custkey AS k, max(o_orderstatus) AS status FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.k""")
 def upsert_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests (customers) merged with fresh metadata (orders): notes are filled, owners are kept."""
-    held = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("note"), F.col("c_name").alias("owner"))
+    """Requests (customers in credit) merged with fresh metadata (orders): notes are filled, owners are kept."""
+    held = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("note"), F.col("c_name").alias("owner"))
     fresh = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.max("o_orderstatus").alias("note"))
     return dedupe.merged(held, fresh.withColumn("owner", F.concat(F.lit("new-"), F.col("custkey"))), "custkey", ["note"], ["owner"])
 
@@ -239,13 +239,14 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH RECURSIVE e AS (SELECT n_nationkey AS node, (n_nationkey * 7 + 3) % 25 AS parent FROM nation WHERE n_nationkey % 6 <> 0),
-    w(origin, node, depth) AS (SELECT node, parent, 1 FROM e UNION ALL SELECT w.origin, e.parent, w.depth + 1 FROM w JOIN e ON e.node = w.node WHERE w.node <> w.origin AND w.depth < 100)
+    WITH RECURSIVE e AS (SELECT n_nationkey AS node, CASE WHEN n_regionkey <> 0 THEN (n_nationkey * 7 + 3) % 25 END AS parent FROM nation),
+    w(origin, node, depth) AS (SELECT node, parent, 1 FROM e WHERE parent IS NOT NULL UNION ALL SELECT w.origin, e.parent, w.depth + 1 FROM w JOIN e ON e.node = w.node WHERE e.parent IS NOT NULL AND w.node <> w.origin AND w.depth < 100)
     SELECT DISTINCT origin AS node FROM w WHERE origin = node""")
 def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes on cycles of a graph over nations."""
+    """Nodes on cycles of a graph over nations; those of the first region are roots."""
     n = F.col("n_nationkey")
-    return integrity.on_cycles(spark, table(spark, sf_dir, "nation").where(n % 6 != 0).select(n.alias("node"), ((n * 7 + 3) % 25).alias("parent")))
+    parent = F.when(F.col("n_regionkey") != 0, (n * 7 + 3) % 25)
+    return integrity.on_cycles(spark, table(spark, sf_dir, "nation").select(n.alias("node"), parent.alias("parent")))
 
 
 @query("""
@@ -281,18 +282,17 @@ def exactly_one_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH s AS (SELECT doc_id, doc_id % 4 AS k, substring(text, 11, 30) AS slice, length(text) AS n FROM documents),
-    c AS (SELECT doc_id, CASE WHEN k = 1 THEN 'no_text' WHEN n < 40 THEN 'out_of_range' WHEN k = 2 THEN 'differs' ELSE 'matches' END AS chk FROM s)
+    WITH s AS (SELECT doc_id, lang AS k, length(text) AS n FROM documents),
+    c AS (SELECT doc_id, CASE WHEN k = 'fr' THEN 'no_text' WHEN n < 40 THEN 'out_of_range' WHEN k = 'de' THEN 'differs' ELSE 'matches' END AS chk FROM s)
     SELECT doc_id, count(*) AS n_checks, count(*) FILTER (WHERE chk IN ('differs', 'out_of_range')) AS n_failed, count(*) FILTER (WHERE chk = 'no_text') AS n_unverifiable,
         CASE WHEN count(*) FILTER (WHERE chk IN ('differs', 'out_of_range')) > 0 THEN 'failed' WHEN count(*) FILTER (WHERE chk = 'no_text') > 0 THEN 'unverifiable' ELSE 'verified' END AS outcome
     FROM c GROUP BY doc_id""")
 def replay_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded spans of documents re-sliced: a quarter has lost its text, a quarter was altered."""
+    """Recorded spans of documents re-sliced: French ones have lost their text, German ones were altered."""
     docs = table(spark, sf_dir, "documents")
-    k = F.col("doc_id") % 4
-    recorded = F.when(k == 2, F.lit("altered")).otherwise(F.substring("text", 11, 30))
+    recorded = F.when(F.col("lang") == "de", F.lit("altered")).otherwise(F.substring("text", 11, 30))
     spans = docs.select("doc_id", F.lit(10).alias("start"), F.lit(40).alias("end"), recorded.alias("recorded"))
-    return replay.outcomes(replay.checked_spans(spans, docs.where(k != 1)), "doc_id")
+    return replay.outcomes(replay.checked_spans(spans, docs.where("lang <> 'fr'")), "doc_id")
 
 
 _PTS = "SELECT event_id, user_id, value AS y, (event_id % 400)::DOUBLE AS x FROM events"

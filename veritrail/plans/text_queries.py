@@ -251,12 +251,13 @@ def doi_and_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH w AS (SELECT i.item_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(i.text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 2)) AS words FROM benchmark i),
-    s AS (SELECT w.item_id, d.doc_id, len(list_filter(w.words, lambda x: contains(lower(substring(d.text, 1, 6000)), x)))::DOUBLE / len(w.words) AS share FROM w JOIN documents d ON d.doc_id = w.item_id WHERE len(w.words) > 0)
-    SELECT item_id, doc_id, round(share, 9) AS share, share >= 0.8 AS ok FROM s""")
+    WITH w AS (SELECT b.item_id, b.text, list_distinct(list_filter(string_split(trim(regexp_replace(lower(b.text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 2)) AS words FROM benchmark b),
+    s AS (SELECT b.item_id, d.doc_id, len(list_filter(b.words, lambda x: contains(lower(substring(d.text, 1, 6000)), x)))::DOUBLE / len(b.words) AS share FROM w b JOIN documents d ON contains({doc}, {item}) WHERE length({item}) >= 20 AND len(b.words) > 0)
+    SELECT item_id, doc_id, round(share, 9) AS share, share >= 0.8 AS ok FROM s""".format(doc=_DOC, item=_ITEM))
 def title_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of an item's words in the front of the document of the same number."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"))
-    joined = table(spark, sf_dir, "documents").join(items, F.col("doc_id") == F.col("item_id"))
+    """Shares of an item's words in the front of the documents that hold the item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    places = quotes.first_places(quotes.occurrences(docs, items)).select("item_id", "doc_id")
+    joined = places.join(items.select("item_id", F.col("text").alias("title")), "item_id").join(docs, "doc_id")
     i = acquisition.identity(F.col("text"), F.lit(None).cast("string"), F.col("title"))
     return joined.select("item_id", "doc_id", i.alias("i")).select("item_id", "doc_id", F.round("i.share", 9).alias("share"), "i.ok")
