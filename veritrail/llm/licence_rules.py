@@ -50,7 +50,7 @@ NAMES = [
     ("bsd-2", "bsd", f"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd) {_LICENSE}", "bsd 2 clause"),
     ("bsd-3", "bsd", f"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd) {_LICENSE}", "bsd 3 clause"),
     ("bsd-4", "bsd", f"(?:original bsd|bsd 4 clause|4 clause bsd) {_LICENSE}", "bsd 4 clause"),
-    ("0bsd", "bsd", f"(?:zero clause bsd|bsd zero clause|0bsd|free public) {_LICENSE}", "0bsd"),
+    ("0bsd", "bsd", f"(?:zero clause bsd|bsd zero clause|0bsd) {_LICENSE}", "0bsd"),
     ("bsd", "bsd", f"bsd(?: style)? {_LICENSE}", ""),
     ("isc", "isc", f"isc {_LICENSE}", "isc"),
     ("zlib", "zlib", f"zlib(?: libpng)? {_LICENSE}", "zlib"),
@@ -70,7 +70,8 @@ NAMES = [
     ("wtfpl", "wtfpl", f"wtfpl(?: {_LICENSE})?", "wtfpl"),
     ("unlicense", "unlicense", "(?:the )?unlicense(?: license)?", "unlicense"),
     ("postgresql", "postgresql", f"postgresql {_LICENSE}", "postgresql"),
-    ("python-2", "python", f"(?:python software foundation|psf) {_LICENSE}(?: version 2)?", "(?:psf|python) 2 0"),
+    ("python-2", "python", f"python software foundation {_LICENSE}(?: version 2)?", "(?:psf|python) 2 0"),
+    ("python-2", "psf", f"psf {_LICENSE}(?: version 2)?", ""),
     ("ruby", "ruby", f"ruby {_LICENSE}", "ruby"),
     ("php-3", "php", f"php {_LICENSE}(?: version)?(?: 3 0(?: 1)?)?", "php 3 0(?: 1)?"),
     ("ofl-1.1", "open font", f"(?:sil )?open font {_LICENSE}(?: version)?(?: 1 1)?", "ofl 1 1"),
@@ -113,7 +114,7 @@ SENTENCES = [
     ("bsd-4", 3, 0.95, "all advertising materials", "all advertising materials mentioning features or use of this software"),
     ("apache-2", 3, 0.97, "you may not use this file", "you may not use this file except in compliance with the license"),
     ("gpl", 3, 0.9, "free software you can", "this program is free software you can redistribute it and or modify it"),
-    ("gpl", 2, 0.8, "without any warranty", "without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", 2, 0.8, "without even the implied", "without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("mpl-2", 3, 0.97, "this source code form", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("zlib", 3, 0.95, "provided as is", "this software is provided as is without any express or implied warranty in no event"),
     ("unlicense", 3, 0.97, "released into the public domain", "free and unencumbered software released into the public domain"),

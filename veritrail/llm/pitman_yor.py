@@ -323,6 +323,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([(_TEXT, number, -1, number, packed(chunk.raw, chunk.offsets, ids.fill_null(0).to_numpy(), known, train))])
 
 
+def parent(guests, tables, all_guests, all_tables, vocabulary: int):
+    """Probability of words in the parent restaurant: guests and tables of the words and of all; one place for unknown words."""
+    return (guests - ROOT_DISCOUNT * tables + (ROOT_STRENGTH + ROOT_DISCOUNT * all_tables) / (vocabulary + 1)) / (ROOT_STRENGTH + all_guests)
+
+
+def predictive(count, tables, customers, served, above):
+    """Probability of words in a context: counts and tables of the words there, all customers and tables there, the parent's."""
+    inside = (count - DISCOUNT * tables + (STRENGTH + DISCOUNT * served) * above) / (STRENGTH + customers)
+    return np.where(customers > 0, inside, above)
+
+
 def _score_block(shards: int, heavy: dict[int, tuple[int, ...]], totals: list[int]):
     """Scores a block's documents from its texts and the answers to it."""
     spread = np.array(sorted(heavy), np.uint64)
@@ -358,11 +369,8 @@ def _score_block(shards: int, heavy: dict[int, tuple[int, ...]], totals: list[in
             served[:, x] = np.array(tabs)[:, None]
         n_all, kinds_all = totals[0], totals[1]
         all_guests, all_tables = np.array(totals[2 : 2 + SAMPLES], float)[:, None], np.array(totals[2 + SAMPLES :], float)[:, None]
-        base = 1.0 / (kinds_all + 1)
-        parent = (guests - ROOT_DISCOUNT * tables + (ROOT_STRENGTH + ROOT_DISCOUNT * all_tables) * base) / (ROOT_STRENGTH + all_guests)
-        above = parent[:, np.searchsorted(word, v)]
-        p = (c - DISCOUNT * t + (STRENGTH + DISCOUNT * served) * above) / (STRENGTH + customers)
-        p = np.where(customers > 0, p, above).mean(axis=0)
+        above = parent(guests, tables, all_guests, all_tables, kinds_all)[:, np.searchsorted(word, v)]
+        p = predictive(c, t, customers, served, above).mean(axis=0)
         log_p = np.log10(p)[pair_of]
         log_base = np.log10((count + 0.5) / (n_all + 0.5 * (kinds_all + 1)))[word_code]
         first = b.of[:-1]

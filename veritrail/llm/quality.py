@@ -4,8 +4,8 @@ A document is a bag of passages of PASSAGE words. Each passage is encoded from i
 words; gated attention weighs the passages, and the weighted representation is scored. Encoder, attention
 and score are learned together from document labels alone, by Adam on the log loss (numpy, on the driver).
 
-The fit takes at most SAMPLE labelled documents, those with the least hash of their id, and stops adding
-documents at MOST_PASSAGES passages; both bounds hold at every corpus size. Scoring reads every whole text.
+The fit takes at most SAMPLE labelled documents, those with the least hash of their id, of them those of up to
+LONGEST characters, and stops adding documents at MOST_PASSAGES passages; the bounds hold at every corpus size. Scoring reads every whole text.
 Labels, language, source and id are no inputs of a score.
 
 Defined cases: a null or empty text, or one without words, is one passage of zeros and gets a score; a null id is
@@ -26,7 +26,7 @@ from veritrail.llm import tokens
 from veritrail.llm.common import remainder
 
 PASSAGE, BUCKETS, LENGTHS, HIDDEN, GATE = 64, 256, 14, 32, 16
-SAMPLE, MOST_PASSAGES, EPOCHS, BATCH, RATE, DECAY, SEED = 5000, 80_000, 14, 64, 3e-3, 1e-4, 11
+SAMPLE, LONGEST, MOST_PASSAGES, EPOCHS, BATCH, RATE, DECAY, SEED = 5000, 40_000, 80_000, 14, 64, 3e-3, 1e-4, 11
 FOLDS, THRESHOLD = 5, 0.3
 
 
@@ -166,7 +166,7 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     known = known.where(F.col("label").isin(0, 1) & (remainder(F.col("id"), FOLDS) != 0)).groupBy("id").agg(F.min("label").alias("label"))
     picked = known.withColumn("key", F.xxhash64("id")).orderBy("key", "id").limit(SAMPLE)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "id").select("key", "label", "text").mapInArrow(_encoded, "key long, label int, x binary")
+    rows = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(picked), "id").select("key", "label", "text").mapInArrow(_encoded, "key long, label int, x binary")
     bags, y, held = [], [], 0
     for r in sorted(rows.collect(), key=lambda r: (r.key, r.x)):
         if held >= MOST_PASSAGES:

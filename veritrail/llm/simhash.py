@@ -143,8 +143,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows of one id are one document, of which one row stays. Documents with a null id all stay.
     """
     found = groups(docs, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
     repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
     if repeated.isEmpty():
         return kept

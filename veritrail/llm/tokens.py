@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK, PIECE = 4 << 20, 1 << 20
+CHUNK, PIECE = 2 << 20, 1 << 20
 
 _BYTES = np.arange(256)
 #: A-Z lower-cased, all other bytes as they are.

@@ -3,7 +3,8 @@
 The lexicon is learned from labelled documents: words, and stems that many words begin with, which stand in toxic
 documents and hardly in others. All are in one trie. An unknown word walks the trie together with its
 Levenshtein automaton, whose states are rows of edit distances cut off at EDITS; it reaches a term if it is at
-most EDITS edits away. Only terms of FUZZY_FROM letters and more are matched with edits.
+most EDITS edits away. Only whole words of FUZZY_FROM letters and more are matched with edits; a stem must stand
+as it is, since its words vary anyway.
 
 Walking is spared words that can't match: with one edit the first or the second half of a term stays whole, at
 the word's begin or its end, and both are looked up by hash. Each hit is read in a window of WINDOW words: one
@@ -11,7 +12,7 @@ between quotation marks or near a word of reporting counts as quotation, others
 the kinds of hits give the score by logistic regression with a prior that also orders kinds that no label shows.
 
 The fit takes at most SAMPLE toxic and twice as many other labelled documents, those with the least hash of their
-id; equal texts count once. Scoring reads every whole text. Labels, language, source and id are no inputs.
+id, of them those of up to LONGEST characters; equal texts count once. Scoring reads every whole text. Labels, language, source and id are no inputs.
 
 Defined cases: a null or empty text gets the score of no hits; a null id is scored and is not held out; of several
 labels for an id the largest counts; without toxic labels the lexicon is empty and all scores are equal;
@@ -32,7 +33,7 @@ from veritrail.llm.common import remainder
 
 EDITS, FUZZY_FROM, WINDOW = 1, 5, 6
 STEM_LENGTHS, LEAST_DOCS, LEAST_RATIO, LEAST_G, ENOUGH = range(4, 11), 4, 20.0, 24.0, 4
-SAMPLE, FOLDS, THRESHOLD = 3000, 3, 0.7
+SAMPLE, LONGEST, FOLDS, THRESHOLD = 3000, 40_000, 3, 0.7
 KINDS = ("abuse", "stem", "misspelled", "quoted")
 #: Centre and strength of the prior of the weights: bias, then KINDS.
 PRIOR, PRIOR_STRENGTH = np.array([-4.0, 4.0, 4.0, 2.5, 0.5]), 0.5
@@ -76,7 +77,7 @@ class Trie:
                 continue
             if None in below:
                 size, stem = below[None]
-                if size >= FUZZY_FROM and (min(now[1:], default=9) if stem else now[-1]) <= EDITS:
+                if size >= FUZZY_FROM and not stem and now[-1] <= EDITS:
                     return True
             if self._walk(below, word, now):
                 return True
@@ -99,11 +100,11 @@ class Lexicon:
         for term, stem in terms:
             raw = term.encode()
             heads.setdefault(len(raw), set()).add(_hash(raw))
-            if len(term) >= FUZZY_FROM:
+            if len(term) >= FUZZY_FROM and not stem:
                 half = len(term) // 2
                 a, b = term[:half].encode(), term[half:].encode()
                 heads.setdefault(len(a), set()).add(_hash(a))
-                (heads if stem else tails).setdefault(len(b), set()).add(_hash(b))
+                tails.setdefault(len(b), set()).add(_hash(b))
         order = lambda x: {k: np.array(sorted(v), np.uint64) for k, v in x.items()}
         self.heads, self.tails = order(heads), order(tails)
         sizes = [len(t.encode()) for t, _ in terms]
@@ -300,7 +301,7 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         picked = some if picked is None else picked.unionByName(some)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     toxic, other = [], []
-    for r in texts.join(F.broadcast(picked), "id").select("label", "text").toLocalIterator():
+    for r in texts.where(F.length("text") <= LONGEST).join(F.broadcast(picked), "id").select("label", "text").toLocalIterator():
         (toxic if r.label else other).append(r.text)
     return fit(toxic, other)
 
