@@ -245,3 +245,20 @@ def test_migrations(spark):
     assert migrations.manifest(frame(spark, [("s", None)], "slug string, status string")).first() == ("s", "requested", "", 0, "")
     held, fresh = frame(spark, [("a", 1)], "sha string, n int"), frame(spark, [("a", 2), ("b", 3)], "sha string, n int")
     assert {tuple(r) for r in migrations.appended(held, fresh).collect()} == {("a", 1), ("b", 3)}
+
+
+def test_region_refusals_in_order_up_to_the_first_that_halts(spark):
+    fragments = frame(spark, [
+        (1, 1, "3.14", 100.0, 120.0, 50.0, False, True), (1, 2, "x -", 60.0, 95.0, 50.0, False, True), (1, 3, "-5", 130.0, 140.0, 50.0, False, True), (1, 4, "far", 10.0, 20.0, 90.0, False, True),
+        (2, 5, "7", 100.0, 110.0, 50.0, False, False), (2, 6, "over", 105.0, 125.0, 51.0, False, True), (3, 7, "1", 100.0, 110.0, 50.0, True, True), (4, 8, "2", 100.0, 110.0, 50.0, False, True), (4, 9, "y", 50.0, 40.0, 50.0, False, True),
+        (6, 10, "4", 100.0, 110.0, 50.0, False, True), (6, 11, "-3", 111.0, 115.0, 53.0, False, True), (6, 12, "9", 50.0, 90.0, 50.0, False, True),
+    ], "page int, fragment_id long, text string, x_start double, x_end double, baseline_y double, rotated boolean, mapped boolean")
+    pages = frame(spark, [(1, True, True), (2, True, True), (3, True, True), (4, True, True), (5, True, False), (6, True, True)], "page int, available boolean, complete boolean")
+    box = (99.0, 121.0, 50.0)
+    asked = [("a", 1, *box, [1]), ("b", 1, *box, []), ("c", 1, *box, [99]), ("d", 1, *box, [4]), ("e", 2, *box, [5]), ("f", 3, *box, [7]), ("g", 4, *box, [8]), ("h", 5, *box, [1]), ("i", 9, *box, [1]), ("j", 1, 5.0, 5.0, 1.0, [1]), ("k", 6, 99.0, 110.5, 50.0, [10]), ("l", 1, 129.0, 141.0, 50.0, [3])]
+    regions = frame(spark, asked, "region_id string, page int, x_start double, x_end double, baseline_y double, members array<long>")
+    found = {r.region_id: r.refusals for r in layout.region_refusals(fragments, regions, pages).collect()}
+    assert found == {
+        "a": ["adjacent_unreadable"], "b": ["empty"], "c": ["foreign_member"], "d": ["member_outside_region"], "e": ["unmapped_member", "straddled"], "f": ["rotated_member"], "g": ["uncomparable_neighbour"],
+        "h": ["page_incomplete"], "i": ["extraction_unavailable"], "j": ["invalid_geometry"], "k": ["adjacent_unreadable"], "l": [],
+    }

@@ -36,3 +36,22 @@ def clean_edges(text: Column, start: Column, end: Column) -> Column:
     front = (letter(first) & letter(before)) | (digit(first) & (digit(before) | before.isin(".", ",")))
     back = (letter(last) & letter(after)) | (digit(last) & (digit(after) | (after == ",")))
     return (start >= end) | ~(front | back)
+
+
+#: Affixes that reach the value on their left even when they lead a token.
+REACH_LEFT = ("decimal", "exponent", "relational")
+
+
+def abutting_affix(token: Column, on_the_left: bool, raised: Column) -> Column:
+    """The affix at the edge of a token that touches a value: of a left neighbour its end, of a right one its begin.
+
+    A sign that leads a right neighbour is that one's own, unless it is raised, as an exponent is. A point or
+    comma counts only beside a digit. Null says only that none is listed.
+    """
+    bare = F.regexp_replace(token, r"(?U)^\s+|\s+$", "")
+    edge = F.right(bare, F.lit(1)) if on_the_left else F.left(bare, F.lit(1))
+    inner = F.substr(bare, F.length(bare) - 1, F.lit(1)) if on_the_left else F.substr(bare, F.lit(2), F.lit(1))
+    kind = affix_class(edge)
+    reaches = F.lit(True) if on_the_left else raised | kind.isin(*REACH_LEFT)
+    partial = F.when(reaches & ((kind != "decimal") | ((F.length(bare) > 1) & inner.rlike("^[0-9]$"))), kind)
+    return F.coalesce(affix_class(bare), partial)
