@@ -262,3 +262,16 @@ def test_region_refusals_in_order_up_to_the_first_that_halts(spark):
         "a": ["adjacent_unreadable"], "b": ["empty"], "c": ["foreign_member"], "d": ["member_outside_region"], "e": ["unmapped_member", "straddled"], "f": ["rotated_member"], "g": ["uncomparable_neighbour"],
         "h": ["page_incomplete"], "i": ["extraction_unavailable"], "j": ["invalid_geometry"], "k": ["adjacent_unreadable"], "l": [],
     }
+
+
+def test_grounded_tokens(spark):
+    from veritrail.operators import grounding
+
+    text = "😀 T = 1023K, range 1000-1200 K; the K value 5 and 5 Kinetics a.b(c)"
+    claims = [
+        ("1023", "value", None, "grounded"), ("1200", "value", None, "fragment_of_a_numeral"), ("1000-1200", "value", None, "grounded"), ("K", "unit", 0, "grounded"), ("K", "unit", 3, "unclean_edge"), ("K", "unit", None, "ambiguous"),
+        ("5", "value", None, "ambiguous"), ("5", "value", 1, "grounded"), ("5", "value", 7, "no_such_occurrence"), ("zzz", "label", None, "not_found"), ("a.b(c)", "label", None, "grounded"), ("inetics", "label", None, "unclean_edge"),
+    ]
+    df = frame(spark, [(1, *c) for c in claims] + [(2, "x", "label", None, "no_text")], "doc_id long, token string, role string, occurrence int, want string")
+    rows = grounding.grounded(df, frame(spark, [(1, text)], "doc_id long, text string")).collect()
+    assert [(r.token, r.status) for r in rows if r.status != r.want] == [] and all(text[r.start : r.end] == r.token for r in rows if r.status == "grounded")
