@@ -8,11 +8,14 @@ as it is, since its words vary anyway.
 
 Walking is spared words that can't match: with one edit the first or the second half of a term stays whole, at
 the word's begin or its end, and both are looked up by hash. Each hit is read in a window of WINDOW words: one
-between quotation marks or near a word of reporting counts as quotation, others as abuse. Counts of
-the kinds of hits give the score by logistic regression with a prior that also orders kinds that no label shows.
+between quotation marks or near a word of reporting counts as quotation, others as abuse. A word near a term that
+stands in documents that are not toxic is no misspelling; a weak term tells only by its number. Counts of
+hits of each kind, and hits a hundred words, give the score by logistic regression with a prior that also orders
+kinds that no label shows.
 
 The fit takes at most SAMPLE toxic and twice as many other labelled documents, those with the least hash of their
-id, of them those of up to LONGEST characters; equal texts count once. Scoring reads every whole text. Labels, language, source and id are no inputs.
+id, of them those of up to LONGEST characters; equal texts count once. Scoring reads every whole text. Labels,
+language, source and id are no inputs.
 
 Defined cases: a null or empty text gets the score of no hits; a null id is scored and is not held out; of several
 labels for an id the largest counts; without toxic labels the lexicon is empty and all scores are equal;
@@ -32,11 +35,13 @@ from veritrail.llm import tokens
 from veritrail.llm.common import remainder
 
 EDITS, FUZZY_FROM, WINDOW = 1, 5, 6
-STEM_LENGTHS, LEAST_DOCS, LEAST_RATIO, LEAST_G, ENOUGH = range(4, 11), 4, 20.0, 24.0, 4
+STEM_LENGTHS, LEAST_DOCS, LEAST_RATIO, STRONG_RATIO, LEAST_G, ENOUGH, MOST_TERMS = range(4, 11), 4, 6.0, 20.0, 24.0, 4, 400
 SAMPLE, LONGEST, FOLDS, THRESHOLD = 3000, 40_000, 3, 0.7
-KINDS = ("abuse", "stem", "misspelled", "quoted")
-#: Centre and strength of the prior of the weights: bias, then KINDS.
-PRIOR, PRIOR_STRENGTH = np.array([-4.0, 4.0, 4.0, 2.5, 0.5]), 0.5
+KINDS = ("abuse", "stem", "misspelled", "quoted", "weak")
+#: Kinds that count towards hits a hundred words.
+PLAIN = [0, 1, 4]
+#: Centre and strength of the prior of the weights: bias, KINDS, then hits a hundred words.
+PRIOR, PRIOR_STRENGTH = np.array([-4.0, 4.0, 4.0, 2.5, 0.5, 0.5, 0.5]), 0.5
 #: Quotation marks.
 QUOTES = ('"', "“", "”", "„", "«", "»")
 #: Words near a hit that mark a report of someone's words.
@@ -44,25 +49,33 @@ REPORTING = ("said", "says", "quote", "quoted", "quotes", "wrote", "called", "re
 
 
 class Trie:
-    """Terms, each a whole word or a stem; ``match`` gives the kind of the best match of a word."""
+    """Terms, each a whole word or a stem; ``match`` gives the kind of the best match of a word.
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    weak terms also stand in other documents now and then, and tell only by their number.
+    """
+
+    def __init__(self, terms: list[tuple[str, bool]], weak: frozenset[tuple[str, bool]] = frozenset()):
         self.terms = terms
         self.root: dict = {}
         for term, stem in terms:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
-            node[None] = (len(term), stem)
+            node.setdefault(None, []).append((len(term), stem, (term, stem) in weak))
 
     def match(self, word: str) -> str | None:
-        node = self.root
+        node, best = self.root, None
         for i, c in enumerate(word):
             node = node.get(c)
             if node is None:
                 break
-            if None in node and (node[None][1] or i == len(word) - 1):
-                return "stem" if node[None][1] else "abuse"
+            for _, stem, weak in node.get(None, ()):
+                if stem or i == len(word) - 1:
+                    if not weak:
+                        return "stem" if stem else "abuse"
+                    best = "weak"
+        if best:
+            return best
         return "misspelled" if self._walk(self.root, word, list(range(len(word) + 1))) else None
 
     def _walk(self, node: dict, word: str, row: list[int]) -> bool:
@@ -75,10 +88,8 @@ class Trie:
                 now.append(min(now[i] + 1, row[i + 1] + 1, row[i] + (w != c)))
             if min(now) > EDITS:
                 continue
-            if None in below:
-                size, stem = below[None]
-                if size >= FUZZY_FROM and not stem and now[-1] <= EDITS:
-                    return True
+            if now[-1] <= EDITS and any(size >= FUZZY_FROM and not stem and not weak for size, stem, weak in below.get(None, ())):
+                return True
             if self._walk(below, word, now):
                 return True
         return False
@@ -92,15 +103,15 @@ def _hash(text: bytes) -> int:
 class Lexicon:
     """A trie with the hashes that find the few words worth walking it."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        self.trie = Trie(terms)
+    def __init__(self, terms: list[tuple[str, bool]], weak: frozenset[tuple[str, bool]] = frozenset(), innocent: frozenset[bytes] = frozenset()):
+        self.trie, self.innocent = Trie(terms, weak), innocent
         heads: dict[int, set[int]] = {}
         tails: dict[int, set[int]] = {}
         self.cache: dict[bytes, str | None] = {}
         for term, stem in terms:
             raw = term.encode()
             heads.setdefault(len(raw), set()).add(_hash(raw))
-            if len(term) >= FUZZY_FROM and not stem:
+            if len(term) >= FUZZY_FROM and not stem and (term, stem) not in weak:
                 half = len(term) // 2
                 a, b = term[:half].encode(), term[half:].encode()
                 heads.setdefault(len(a), set()).add(_hash(a))
@@ -130,7 +141,8 @@ class Lexicon:
             if word not in self.cache:
                 if len(self.cache) > 200_000:
                     self.cache.clear()
-                self.cache[word] = self.trie.match(word.decode("utf-8", "replace"))
+                kind = self.trie.match(word.decode("utf-8", "replace"))
+                self.cache[word] = None if kind == "misspelled" and word in self.innocent else kind
             if kind := self.cache[word]:
                 out.append((i, kind))
         return out
@@ -150,14 +162,15 @@ def _quotation(chunk: tokens.Chunk, w: tokens.Words, doc: int, i: int) -> bool:
 
 
 def features(chunk: tokens.Chunk, lexicon: Lexicon) -> np.ndarray:
-    """For each document the counts of KINDS, dampened."""
+    """For each document the counts of KINDS and hits a hundred words, dampened."""
     w = tokens.words(chunk)
     out = np.zeros((chunk.n, len(KINDS)))
     found = lexicon.hits(chunk, w)
     docs = np.searchsorted(w.of, np.array([i for i, _ in found], np.int64), "right") - 1
     for (i, kind), d in zip(found, docs.tolist(), strict=True):
         out[d, KINDS.index("quoted" if _quotation(chunk, w, d, i) else kind)] += 1
-    return np.log1p(out)
+    share = 100 * out[:, PLAIN].sum(axis=1, keepdims=True) / np.maximum(w.counts(), 50)[:, None]
+    return np.log1p(np.concatenate([out, share], axis=1))
 
 
 def _stems(chunk: tokens.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,11 +195,12 @@ def _chunked(texts: list[str]) -> Iterator[tokens.Chunk]:
         yield from tokens.chunks(iter([pa.RecordBatch.from_arrays([pa.array(texts[at : at + 256], pa.string())], ["text"])]))
 
 
-def learn_terms(toxic: list[str], other: list[str]) -> list[tuple[str, bool]]:
-    """(term, whether it is a stem), those that explain most toxic documents first.
+def learn_terms(toxic: list[str], other: list[str]) -> tuple[list[tuple[str, bool]], frozenset[tuple[str, bool]]]:
+    """(term, whether it is a stem), those that explain most toxic documents first, and which of them are weak.
 
     Candidates stand in at least LEAST_DOCS toxic documents (or 0.3 % of them), LEAST_RATIO times as often as
-    in others, and so often that the log-likelihood ratio statistic is at least LEAST_G. A stem gives way to a longer one or a word with nearly all of its documents. Terms are taken
+    in others, and so often that the log-likelihood ratio statistic is at least LEAST_G; under STRONG_RATIO they
+    are weak. At most MOST_TERMS candidates, the most frequent, are weighed against each other. A stem gives way to a longer one or a word with nearly all of its documents. Terms are taken
     by the documents that they add; one is explained by ENOUGH terms, so what a few copies share adds nothing.
     """
     docs, hashes, names = [], [], {}
@@ -197,7 +211,7 @@ def learn_terms(toxic: list[str], other: list[str]) -> list[tuple[str, bool]]:
         hashes.append(h)
         n += chunk.n
     if not docs:
-        return []
+        return [], frozenset()
     d, h = np.concatenate(docs), np.concatenate(hashes)
     kinds, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
     least = max(LEAST_DOCS, 0.003 * n)
@@ -214,6 +228,7 @@ def learn_terms(toxic: list[str], other: list[str]) -> list[tuple[str, bool]]:
     log = lambda x, share: x * np.log(np.maximum(x, 1) / (both * share))
     evidence = 2 * (log(counts[counts >= least], n / (n + m)) + log(seen, max(m, 1) / (n + m)))
     good = kinds_kept[(ratio >= LEAST_RATIO) & (evidence >= LEAST_G)]
+    strong = set(kinds_kept[ratio >= STRONG_RATIO].tolist())
     wanted = set(good.tolist())
     for chunk in _chunked(toxic):
         _, x, s, e = _stems(chunk)
@@ -241,11 +256,11 @@ def learn_terms(toxic: list[str], other: list[str]) -> list[tuple[str, bool]]:
         if not covered:
             kept[key] = (name, not is_word)
     place = np.searchsorted(kinds, np.array(sorted(kept), np.uint64))
-    member = {int(kinds[p]): d[inverse == p] for p in place.tolist()} if len(place) < 400 else None
+    member = {int(kinds[p]): d[inverse == p] for p in place.tolist()} if len(place) <= MOST_TERMS else None
     if member is None:
-        rank = np.argsort(-counts[place], kind="stable")[:400]
+        rank = np.argsort(-counts[place], kind="stable")[:MOST_TERMS]
         member = {int(kinds[p]): d[inverse == p] for p in place[rank].tolist()}
-    explained, out = np.zeros(n, np.int64), []
+    explained, out, weak = np.zeros(n, np.int64), [], set()
     while member:
         gains = {key: int((explained[x] < ENOUGH).sum()) for key, x in member.items()}
         best = max(gains, key=lambda key: (gains[key], kept[key][0]))
@@ -254,7 +269,9 @@ def learn_terms(toxic: list[str], other: list[str]) -> list[tuple[str, bool]]:
         explained[member.pop(best)] += 1
         name, stem = kept[best]
         out.append((name.decode("utf-8", "replace"), stem))
-    return out
+        if best not in strong:
+            weak.add(out[-1])
+    return out, frozenset(weak)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -272,23 +289,33 @@ def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, terms: list[tuple[str, bool]], weights: np.ndarray):
-        self.terms, self.weights = terms, weights
+    def __init__(self, terms: list[tuple[str, bool]], weights: np.ndarray, weak: frozenset[tuple[str, bool]] = frozenset(), innocent: frozenset[bytes] = frozenset()):
+        self.terms, self.weights, self.weak, self.innocent = terms, weights, weak, innocent
         self.lexicon: Lexicon | None = None
 
     def predict(self, chunk: tokens.Chunk) -> np.ndarray:
         if self.lexicon is None:
-            self.lexicon = Lexicon(self.terms)
+            self.lexicon = Lexicon(self.terms, self.weak, self.innocent)
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + features(chunk, self.lexicon) @ self.weights[1:], -30, 30)))
 
 
+def _innocent(other: list[str], lexicon: Lexicon) -> frozenset[bytes]:
+    """Words of documents that are not toxic which are within edits of a term: words of their own and no misspellings."""
+    out = set()
+    for chunk in _chunked(other):
+        w = tokens.words(chunk)
+        out |= {chunk.low[w.starts[i] : w.ends[i]].tobytes() for i, kind in lexicon.hits(chunk, w) if kind == "misspelled"}
+    return frozenset(out)
+
+
 def fit(toxic: list[str], other: list[str]) -> Model:
     toxic, other = sorted(set(toxic)), sorted(set(other))
-    terms = learn_terms(toxic, other)
-    lexicon = Lexicon(terms)
+    terms, weak = learn_terms(toxic, other)
+    innocent = _innocent(other, Lexicon(terms, weak))
+    lexicon = Lexicon(terms, weak, innocent)
     x = [features(c, lexicon) for c in _chunked(toxic)] + [features(c, lexicon) for c in _chunked(other)]
     y = np.repeat([1.0, 0.0], [len(toxic), len(other)])
-    return Model(terms, fit_weights(np.concatenate(x), y) if x else PRIOR)
+    return Model(terms, fit_weights(np.concatenate(x), y) if x else PRIOR, weak, innocent)
 
 
 def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
