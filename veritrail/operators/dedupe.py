@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,9 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
 
     Cycles end by themselves: a pair that is known is not followed again. Checkpoints cut the lineage.
     """
+    context = edges.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='veritrail-')}")
     step = edges.select("node", F.col("next").alias("reached")).distinct().withColumn("depth", F.lit(1))
     known = step
     for depth in range(2, most + 1):
