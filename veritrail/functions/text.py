@@ -92,12 +92,13 @@ def is_citation_line(line: Column) -> Column:
 
 def space_loss(text: Column) -> Column:
     """The share of blocks whose tokens are so long that word spacing must have been lost; blank blocks do not count."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - 1), F.lit(SPACE_LOSS_BLOCK))
-    tokens = F.transform(starts, lambda s: F.filter(F.split(F.substr(text, s + 1, F.lit(SPACE_LOSS_BLOCK)), SPACE), lambda t: t != ""))
-    used = F.filter(tokens, lambda t: F.size(t) > 0)
-    chars = lambda t: F.aggregate(t, F.lit(0), lambda a, x: a + F.length(x))
-    lost = F.filter(used, lambda t: chars(t) / F.size(t) >= SPACE_LOSS_TOKEN)
-    return F.when(F.size(used) > 0, F.size(lost) / F.size(used)).otherwise(0.0)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SPACE_LOSS_BLOCK}}}"), F.lit(0))
+    marks = lambda b: F.regexp_replace(b, SPACE.replace("[", "[^"), "\u0001")  # noqa: E731  one mark for each token
+    tokens = lambda b: F.length(marks(b)) - F.length(F.replace(marks(b), F.lit("\u0001"), F.lit("")))
+    counted = F.transform(blocks, lambda b: F.struct(tokens(b).alias("n"), F.length(F.regexp_replace(b, SPACE, "")).alias("chars")))
+    step = lambda acc, x: F.struct((acc["used"] + F.when(x["n"] > 0, 1).otherwise(0)).alias("used"), (acc["lost"] + F.when((x["n"] > 0) & (x["chars"] >= x["n"] * SPACE_LOSS_TOKEN), 1).otherwise(0)).alias("lost"))
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("lost"))
+    return F.when(text.isNotNull(), F.aggregate(counted, start, step, lambda a: F.when(a["used"] > 0, a["lost"] / a["used"]).otherwise(0.0))).otherwise(0.0)
 
 
 def unreadable_reason(text: Column, extractor: Column, pages: Column) -> Column:

@@ -142,8 +142,8 @@ def bibliography_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT d.doc_id, coalesce(round(avg(m.lost), 9), 0.0) AS lost_share, coalesce(avg(m.lost), 0.0) >= 0.25 AS spacing_lost
     FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id""".replace("\\\\", "\\"))
 def space_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = text.space_loss(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(share, 9).alias("lost_share"), (share >= text.SPACE_LOSS_SHARE).alias("spacing_lost"))
+    shares = table(spark, sf_dir, "documents").select("doc_id", text.space_loss(F.col("text")).alias("share"))
+    return shares.select("doc_id", F.round("share", 9).alias("lost_share"), (F.col("share") >= text.SPACE_LOSS_SHARE).alias("spacing_lost"))
 
 
 @query("SELECT doc_id, length(text) >= 9000 AND regexp_matches(text, '(?im)^[ \\t]*(references|bibliography|works cited|literature cited)\\b') AS full_article, greatest(8000, length(text) // 3 + 4000) AS tokens FROM documents")
