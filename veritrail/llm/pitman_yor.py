@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from veritrail.llm import tokens
 from veritrail.llm.common import remainder, written
 
-BLOCK, SHARD, SEED = 8 << 20, 12 << 20, 77
+BLOCK, SHARD, SEED = 5 << 20, 8 << 20, 77
 BURN, SAMPLES, CLOSED = 4, 3, 256
 #: Discount and strength of the contexts and of the parent.
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 1.0, 0.5, 10.0
@@ -84,6 +85,15 @@ def _join48(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and the place of each value among them; hashing spares sorting what repeats."""
+    codes, values = pd.factorize(x)
+    order = np.argsort(values, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return values[order], place[codes]
+
+
 class Block:
     """The tokens of a chunk: word keys with an end after each document, the key before each, the document of each."""
 
@@ -121,7 +131,8 @@ def _shares(shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, b in _blocks(batches):
-            keys, counts = np.unique(b.before, return_counts=True)
+            keys, code = distinct(b.before)
+            counts = np.bincount(code, minlength=len(keys))
             large = counts * 16 * shards >= len(b.word)
             keys, counts = np.append(keys[large], 0).astype(np.int64), np.append(counts[large], len(b.word))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["word", "n"])
@@ -136,10 +147,12 @@ def _shard_of(context: np.ndarray, word: np.ndarray, heavy: np.ndarray, shards:
 
 def _order(b: Block, heavy: np.ndarray, shards: int):
     """Distinct pairs of a block by shard, context and word: (shard, context, word, place of each token's pair)."""
-    context, code = np.unique(b.before, return_inverse=True)
-    word, word_code = np.unique(b.word, return_inverse=True)
-    pair, inverse = np.unique(code * len(word) + word_code, return_inverse=True)
-    u, v = context[pair // len(word)], word[pair % len(word)]
+    word, word_code = distinct(b.word)
+    code = np.empty_like(word_code)  # a word before is a word of the block too, but for the start
+    code[1:] = word_code[:-1]
+    code[b.of[:-1]] = len(word)
+    pair, inverse = distinct(code * len(word) + word_code)
+    u, v = np.append(word, START)[pair // len(word)], word[pair % len(word)]
     shard = _shard_of(u, v, heavy, shards)
     order = np.argsort(shard, kind="stable")
     place = np.empty_like(order)
@@ -270,7 +283,7 @@ def _pair_shard(heavy: np.ndarray, shards: int):
 def _word_requests(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, b in _blocks(batches):
-            word, code = np.unique(b.word, return_inverse=True)
+            word, code = distinct(b.word)
             count = np.bincount(code[b.train], minlength=len(word)).astype(np.uint32)
             target = (tokens.mix(word + np.uint64(5)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(target, kind="stable")
