@@ -17,6 +17,7 @@ like any other; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -207,8 +208,6 @@ def pack(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
             if used >= steps or best_bins <= bound:
                 return
 
-    import sys
-
     depth = sys.getrecursionlimit()
     sys.setrecursionlimit(max(depth, 20_000))
     try:
