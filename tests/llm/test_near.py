@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -239,3 +240,66 @@ def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).standard_normal((5, 64))
     assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(ann.hadamard(ann.hadamard(x)), x)
+
+
+def changed(words, rng, fresh):
+    words = list(words)
+    words[rng.randrange(len(words))] = f"new{fresh}"
+    return words
+
+
+def near(a, b):
+    """Whether passages of 50 words are at 0.8: 41 of 46 shingles equal by place."""
+    return any(sum(a[k : k + 5] == b[k : k + 5] for k in range(s, s + 46)) >= 41 for s in range(len(a) - 49))
+
+
+@pytest.mark.parametrize("size", [50, 60])
+def test_no_near_copy_of_a_short_passage_is_missed(spark, size):
+    rng, rows = random.Random(size), []
+    for k in range(300):
+        first = prose(3000 + k, size).split()
+        second = list(first)
+        second[rng.randrange(5, size - 5)] = "changed"
+        rows += [(2 * k, " ".join([prose(5000 + k, 40), *first, prose(6000 + k, 40)])), (2 * k + 1, " ".join([prose(7000 + k, 30), *second, prose(8000 + k, 30)]))]
+    found = {(r.doc_id, r.match_doc_id) for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == {(2 * k + 1, 2 * k) for k in range(300)}
+
+
+def test_a_word_put_in_or_left_out_is_found(spark):
+    rng, rows = random.Random(5), []
+    for k in range(100):
+        first = prose(3000 + k, 60).split()
+        at = rng.randrange(10, 50)
+        second = [*first[:at], *(["more"] if k % 2 else []), *first[at + 1 - k % 2 :]]
+        rows += [(2 * k, " ".join([prose(5000 + k, 40), *first, prose(6000 + k, 40)])), (2 * k + 1, " ".join([prose(7000 + k, 30), *second, prose(8000 + k, 30)]))]
+    found = {(r.doc_id, r.match_doc_id) for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(2 * k + 1, 2 * k) for k in range(100)}
+
+
+@pytest.mark.parametrize("small", [32, 4])
+def test_drifting_versions_meet_their_near_ones(spark, monkeypatch, small):
+    monkeypatch.setattr(passages, "SMALL", small)
+    rng, rows, versions = random.Random(6), [], []
+    for chain in range(8):
+        words = prose(900 + chain, 60).split()
+        for k in range(40):
+            versions.append(words)
+            rows.append((len(rows), " ".join([prose(20_000 + len(rows), 30), *words, prose(30_000 + len(rows), 30)])))
+            words = changed(words, rng, len(rows))
+    want = {i for i in range(len(rows)) if any(near(versions[i], versions[j]) for j in range(i - i % 40, i))}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = {r.doc_id for r in passages.repeats(df).collect()}
+    assert len(want) > 250 and want <= found
+
+
+def test_runs_are_those_of_compact_windows():
+    texts = [prose(k, 120) for k in range(20)] + ["it " * 90, prose(1, 49)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(22)), pa.array(texts)], ["doc_id", "text"])
+    chunk = next(tokens.chunks(iter([batch])))
+    key, ids, word, pieces, same = passages.picked(chunk)
+    assert set(ids.tolist()) == set(range(21))
+    for d in range(20):
+        w = texts[d].split()
+        at = sorted(word[ids == d].tolist())
+        assert at[0] < passages.PICK and all(b - a <= passages.PICK for a, b in zip(at, at[1:], strict=False))
+        assert len(w) - passages.GRAM - at[-1] < passages.PICK
