@@ -303,3 +303,16 @@ def test_runs_are_those_of_compact_windows():
         at = sorted(word[ids == d].tolist())
         assert at[0] < passages.PICK and all(b - a <= passages.PICK for a, b in zip(at, at[1:], strict=False))
         assert len(w) - passages.GRAM - at[-1] < passages.PICK
+
+
+def test_a_near_copy_far_back_in_a_large_group_is_found(spark):
+    shared, rows = prose(777, 40).split(), []
+    for k in range(72):
+        own = prose(40_000 + k % 60, 10).split()
+        if k >= 60 and k % 2:
+            own[1] = f"changed{k}"
+        elif k >= 60:
+            own.insert(1, f"more{k}")
+        rows.append((k, " ".join([prose(41_000 + k, 20), *shared, *own, prose(42_000 + k, 20)])))
+    found = {(r.doc_id, r.match_doc_id) for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found >= {(k, k - 60) for k in range(60, 72)}
