@@ -18,12 +18,12 @@ EXACT = Tokenizer.from_file(PATH)
 @settings(max_examples=300, deadline=None)
 @given(st.text())
 def test_ids_are_those_of_the_tokenizers_library(text):
-    assert packing.encoder(PATH).ids(text) == EXACT.encode(text, add_special_tokens=False).ids
+    assert packing.encoder(PATH).ids(text).tolist() == EXACT.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_of_spelled_out_tokens_and_odd_spaces():
     for text in ("a <|endoftext|> b", "   \t\n\r\x0b x", "don't DON'T it's", "漢字 ﬁ 🙂‍🙂", "1234 ١٢٣ ²", "\u0085  x"):
-        assert packing.encoder(PATH).ids(text) == EXACT.encode(text, add_special_tokens=False).ids, text
+        assert packing.encoder(PATH).ids(text).tolist() == EXACT.encode(text, add_special_tokens=False).ids, text
 
 
 def test_cutting_leaves_full_pieces_after_the_first():

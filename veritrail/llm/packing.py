@@ -16,6 +16,7 @@ like any other; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import json
 import sys
 import zlib
@@ -29,9 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from veritrail.llm import tokens
 from veritrail.llm.common import written
 
 CAPACITY, END, STEPS = 1024, 2, 6000
+#: Bytes of text whose pieces leave a task together.
+TEXTS = 256 << 10
 #: How byte-level BPE vocabularies of this family split a text before merging; a fixed value of the public format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -54,12 +58,13 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
         self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(path)
+        self.path, self.exact = path, None
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added):
-            return self.exact.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+            self.exact = self.exact or Tokenizer.from_file(self.path)  # few texts need it: most workers never load it
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(text, disallowed_special=())
 
 
 def encoder(path: str) -> Encoder:
@@ -77,19 +82,25 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def _pieces(path: str):
+    """A map of (doc_id, text) to pieces; nth numbers those of one length within the task. Rows leave by TEXTS of text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path).ids, TaskContext.get().partitionId()
         seen = np.zeros(CAPACITY + 1, np.int64)
-        for batch in batches:
-            rows: list[tuple[int, int, int, int, int, int]] = []
-            for row, text in enumerate(batch.column("text")):
-                ids = np.array([*encode(text.as_py() or ""), END], "<u4")
-                for k, (s, n) in enumerate(cut(len(ids))):
-                    rows.append((row, k, s, n, zlib.crc32(ids[s : s + n].tobytes()), int(seen[n])))
-                    seen[n] += 1
-            at, piece, start, length, crc, nth = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 6
-            ids_of = batch.column("doc_id").take(pa.array(at))
-            columns = [ids_of, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(at), part)), pa.array(nth)]
+        for chunk in tokens.chunks(batches, limit=TEXTS):
+            pieces: list[np.ndarray] = []
+            for row, (a, b) in enumerate(itertools.pairwise(chunk.offsets.tolist())):
+                ids = np.append(encode(chunk.raw[a:b].tobytes().decode("utf-8", "replace")), np.uint32(END)).astype("<u4")
+                starts = np.array([s for s, _ in cut(len(ids))], np.int64)
+                lengths = np.diff(starts, append=len(ids))
+                crc = [zlib.crc32(ids[s : s + n]) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+                nth = seen[lengths]
+                nth[1:] += np.arange(len(nth) - 1) + (lengths[:1] == CAPACITY)  # all but the first are full ones
+                seen[lengths[0]] += 1
+                seen[CAPACITY] += len(nth) - 1
+                pieces.append(np.stack([np.full(len(nth), row), np.arange(len(nth)), starts, lengths, np.array(crc, np.int64), nth]))
+            at, piece, start, length, crc, nth = np.concatenate(pieces, axis=1)
+            columns = [chunk.column("doc_id").take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(at), part)), pa.array(nth)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     return run
