@@ -236,6 +236,46 @@ def test_pieces_of_a_large_bucket_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, ann.search(df).collect())) == whole
 
 
+def nearest(x, q):
+    apart = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+    return set([i for i in np.lexsort((np.arange(len(x)), apart)) if i != q][:10])
+
+
+@pytest.mark.parametrize("norms", [None, (0.25, 8.0)])
+def test_recall_on_unit_and_on_mixed_norms(spark, norms):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms:
+        x *= np.exp(rng.uniform(*np.log(norms), (len(x), 1)))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & nearest(x, q)) / 10 for q in range(0, 6000, 100)]) >= 0.9
+
+
+def test_one_id_with_two_vectors_dimensions_apart_and_short_tables(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (100, [1.0] * 20), *((k, [float(k)] * 20) for k in range(1, 5)), (300, [1e-300, 0.0]), (400, [1e300, 1e300])]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got[100]) == {1, 2, 3, 4} and set(got[300]) == {0, 400} and set(got[0]) == {300, 400}
+
+
+def test_what_hashing_leaves_short_is_searched_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((500, 24))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "TABLES", 1)
+    monkeypatch.setattr(ann, "PROBES", 1)
+    monkeypatch.setattr(ann, "BLOCK", 2)
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got == {q: nearest(x, q) for q in range(0, 500, 100)}
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).standard_normal((5, 64))
     assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))

@@ -1,32 +1,43 @@
 """Nearest neighbours by cross-polytope hashing with fast Hadamard rotations and multiprobe tables.
 
-Each of TABLES hash tables turns a unit vector by three rounds of random signs and a fast Hadamard transform
-and assigns it to the nearest of the 2d signed axes. A query looks into the PROBES nearest axes of each
-table. Members of the looked-up buckets are ranked exactly, in double precision on the original vectors.
+Each of TABLES hash tables turns a unit vector by rounds of random signs and fast Hadamard transforms and takes
+the nearest of the signed axes. One code has too few values for a large table, so codes of several rotations
+are put together, the last one over fewer axes, until a table has FINE * sqrt(n) buckets for n vectors. A query
+looks into the PROBES buckets of least summed loss. So it meets about TABLES * PROBES * sqrt(n) / FINE
+vectors: a share of the table that falls as the table grows.
 
-Equal vectors are one class that carries its TOP + 1 smallest ids: no list of TOP needs more. A bucket of
-more than BLOCK classes is dealt out in pieces, each with all of the bucket's queries, and gives the TOP
-best of each query; so a task's memory is bounded and no candidate pairs are shuffled.
+Vectors of one dimension are indexed by bands of their norm (half octaves), as near directions mean near
+vectors only at like norms; a query probes the bands that can hold one of its nearest.
 
-Measured on 10,256 and 51,282 vectors of 64 dimensions, 10 tables with 16 probes find over 0.98 of the true
-ten nearest. Every row is indexed; nothing is fitted or sampled.
+Data flow: equal vectors are one class that carries its TOP + 1 smallest ids (no list of TOP needs more). Buckets
+receive vectors rounded to 16 bits a component, compare them with the queries that probe them and pass on
+the KEEP nearest; the KEEP nearest of each query are ranked exactly, in double precision on the original
+vectors. A bucket of more than BLOCK vectors is dealt out in pieces, each with the bucket's queries, so what a
+task holds is bounded. Queries for which fewer than TOP are found are compared with all vectors, BLOCK queries
+at a time. Every row is indexed; nothing is fitted or sampled. What reaches the driver is one row for each pair
+of dimension and band, large buckets never, and the vectors of one block of short queries at a time.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null
 id, take no part; vectors are only compared within one dimension; repeated rows count once; a query with fewer
-than TOP candidates found returns those; ties go to the smaller id; other columns are ignored.
+than TOP other rows in its dimension returns those; ties go to the smaller id; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TABLES, PROBES, TOP, BLOCK, SEED = 10, 16, 10, 8192, 20240607
-_KEYS = ["dim", "tab", "code", "piece"]
+from veritrail.llm.common import written
+
+TABLES, PROBES, FINE, TOP, KEEP, BLOCK, SEED = 30, 24, 34, 10, 40, 8192, 20240607
+#: Numbers handled at once while hashing and while comparing.
+CELLS = 1 << 21
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -40,72 +51,191 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
-def rotated(x: np.ndarray, tab: int, seed: int = SEED) -> np.ndarray:
-    """The pseudo-rotation of a table: three rounds of signs and Hadamard transform, rows filled up with zeros."""
+def width(d: int) -> int:
+    """Columns of a rotation of d: a power of two, at least 16, below which signs and transforms make few rotations."""
+    return max(16, 1 << max(0, d - 1).bit_length())
+
+
+def rotated(x: np.ndarray, number: int, seed: int = SEED) -> np.ndarray:
+    """A pseudo-rotation: three rounds of signs and Hadamard transform, rows filled up with zeros."""
     n, d = x.shape
-    wide = 1 << max(0, d - 1).bit_length()
-    out = np.zeros((n, wide))
+    out = np.zeros((n, width(d)))
     out[:, :d] = x
-    signs = np.random.default_rng([seed, tab, d]).integers(0, 2, (3, wide)) * 2 - 1
-    for s in signs:
+    for s in np.random.default_rng([seed, number, d]).integers(0, 2, (3, width(d))) * 2 - 1:
         out = hadamard(out * s)
     return out
 
 
-def axes(x: np.ndarray, tab: int, count: int) -> np.ndarray:
-    """For each row of x the codes of its count nearest signed axes, nearest first."""
-    r = rotated(x, tab)
-    both = np.concatenate([r, -r], axis=1)
-    count = min(count, both.shape[1])
-    if count == 1:
-        return np.argmax(both, axis=1)[:, None]
-    return np.argsort(-both, axis=1, kind="stable")[:, :count]
+@dataclass(frozen=True)
+class Slot:
+    """The vectors of one dimension and band of norms: how many distinct ones and rows there are, and the axes of each code."""
+
+    number: int
+    dim: int
+    band: int
+    vectors: int
+    rows: int
+
+    @property
+    def levels(self) -> list[int]:
+        """Axes of each code of the concatenation: all of a rotation, and the last one as many as the buckets need."""
+        buckets, out = FINE * self.vectors**0.5, []
+        while buckets > 1:
+            wide = width(self.dim)
+            axes = wide if buckets >= 2 * wide else 1 << max(0, int(np.ceil(np.log2(buckets / 2))))
+            out.append(axes)
+            buckets /= 2 * axes
+        return out
+
+
+def codes(x: np.ndarray, levels: list[int], tab: int, probes: int) -> np.ndarray:
+    """For each unit vector its ``probes`` buckets of a table, least summed squared loss first."""
+    code, loss = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+    for k, axes in enumerate(levels):
+        r = rotated(x, tab * 64 + k)[:, :axes]
+        both = np.concatenate([r, -r], axis=1)
+        if probes == 1:
+            code = code * (2 * axes) + np.argmax(both, axis=1)[:, None]
+            continue
+        off = (both.max(axis=1, keepdims=True) - both) ** 2
+        near = np.argsort(off, axis=1, kind="stable")[:, :probes]
+        more = np.take_along_axis(off, near, axis=1)
+        loss = (loss[:, :, None] + more[:, None, :]).reshape(len(x), -1)
+        code = (code[:, :, None] * (2 * axes) + near[:, None, :]).reshape(len(x), -1)
+        best = np.argsort(loss, axis=1, kind="stable")[:, :probes]
+        loss, code = np.take_along_axis(loss, best, axis=1), np.take_along_axis(code, best, axis=1)
+    return code
 
 
-def _hashed(probes: int):
-    """A map of rows (id or ids, vec) to one row for each table and code."""
+def _hashed(slots: dict[tuple[int, int], Slot], probes: int, short: bool = False):
+    """A map of rows (cls, vec, band) to one row for each table and bucket; short: without the vectors."""
+    schema = ["slot", "code", "cls", "scale", "q"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("vec")
+            vectors, bands = batch.column("vec"), np.asarray(batch.column("band"))
             sizes = np.asarray(vectors.value_lengths())
             flat = np.asarray(vectors.flatten(), dtype=np.float64)
             starts = np.concatenate([[0], np.cumsum(sizes)])
+            for d, band in {*zip(sizes.tolist(), bands.tolist(), strict=True)}:
+                slot, every = slots[d, band], np.flatnonzero((sizes == d) & (bands == band))
+                for rows in np.array_split(every, -(-len(every) * width(d) * probes // CELLS)):
+                    x = flat[(starts[rows][:, None] + np.arange(d)).reshape(-1)].reshape(-1, d)
+                    top = np.abs(x).max(axis=1, keepdims=True)
+                    q = np.round(x / top * 32767).astype("<i2")
+                    x = x / top
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    cls, scale = batch.column("cls").take(pa.array(rows)), pa.array((top[:, 0] / 32767).astype(np.float64))
+                    blobs = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * 2 * d).astype("<i4")), pa.py_buffer(q.tobytes())])
+                    for tab in range(TABLES):
+                        code = codes(x, slot.levels, tab, probes)
+                        for j in range(code.shape[1]):
+                            head = [pa.array(np.full(len(rows), slot.number * TABLES + tab)), pa.array(code[:, j])]
+                            yield pa.RecordBatch.from_arrays(head if short else [*head, cls, scale, blobs], schema[:2] if short else schema)
+
+    return run
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and piece, vectors before queries: the KEEP nearest of each query, by rounded vectors."""
+    kept: pa.Table | None = None  # the vectors of the bucket that the batch before ended in
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([kept, table]).combine_chunks() if kept is not None else table
+        key = np.stack([np.asarray(table.column(c)) for c in ("slot", "code", "piece")])
+        asks = np.asarray(table.column("asks"))
+        new = np.ones(table.num_rows, bool)
+        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+        bounds, group = np.append(np.flatnonzero(new), table.num_rows), np.cumsum(new) - 1
+        members = np.add.reduceat(asks == 0, bounds[:-1])  # they come first in their group
+        queries = np.flatnonzero(asks == 1)
+        pairs = np.cumsum(members[group[queries]])
+        cls, scale, blob = np.asarray(table.column("cls")), np.asarray(table.column("scale")), table.column("q").chunk(0)
+        offsets = np.frombuffer(blob.buffers()[1], "<i4")[blob.offset : blob.offset + len(blob) + 1]
+        data = np.frombuffer(blob.buffers()[2], "<i2")
+        done = 0
+        while done < len(queries):
+            d = (offsets[queries[done] + 1] - offsets[queries[done]]) // 2
+            before = pairs[done - 1] if done else 0
+            end = max(done + 1, int(np.searchsorted(pairs, before + CELLS // max(1, d), "right")))
+            mine = queries[done:end]
+            mine = mine[offsets[mine + 1] - offsets[mine] == 2 * d]  # a table is sorted by dimension
+            done += len(mine)
+            count = members[group[mine]]
+            a = np.repeat(mine, count)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[group[mine]], count)
+            at = np.arange(d)
+            x = data[(offsets[a] // 2)[:, None] + at] * scale[a][:, None]
+            x -= data[(offsets[b] // 2)[:, None] + at] * scale[b][:, None]
+            apart = np.einsum("ij,ij->i", x, x)
+            order = np.lexsort((apart, cls[a]))
+            first = np.ones(len(order), bool)
+            first[1:] = cls[a][order][1:] != cls[a][order][:-1]
+            start = np.flatnonzero(first)
+            order = order[np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order)))) < KEEP]
+            yield pa.RecordBatch.from_arrays([pa.array(cls[a][order]), pa.array(cls[b][order]), pa.array(apart[order])], ["qcls", "cls", "apart"])
+        kept = table.slice(bounds[-2], int(members[-1]))
+
+
+def _against(block: list[tuple[int, list[float]]]):
+    """The TOP + 1 nearest vectors of a batch for each query of a block, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, cls, least = np.asarray(batch.column("vec").value_lengths()), np.asarray(batch.column("cls")), np.asarray(batch.column("least"))
+            flat, starts = np.asarray(batch.column("vec").flatten(), dtype=np.float64), np.concatenate([[0], np.cumsum(sizes)])
             for d in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == d)
                 x = flat[(starts[rows][:, None] + np.arange(d)).reshape(-1)].reshape(-1, d)
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                picked = batch.take(pa.array(rows))
-                for tab in range(TABLES):
-                    codes = axes(x, tab, probes)
-                    for j in range(codes.shape[1]):
-                        n = len(rows)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, tab, np.int32)), pa.array(codes[:, j].astype(np.int32)), picked.column(0), picked.column("vec")],
-                            ["dim", "tab", "code", batch.schema.names[0], "vec"],
-                        )
+                for q, vec in block:
+                    if len(vec) == d:
+                        apart = ((x - np.array(vec)) ** 2).sum(axis=1)
+                        near = np.lexsort((least[rows], apart))[: TOP + 1]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(cls[rows][near]), pa.array(apart[near])], ["qcls", "cls", "apart"])
 
     return run
 
 
-def _best(index: pa.Table, queries: pa.Table) -> pa.Table:
-    """The TOP nearest of each query within one piece of a bucket; exact distances in double precision."""
-    out_q, out_v, out_s = [], [], []
-    if index.num_rows and queries.num_rows:
-        x = np.array(index.column("vec").to_pylist(), dtype=np.float64)
-        ids = index.column("ids").to_pylist()
-        least = np.array([i[0] for i in ids])
-        for q, vec in zip(queries.column("query_id").to_pylist(), queries.column("vec").to_pylist(), strict=True):
-            distance = np.sqrt(((x - np.array(vec, dtype=np.float64)) ** 2).sum(axis=1))
-            take = min(TOP + 1, len(distance))
-            near = np.flatnonzero(distance <= np.partition(distance, take - 1)[take - 1])
-            near = near[np.lexsort((least[near], distance[near]))]
-            found = sorted((distance[k], i) for k in near for i in ids[k] if i != q)[:TOP]
-            out_q += [q] * len(found)
-            out_s += [float(s) for s, _ in found]
-            out_v += [i for _, i in found]
-    return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
+def _first(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
+    """The n first rows of each value; ``rank`` counts them."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def _ranked(asked: DataFrame, candidates: DataFrame, classes: DataFrame) -> DataFrame:
+    """(query_id, rank, vec_id, score) of candidates (qcls, cls, apart), ranked exactly."""
+    near = candidates.repartition("qcls").groupBy("qcls", "cls").agg(F.min("apart").alias("apart"))
+    near = _first(near, "qcls", ["apart", "cls"], KEEP).select("qcls", "cls").join(classes.select("cls", "least", "ids", "vec"), "cls")
+    near = near.join(classes.select(F.col("cls").alias("qcls"), F.col("vec").alias("own")), "qcls")
+    near = near.select("qcls", "least", "ids", distance(F.col("own").cast("array<double>"), F.col("vec").cast("array<double>")).alias("score"))
+    near = _first(near, "qcls", ["score", "least"], TOP + 1).drop("rank", "least")
+    each = asked.join(near, "qcls").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
+    return _first(each, "query_id", ["score", "vec_id"], TOP).select("query_id", "rank", "vec_id", "score")
+
+
+def _band(vec: Column) -> Column:
+    """Half octaves of the norm, taken by way of the largest component so that no square overflows."""
+    top = F.array_max(F.transform(vec, lambda x: F.abs(x.cast("double"))))
+    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + (x.cast("double") / top) * (x.cast("double") / top)))
+    return F.rint(2 * (F.log2(top) + F.log2(norm))).cast("int")
+
+
+def _reached(slots: list[Slot]) -> dict[tuple[int, int], list[int]]:
+    """For each dimension and band of a query the bands that can hold one of its TOP nearest.
+
+    Rows of norm at most r are within q + r of a query of norm q, so once more than TOP rows are that small no
+    vector of a norm over 2 q + r is among the nearest: three times the larger is 3.2 half octaves more.
+    """
+    out = {}
+    for s in slots:
+        mine = sorted((x for x in slots if x.dim == s.dim), key=lambda x: x.band)
+        below = np.cumsum([x.rows for x in mine])
+        edge = next((x.band for x, n in zip(mine, below, strict=True) if n > TOP), mine[-1].band)
+        out[s.dim, s.band] = [x.band for x in mine if x.band <= max(s.band, edge) + 5]
+    return out
 
 
 def search(vectors: DataFrame, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -113,22 +243,46 @@ def search(vectors: DataFrame, every: int = 100, id_col: str = "vec_id", vec_col
     x = F.col("vec")
     usable = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
-    rows = rows.where("vec_id IS NOT NULL").where(usable).groupBy("vec_id", "vec").agg(F.lit(1).alias("one"))
-    place = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
-    classes = rows.select("vec_id", "vec", place.alias("place")).where(F.col("place") <= TOP + 1).groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    kind = dict(rows.dtypes)["vec"]
-    index = classes.select("ids", "vec").mapInArrow(_hashed(1), f"dim int, tab int, code int, ids array<long>, vec {kind}")
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vec")
-    asked = asked.mapInArrow(_hashed(PROBES), f"dim int, tab int, code int, query_id long, vec {kind}")
-    pieces = index.groupBy("dim", "tab", "code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces"))
-    index = index.join(pieces, ["dim", "tab", "code"]).withColumn("piece", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("pieces")).cast("int"))
-    asked = asked.join(pieces, ["dim", "tab", "code"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    found = (
-        index.select(*_KEYS, "ids", "vec")
-        .groupBy(*_KEYS)
-        .cogroup(asked.select(*_KEYS, "query_id", "vec").groupBy(*_KEYS))
-        .applyInArrow(_best, "query_id long, vec_id long, score double")
-    )
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= TOP).select("query_id", "rank", "vec_id", "score")
+    rows = rows.where("vec_id IS NOT NULL").where(usable)
+    firsts = _first(rows.distinct(), "vec", ["vec_id"], TOP + 1)
+    classes = firsts.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cls"), F.col("ids")[0].alias("least"), "ids", "vec", _band(x).alias("band")), "classes")
+    asked = rows.where(F.col("vec_id") % every == 0).distinct().join(classes.select("cls", "vec"), "vec").select(F.col("vec_id").alias("query_id"), F.col("cls").alias("qcls"))
+    asked = written(asked, "asked")
+    sizes = classes.groupBy(F.size("vec").alias("dim"), "band").agg(F.count("*").alias("vectors"), F.sum(F.size("ids")).alias("rows")).collect()
+    slots = [Slot(i, r.dim, r.band, r.vectors, r.rows) for i, r in enumerate(sorted(sizes))]
+    if not slots:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    by_key = {(s.dim, s.band): s for s in slots}
+
+    picked = classes.select("cls", "least", "vec", "band")
+    size = picked.mapInArrow(_hashed(by_key, 1, short=True), "slot long, code long").groupBy("slot", "code").count()
+    large = size.where(F.col("count") > BLOCK).select("slot", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("pieces"))
+    schema = "slot long, code long, cls long, scale double, q binary"
+    index = picked.mapInArrow(_hashed(by_key, 1), schema).join(large, ["slot", "code"], "left")
+    index = index.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("cls"), "pieces").cast("int"), F.lit(0))).withColumn("asks", F.lit(0))
+    probing = picked.join(asked.select(F.col("qcls").alias("cls")).distinct(), "cls")
+    reach = F.coalesce(*(F.when((F.size("vec") == d) & (F.col("band") == own), F.array(*map(F.lit, found))) for (d, own), found in _reached(slots).items()))
+    probing = probing.withColumn("reach", reach).select("cls", "vec", F.explode("reach").alias("band"))
+    probing = probing.mapInArrow(_hashed(by_key, PROBES), schema).join(large, ["slot", "code"], "left")
+    probing = probing.withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).withColumn("asks", F.lit(1))
+    columns = ["slot", "code", "piece", "asks", "cls", "scale", "q"]
+    met = index.select(*columns).unionByName(probing.select(*columns)).repartition("slot", "code", "piece").sortWithinPartitions("slot", "code", "piece", "asks")
+    found = written(_ranked(asked, met.mapInArrow(_compared, "qcls long, cls long, apart double"), classes), "found")
+
+    # what hashing found too little for is compared with everything, a block of queries at a time
+    held = {d: sum(s.rows for s in slots if s.dim == d) for d in {s.dim for s in slots}}
+    most = F.coalesce(*(F.when(F.size("vec") == d, F.lit(min(TOP, n - 1))) for d, n in held.items()))
+    wanted = asked.join(picked.select(F.col("cls").alias("qcls"), most.alias("most")), "qcls")
+    counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = written(wanted.join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < F.col("most")).select("query_id", "qcls"), "short")
+    if short.isEmpty():
+        return found
+    block, exact = [], []
+    for r in short.select(F.col("qcls").alias("cls")).distinct().join(picked, "cls").toLocalIterator():
+        block.append((r.cls, [float(v) for v in r.vec]))
+        if len(block) == BLOCK:
+            exact, block = [*exact, written(picked.mapInArrow(_against(block), "qcls long, cls long, apart double"), "exact")], []
+    exact.append(picked.mapInArrow(_against(block), "qcls long, cls long, apart double"))
+    again = _ranked(short, reduce(DataFrame.unionByName, exact), classes)
+    return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(again)
