@@ -11,8 +11,9 @@ vectors only at like norms; a query probes the bands that can hold one of its ne
 
 Data flow: equal vectors are one class that carries its TOP + 1 smallest ids (no list of TOP needs more). Buckets
 receive vectors rounded to 16 bits a component, compare them with the queries that probe them and pass on
-the KEEP nearest; the KEEP nearest of each query are ranked exactly, in double precision on the original
-vectors. A bucket of more than BLOCK vectors is dealt out in pieces, each with the bucket's queries, so what a
+the KEEP nearest. The first FIRST tables give each query a distance within which KEEP / 2 vectors lie; what the
+others pass on is nearer, so the candidates of a query don't grow with the table. The KEEP nearest of each query
+are ranked exactly, in double precision on the original vectors. A bucket of more than BLOCK vectors is dealt out in pieces, each with the bucket's queries, so what a
 task holds is bounded. Queries for which fewer than TOP are found are compared with all vectors, BLOCK queries
 at a time. Every row is indexed; nothing is fitted or sampled. What reaches the driver is one row for each pair
 of dimension and band, large buckets never, and the vectors of one block of short queries at a time.
@@ -35,20 +36,26 @@ from pyspark.sql import functions as F
 
 from veritrail.llm.common import written
 
-TABLES, PROBES, FINE, TOP, KEEP, BLOCK, SEED = 30, 24, 34, 10, 40, 8192, 20240607
+TABLES, FIRST, PROBES, FINE, TOP, KEEP, BLOCK, SEED = 30, 3, 24, 34, 10, 40, 8192, 20240607
 #: Numbers handled at once while hashing and while comparing.
 CELLS = 1 << 21
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The fast Walsh-Hadamard transform of each row, scaled to keep lengths; columns are a power of two."""
+    """The fast Walsh-Hadamard transform of each row, scaled to keep lengths; columns are a power of two.
+
+    Each step transforms up to 64 columns at once by a small matrix product, which is far quicker than steps of two.
+    """
     n, d = x.shape
     h = 1
     while h < d:
-        x = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2).reshape(n, d)
-        h *= 2
-    return x / np.sqrt(d)
+        r = min(64, d // h)
+        small = np.ones((1, 1), x.dtype)
+        while len(small) < r:
+            small = np.block([[small, small], [small, -small]])
+        x = (x.reshape(-1, r) @ small if h == 1 else small @ x.reshape(-1, r, h)).reshape(n, d)
+        h *= r
+    return x / x.dtype.type(np.sqrt(d))
 
 
 def width(d: int) -> int:
@@ -59,10 +66,10 @@ def width(d: int) -> int:
 def rotated(x: np.ndarray, number: int, seed: int = SEED) -> np.ndarray:
     """A pseudo-rotation: three rounds of signs and Hadamard transform, rows filled up with zeros."""
     n, d = x.shape
-    out = np.zeros((n, width(d)))
+    out = np.zeros((n, width(d)), x.dtype)
     out[:, :d] = x
     for s in np.random.default_rng([seed, number, d]).integers(0, 2, (3, width(d))) * 2 - 1:
-        out = hadamard(out * s)
+        out = hadamard(out * s.astype(x.dtype))
     return out
 
 
@@ -107,9 +114,9 @@ def codes(x: np.ndarray, levels: list[int], tab: int, probes: int) -> np.ndarray
     return code
 
 
-def _hashed(slots: dict[tuple[int, int], Slot], probes: int, short: bool = False):
-    """A map of rows (cls, vec, band) to one row for each table and bucket; short: without the vectors."""
-    schema = ["slot", "code", "cls", "scale", "q"]
+def _hashed(slots: dict[tuple[int, int], Slot], probes: int, tables: range, short: bool = False):
+    """A map of rows (cls, vec, band, most) to one row for each table and bucket; short: without the vectors."""
+    schema = ["slot", "code", "cls", "most", "scale", "q"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,15 +130,15 @@ def _hashed(slots: dict[tuple[int, int], Slot], probes: int, short: bool = False
                     x = flat[(starts[rows][:, None] + np.arange(d)).reshape(-1)].reshape(-1, d)
                     top = np.abs(x).max(axis=1, keepdims=True)
                     q = np.round(x / top * 32767).astype("<i2")
-                    x = x / top
+                    x = (x / top).astype(np.float32)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    cls, scale = batch.column("cls").take(pa.array(rows)), pa.array((top[:, 0] / 32767).astype(np.float64))
+                    cls, most, scale = batch.column("cls").take(pa.array(rows)), batch.column("most").take(pa.array(rows)), pa.array((top[:, 0] / 32767).astype(np.float64))
                     blobs = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * 2 * d).astype("<i4")), pa.py_buffer(q.tobytes())])
-                    for tab in range(TABLES):
+                    for tab in tables:
                         code = codes(x, slot.levels, tab, probes)
                         for j in range(code.shape[1]):
                             head = [pa.array(np.full(len(rows), slot.number * TABLES + tab)), pa.array(code[:, j])]
-                            yield pa.RecordBatch.from_arrays(head if short else [*head, cls, scale, blobs], schema[:2] if short else schema)
+                            yield pa.RecordBatch.from_arrays(head if short else [*head, cls, most, scale, blobs], schema[:2] if short else schema)
 
     return run
 
@@ -150,7 +157,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members = np.add.reduceat(asks == 0, bounds[:-1])  # they come first in their group
         queries = np.flatnonzero(asks == 1)
         pairs = np.cumsum(members[group[queries]])
-        cls, scale, blob = np.asarray(table.column("cls")), np.asarray(table.column("scale")), table.column("q").chunk(0)
+        cls, most, scale, blob = np.asarray(table.column("cls")), np.asarray(table.column("most")), np.asarray(table.column("scale")), table.column("q").chunk(0)
         offsets = np.frombuffer(blob.buffers()[1], "<i4")[blob.offset : blob.offset + len(blob) + 1]
         data = np.frombuffer(blob.buffers()[2], "<i2")
         done = 0
@@ -168,10 +175,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = data[(offsets[a] // 2)[:, None] + at] * scale[a][:, None]
             x -= data[(offsets[b] // 2)[:, None] + at] * scale[b][:, None]
             apart = np.einsum("ij,ij->i", x, x)
+            near = apart <= most[a]
+            a, b, apart = a[near], b[near], apart[near]
             order = np.lexsort((apart, cls[a]))
             first = np.ones(len(order), bool)
             first[1:] = cls[a][order][1:] != cls[a][order][:-1]
-            start = np.flatnonzero(first)
+            start = np.flatnonzero(first[: len(order)])
             order = order[np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order)))) < KEEP]
             yield pa.RecordBatch.from_arrays([pa.array(cls[a][order]), pa.array(cls[b][order]), pa.array(apart[order])], ["qcls", "cls", "apart"])
         kept = table.slice(bounds[-2], int(members[-1]))
@@ -217,10 +226,13 @@ def _ranked(asked: DataFrame, candidates: DataFrame, classes: DataFrame) -> Data
 
 
 def _band(vec: Column) -> Column:
-    """Half octaves of the norm, taken by way of the largest component so that no square overflows."""
+    """Half octaves of the norm; very large and very small vectors are scaled first, that no square overflows."""
+
+    def of(exponent: int) -> Column:
+        return F.log2(F.aggregate(vec, F.lit(0.0), lambda s, x: s + (x.cast("double") * 2.0**exponent) * (x.cast("double") * 2.0**exponent))) - 2 * exponent
+
     top = F.array_max(F.transform(vec, lambda x: F.abs(x.cast("double"))))
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + (x.cast("double") / top) * (x.cast("double") / top)))
-    return F.rint(2 * (F.log2(top) + F.log2(norm))).cast("int")
+    return F.rint(F.when(top > 1e100, of(-600)).when(top < 1e-100, of(600)).otherwise(of(0))).cast("int")
 
 
 def _reached(slots: list[Slot]) -> dict[tuple[int, int], list[int]]:
@@ -255,20 +267,29 @@ def search(vectors: DataFrame, every: int = 100, id_col: str = "vec_id", vec_col
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     by_key = {(s.dim, s.band): s for s in slots}
 
-    picked = classes.select("cls", "least", "vec", "band")
-    size = picked.mapInArrow(_hashed(by_key, 1, short=True), "slot long, code long").groupBy("slot", "code").count()
-    large = size.where(F.col("count") > BLOCK).select("slot", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("pieces"))
-    schema = "slot long, code long, cls long, scale double, q binary"
-    index = picked.mapInArrow(_hashed(by_key, 1), schema).join(large, ["slot", "code"], "left")
-    index = index.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("cls"), "pieces").cast("int"), F.lit(0))).withColumn("asks", F.lit(0))
-    probing = picked.join(asked.select(F.col("qcls").alias("cls")).distinct(), "cls")
+    picked = classes.select("cls", "least", "vec", "band", F.lit(0.0).alias("most"))
+    size = picked.mapInArrow(_hashed(by_key, 1, range(TABLES), short=True), "slot long, code long").groupBy("slot", "code").count()
+    large = written(size.where(F.col("count") > BLOCK).select("slot", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("pieces")), "large")
+    probing = picked.drop("most").join(asked.select(F.col("qcls").alias("cls")).distinct(), "cls")
     reach = F.coalesce(*(F.when((F.size("vec") == d) & (F.col("band") == own), F.array(*map(F.lit, found))) for (d, own), found in _reached(slots).items()))
-    probing = probing.withColumn("reach", reach).select("cls", "vec", F.explode("reach").alias("band"))
-    probing = probing.mapInArrow(_hashed(by_key, PROBES), schema).join(large, ["slot", "code"], "left")
-    probing = probing.withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).withColumn("asks", F.lit(1))
-    columns = ["slot", "code", "piece", "asks", "cls", "scale", "q"]
-    met = index.select(*columns).unionByName(probing.select(*columns)).repartition("slot", "code", "piece").sortWithinPartitions("slot", "code", "piece", "asks")
-    found = written(_ranked(asked, met.mapInArrow(_compared, "qcls long, cls long, apart double"), classes), "found")
+    probing = written(probing.withColumn("reach", reach), "probing")
+
+    def met(asking: DataFrame, tables: range) -> DataFrame:
+        """(qcls, cls, apart) of the queries' candidates in these tables, not farther than ``most``."""
+        schema = "slot long, code long, cls long, most double, scale double, q binary"
+        index = picked.mapInArrow(_hashed(by_key, 1, tables), schema).join(large, ["slot", "code"], "left")
+        index = index.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("cls"), "pieces").cast("int"), F.lit(0))).withColumn("asks", F.lit(0))
+        asking = asking.select("cls", "vec", F.explode("reach").alias("band"), "most").mapInArrow(_hashed(by_key, PROBES, tables), schema).join(large, ["slot", "code"], "left")
+        asking = asking.withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).withColumn("asks", F.lit(1))
+        columns = ["slot", "code", "piece", "asks", "cls", "most", "scale", "q"]
+        both = index.select(*columns).unionByName(asking.select(*columns)).repartition("slot", "code", "piece").sortWithinPartitions("slot", "code", "piece", "asks")
+        return both.mapInArrow(_compared, "qcls long, cls long, apart double")
+
+    some = met(probing.withColumn("most", F.lit(float("inf"))), range(min(FIRST, TABLES)))
+    some = written(_first(some.repartition("qcls").groupBy("qcls", "cls").agg(F.min("apart").alias("apart")), "qcls", ["apart", "cls"], KEEP), "some")
+    bound = some.where(F.col("rank") == KEEP // 2).select(F.col("qcls").alias("cls"), F.col("apart").alias("most"))
+    rest = met(probing.join(bound, "cls", "left").fillna({"most": float("inf")}), range(FIRST, TABLES))
+    found = written(_ranked(asked, some.drop("rank").unionByName(rest), classes), "found")
 
     # what hashing found too little for is compared with everything, a block of queries at a time
     held = {d: sum(s.rows for s in slots if s.dim == d) for d in {s.dim for s in slots}}
