@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -200,6 +201,34 @@ def test_seating_follows_its_conditional():
     assert ((many >= 1) & (many <= 5000)).all()
 
 
+def test_sweeps_agree_with_all_seatings_of_a_context():
+    d, strength = 0.8, 1.0
+    c, parent = np.array([4, 6, 2, 1]), np.array([0.2, 0.05, 0.01, 0.1])
+    weights = pitman_yor.stirling(d)
+    mean, norm = np.zeros(4), 0.0
+    for seating in itertools.product(*(range(1, n + 1) for n in c)):
+        t = np.array(seating)
+        w = np.exp(np.log(strength + d * np.arange(t.sum())).sum() + weights[c, t].sum() + (t * np.log(parent)).sum())
+        mean, norm = mean + w * t, norm + w
+    copies, rng = 4000, np.random.default_rng(3)
+    counts, parents, tables, got = np.tile(c, copies), np.tile(parent, copies), np.ones(4 * copies, int), []
+    for sweep in range(30):
+        totals = np.repeat(tables.reshape(copies, 4).sum(axis=1), 4)
+        tables = pitman_yor.seat(counts, parents, totals - tables, d, strength, rng)
+        if sweep >= 10:
+            got.append(tables.reshape(copies, 4).mean(axis=0))
+    assert np.allclose(np.mean(got, axis=0), mean / norm, rtol=0.03)
+
+
+def test_contexts_dealt_over_shards_score_as_in_one_shard(spark, monkeypatch):
+    df = spark.createDataFrame([(k, " ".join(f"the w{(k * 7 + j * j) % 40} of" for j in range(60))) for k in range(200)], "doc_id long, text string").repartition(2)
+    one = {r.doc_id: r for r in pitman_yor.scores(df).collect()}
+    monkeypatch.setattr(pitman_yor, "SHARD", 4096)
+    for r in pitman_yor.scores(df).collect():
+        assert (r.n_known, r.train_tokens, r.held_out) == (one[r.doc_id].n_known, one[r.doc_id].train_tokens, one[r.doc_id].held_out)
+        assert abs(r.score - one[r.doc_id].score) < 0.02 * abs(one[r.doc_id].score) and abs(r.base_score - one[r.doc_id].base_score) < 1e-6
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     words, c = 30, rng.integers(0, 6, 30)

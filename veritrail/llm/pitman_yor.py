@@ -8,16 +8,20 @@ parent. After BURN sweeps SAMPLES states are kept and predictive probabilities a
 
 Data flow, all over the whole corpus. Documents are read in blocks of about BLOCK bytes. A block sends its
 distinct (context, word) pairs with training counts to shards by context; a shard adds up counts, samples
-tables and answers each block. Sums of tables by word go to shards by word, which also get each block's words,
-seat the parent and answer with counts. A block's texts then meet its answers and are scored. A common pair or
-word is one entry of a block however often it stands there, and contexts that hold over a quarter of a shard's
-share are dealt over shards by word as well. Shards grow in number with the corpus and not in size.
+tables and answers each block. Contexts that hold over a quarter of a shard's share are dealt over the shards by
+word as well; they are kept apart and swept in rounds of their own, after each of which the tables of a context
+are added up over its shards. Sums of tables by word go to shards by word, which also get each block's words, seat
+the parent and answer with counts. A block's texts then meet its answers and are scored. A common pair or word is
+one entry of a block however often it stands there. Shards grow in number with the corpus and not in size; a
+block sends a shard one message or none, so messages grow with blocks times shards until a message holds one
+pair, and never beyond the pairs themselves. The driver keeps the contexts dealt out, fewer than four a shard, with their sums.
 
 Approximations: tables of a context are drawn at once for all its words given the totals of the sweep before;
-while seating, the parent is a smoothed count of the block's words; words of over CLOSED customers are
-seated one step of a sequence of customers at a time instead of by Stirling numbers; words are known by 48 bits
-of their hash, so two share one with a chance below 1e-6 at ten thousand million words' pairs in one context.
-Discounts and strengths are fixed.
+while seating, the parent is a smoothed count of the block's training words, averaged over the blocks; words of
+over CLOSED customers are seated one step of a sequence of customers at a time instead of by Stirling numbers;
+the parent's tables and vocabulary while a shard seats its words are those of the shard times the shards, as
+words are dealt by hash; words are known by 48 bits of their hash, so two share one with a chance below 1e-6 at
+ten thousand million words' pairs in one context. Discounts and strengths are fixed.
 
 Defined cases: a null or empty text is its end token alone; a null id counts as training and is not held out;
 repeated rows each count and get their row; without training documents every probability is uniform; other
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm import tokens
-from veritrail.llm.common import remainder, written
+from veritrail.llm.common import dropped, remainder, written
 
 BLOCK, SHARD, SEED = 5 << 20, 8 << 20, 77
 BURN, SAMPLES, CLOSED = 4, 3, 256
@@ -48,7 +52,7 @@ FOLDS, HELD = 5, 1
 _KEY = np.uint64((1 << 48) - 1)
 #: The end token and the context of a first word.
 END, START = np.uint64(1), np.uint64(2)
-_PAIRS, _WORDS, _TEXT, _TOTALS, _HEAVY, _PARTIAL = range(6)
+_PAIRS, _WORDS, _TEXT, _TOTALS, _STATE, _PARTIAL, _PLACES, _SUMS = range(8)
 _SCHEMA = "kind int, home long, shard long, block long, data binary"
 _NAMES = ["kind", "home", "shard", "block", "data"]
 _TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -165,8 +169,8 @@ def _pair_requests(heavy: np.ndarray, shards: int):
         for number, _, b in _blocks(batches):
             shard, u, v, pair_of, word, word_code = _order(b, heavy, shards)
             count = np.bincount(pair_of[b.train], minlength=len(u)).astype(np.uint32)
-            seen = np.bincount(word_code)
-            share = (seen[np.searchsorted(word, v)] + 0.5) / (len(b.word) + 0.5 * len(word))
+            seen = np.bincount(word_code[b.train], minlength=len(word))
+            share = (seen[np.searchsorted(word, v)] + 0.5) / (b.train.sum() + 0.5 * len(word))
             parent = np.clip(np.round(-8 * np.log2(share)), 0, 255).astype(np.uint8)
             bounds = np.searchsorted(shard, np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(bounds)).tolist():
@@ -225,8 +229,29 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows)]) if rows else pa.table(dict(zip(_NAMES, (pa.array([], t) for t in _TYPES), strict=True)))
+
+
+def _to_words(shard: int, shards: int, words: np.ndarray, kept: list[np.ndarray]) -> Iterator[tuple]:
+    """Sums of tables by word, for the shards of the words."""
+    word, code = np.unique(words, return_inverse=True)
+    sums = [np.bincount(code, weights=t, minlength=len(word)).astype(np.int64) for t in kept]
+    target = (tokens.mix(word + np.uint64(5)) % np.uint64(shards)).astype(np.int64)
+    by_target = np.argsort(target, kind="stable")
+    bounds = np.searchsorted(target[by_target], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(bounds)).tolist():
+        x = by_target[bounds[s] : bounds[s + 1]]
+        x = x[sums[0][x] > 0]
+        if len(x):
+            yield (_PARTIAL, s, shard, -1, packed(*_low48(word[x]), *(_narrow(t[x]) for t in sums)))
+
+
 def _pair_shard(heavy: np.ndarray, shards: int):
-    """Adds up pairs, samples their tables and answers each block; sums of tables by word go on to the words' shards."""
+    """Adds up pairs, samples their tables and answers each block; sums of tables by word go on to the words' shards.
+
+    Pairs of contexts that are dealt out leave as the shard's state, and for each block the places of its pairs there.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         shard, blocks = int(group.column("shard")[0].as_py()), group.column("block").to_pylist()
@@ -245,12 +270,14 @@ def _pair_shard(heavy: np.ndarray, shards: int):
         pu, pv = u[first], v[first]
         c = np.bincount(pair, weights=count).astype(np.int64)
         parent = np.bincount(pair, weights=np.exp2(-level / 8.0)) / np.bincount(pair)
+        dealt = np.isin(pu, heavy)
+        place = np.cumsum(dealt) - 1
         contexts, at = np.unique(pu, return_inverse=True)
-        spread = np.where(np.isin(contexts, heavy), shards, 1)
-        tables, rng, kept = np.minimum(c, 1), _rng(shard), []
+        seated = np.where(dealt, 0, c)
+        tables, rng, kept = np.minimum(seated, 1), _rng(shard), []
         for sweep in range(BURN + SAMPLES):
-            total = np.bincount(at, weights=tables, minlength=len(contexts)) * spread
-            tables = seat(c, parent, np.maximum(0, total[at] - tables), DISCOUNT, STRENGTH, rng)
+            total = np.bincount(at, weights=tables, minlength=len(contexts))
+            tables = seat(seated, parent, np.maximum(0, total[at] - tables), DISCOUNT, STRENGTH, rng)
             if sweep >= BURN:
                 kept.append(tables)
         customers = np.bincount(at, weights=c, minlength=len(contexts)).astype(np.int64)
@@ -259,27 +286,105 @@ def _pair_shard(heavy: np.ndarray, shards: int):
         for number, head, size in zip(blocks, heads, sizes, strict=True):
             mine = pair[begin : begin + size]
             begin += size
+            if len(heavy):
+                out = mine[dealt[mine]]
+                if len(out):
+                    rows.append((_PLACES, number, shard, number, packed(_narrow(place[out]))))
+                mine, head = mine[~dealt[mine]], head[~np.isin(head, heavy)]
             here = np.searchsorted(contexts, head)
             extra = [_narrow(t[mine] - np.minimum(c[mine], 1)) for t in kept]
             rows.append((_PAIRS, number, shard, number, packed(_narrow(c[mine]), *extra, _narrow(customers[here]), *(_narrow(s[here]) for s in served))))
-        some = np.flatnonzero(np.isin(contexts, heavy))
-        if len(some):
-            rows.append((_HEAVY, -1, shard, -1, packed(contexts[some], customers[some], *(s[some] for s in served))))
-        word, code = np.unique(pv, return_inverse=True)
-        sums = [np.bincount(code, weights=t, minlength=len(word)).astype(np.int64) for t in kept]
-        target = (tokens.mix(word + np.uint64(5)) % np.uint64(shards)).astype(np.int64)
-        by_target = np.argsort(target, kind="stable")
-        bounds = np.searchsorted(target[by_target], np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(bounds)).tolist():
-            x = by_target[bounds[s] : bounds[s + 1]]
-            x = x[sums[0][x] > 0]
-            if len(x):
-                rows.append((_PARTIAL, s, s, -1, packed(*_low48(word[x]), *(_narrow(t[x]) for t in sums))))
-        return pa.table(dict(zip(_NAMES, (pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)), strict=True)))
+        if dealt.any():
+            some = np.minimum(c[dealt], 1)
+            rows.append((_STATE, -1, shard, -1, packed(*_low48(pu[dealt]), *_low48(pv[dealt]), _narrow(c[dealt]), parent[dealt].astype(np.float32), _narrow(some))))
+        return _table([*rows, *_to_words(shard, shards, pv[~dealt], [t[~dealt] for t in kept])])
+
+    return run
+
+
+def _swept(totals: dict[int, int], sweep: int, keep: bool):
+    """A map of states: draws the tables of contexts that are dealt out, given all tables of each; keep: beside those kept before."""
+    key = np.array(sorted(totals), np.uint64)
+    total = np.array([totals[int(k)] for k in key])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, shard, data in zip(batch.column("kind").to_pylist(), batch.column("shard").to_pylist(), batch.column("data"), strict=True):
+                if kind != _STATE:
+                    continue
+                u0, u1, v0, v1, c, parent, *kept = unpacked(data.as_py())
+                u, c = _join48(u0, u1), c.astype(np.int64)
+                others = np.maximum(0, total[np.searchsorted(key, u)] - kept[-1].astype(np.int64))
+                tables = seat(c, parent.astype(float), others, DISCOUNT, STRENGTH, np.random.default_rng([SEED, shard, sweep]))
+                names, code = np.unique(u, return_inverse=True)
+                sums = np.bincount(code, weights=tables).astype(np.int64)
+                yield _batch([
+                    (_STATE, -1, shard, -1, packed(u0, u1, v0, v1, _narrow(c), parent, *(kept if keep else []), _narrow(tables))),
+                    (_SUMS, -1, shard, -1, packed(names, sums, np.bincount(code, weights=c).astype(np.int64))),
+                ])
+
+    return run
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each shard's sums: context, tables, customers. Of a state not swept yet, each pair with a customer has one table."""
+    for batch in batches:
+        for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+            got = unpacked(data.as_py())
+            if kind == _STATE:
+                names, code = np.unique(_join48(got[0], got[1]), return_inverse=True)
+                got = [names] + [np.bincount(code, weights=got[k]).astype(np.int64) for k in (6, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int64)), pa.array(got[1]), pa.array(got[2])], ["context", "tables", "customers"])
+
+
+def _dealt_words(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("data"), strict=True):
+                got = unpacked(data.as_py())
+                rows = list(_to_words(shard, shards, _join48(got[2], got[3]), [t.astype(np.int64) for t in got[-SAMPLES:]]))
+                if rows:
+                    yield _batch(rows)
 
     return run
 
 
+def _dealt_answers(state: pa.Table, places: pa.Table) -> pa.Table:
+    """The counts and tables of each block's pairs in contexts that are dealt out."""
+    if not state.num_rows:
+        return _table([])
+    got = unpacked(state.column("data")[0].as_py())
+    rows = []
+    for number, shard, data in zip(places.column("block").to_pylist(), places.column("shard").to_pylist(), places.column("data"), strict=True):
+        at = unpacked(data.as_py())[0].astype(np.int64)
+        rows.append((_PLACES, number, shard, number, packed(got[4][at], *(t[at] for t in got[-SAMPLES:]))))
+    return _table(rows)
+
+
+def _dealt_out(pairs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, dict[int, list[int]]]:
+    """Sweeps of the contexts that are dealt out: answers to blocks, sums by word, and each context's customers and tables a sample."""
+
+    def summed(rows: DataFrame) -> dict[int, tuple[int, int]]:
+        sums = rows.mapInArrow(_sums, "context long, tables long, customers long").groupBy("context").agg(F.sum("tables").alias("t"), F.sum("customers").alias("c"))
+        return {r.context: (r.t, r.c) for r in sums.toLocalIterator()}
+
+    state = pairs.where(F.col("kind") == _STATE)
+    now, spread = summed(state), {}
+    for sweep in range(BURN + SAMPLES):
+        swept = written(state.mapInArrow(_swept({k: t for k, (t, _) in now.items()}, sweep, sweep > BURN), _SCHEMA), "swept")
+        if sweep:
+            dropped(state)
+        state = swept
+        now = summed(swept.where(F.col("kind") == _SUMS))
+        if sweep >= BURN:
+            for k, (t, c) in now.items():
+                spread.setdefault(k, [c]).append(t)
+    state = state.where(F.col("kind") == _STATE)
+    places = pairs.where(F.col("kind") == _PLACES)
+    answers = state.groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(_dealt_answers, _SCHEMA)
+    return answers, state.mapInArrow(_dealt_words(shards), _SCHEMA), spread
+
+
 def _word_requests(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, b in _blocks(batches):
@@ -295,7 +400,7 @@ def _word_requests(shards: int):
     return run
 
 
-def _word_shard(vocabulary: int, shards: int):
+def _word_shard(shards: int):
     """Adds up words, seats the parent restaurant's part of them and answers each block; totals go to the driver."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -312,11 +417,13 @@ def _word_shard(vocabulary: int, shards: int):
             else:
                 for g, more in zip(guests, p[2:], strict=True):
                     g += np.bincount(code[a:b], weights=more, minlength=len(word)).astype(np.int64)
-        rng, base = _rng(shard + (1 << 40)), np.full(len(word), 1.0 / (vocabulary + 1))
-        tables = []
+        rng, tables = _rng(shard + (1 << 40)), []
+        base = np.full(len(word), 1.0 / (int((count > 0).sum()) * shards + 1))
         for g in guests:
-            others = np.full(len(word), max(0, int((g > 0).sum()) * shards - 1))
-            tables.append(seat(g, base, others, ROOT_DISCOUNT, ROOT_STRENGTH, rng))
+            t = np.minimum(g, 1)
+            for _ in range(BURN):
+                t = seat(g, base, np.maximum(0, int(t.sum()) * shards - t), ROOT_DISCOUNT, ROOT_STRENGTH, rng)
+            tables.append(t)
         rows = [(_TOTALS, -1, shard, -1, packed(np.array([count.sum(), (count > 0).sum(), *(g.sum() for g in guests), *(t.sum() for t in tables)], np.int64)))]
         for k, number, a, b in zip(kinds, numbers, bounds[:-1], bounds[1:], strict=True):
             if k == _WORDS:
@@ -356,6 +463,7 @@ def _score_block(shards: int, heavy: dict[int, tuple[int, ...]], totals: list[in
         raw, offsets, ids, known, train = unpacked(data[kinds.index(_TEXT)].as_py())
         b = Block(tokens.Chunk(None, 0, tokens.LOWER[raw], raw, offsets), train)
         shard, u, v, pair_of, word, word_code = _order(b, spread, shards)
+        dealt = np.isin(u, spread)
         count = np.zeros(len(word), np.int64)
         guests, tables = np.zeros((SAMPLES, len(word))), np.zeros((SAMPLES, len(word)))
         c, t = np.zeros(len(u)), np.zeros((SAMPLES, len(u)))
@@ -369,13 +477,18 @@ def _score_block(shards: int, heavy: dict[int, tuple[int, ...]], totals: list[in
                 count[x] = got[0]
                 guests[:, x], tables[:, x] = got[1 : 1 + SAMPLES], got[1 + SAMPLES :]
             elif kind == _PAIRS:
-                got, x = unpacked(blob.as_py()), slice(p_bounds[s], p_bounds[s + 1])
+                got, x = unpacked(blob.as_py()), np.arange(p_bounds[s], p_bounds[s + 1])
+                x = x[~dealt[x]]
                 c[x] = got[0]
                 t[:, x] = np.array(got[1 : 1 + SAMPLES]) + np.minimum(got[0], 1)
-                new = np.concatenate([[True], u[x][1:] != u[x][:-1]])
-                at = np.cumsum(new) - 1
+                at = np.cumsum(np.append(True, u[x][1:] != u[x][:-1])[: len(x)]) - 1
                 customers[x] = got[1 + SAMPLES][at]
                 served[:, x] = np.array([g[at] for g in got[2 + SAMPLES :]])
+            elif kind == _PLACES:
+                got, x = unpacked(blob.as_py()), np.arange(p_bounds[s], p_bounds[s + 1])
+                x = x[dealt[x]]
+                c[x] = got[0]
+                t[:, x] = got[1:]
         for key, (n, *tabs) in heavy.items():
             x = u == np.uint64(key)
             customers[x] = n
@@ -408,39 +521,25 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("train", ~held)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD))
-    shares = texts.mapInArrow(_shares(shards), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    shares = written(texts.mapInArrow(_shares(shards), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "shares")
     limit = (shares.where("word = 0").agg(F.sum("n")).first()[0] or 0) / (4 * shards)
     large = [r.word for r in shares.where((F.col("word") != 0) & (F.col("n") > limit)).toLocalIterator()] if shards > 1 else []
     heavy = np.array(sorted(large), np.uint64)
     asked = texts.mapInArrow(_pair_requests(heavy, shards), _SCHEMA)
     pairs = written(asked.groupBy("shard").applyInArrow(_pair_shard(heavy, shards), _SCHEMA), "pairs")
-    spread: dict[int, list[int]] = {}
-    for r in pairs.where(F.col("kind") == _HEAVY).toLocalIterator():
-        keys, *numbers = unpacked(r.data)
-        for i, key in enumerate(keys.tolist()):
-            spread[key] = [a + int(x[i]) for a, x in zip(spread.get(key, [0] * (1 + SAMPLES)), numbers, strict=True)]
-    vocabulary = _vocabulary(pairs)
-    asked = texts.mapInArrow(_word_requests(shards), _SCHEMA).unionByName(pairs.where(F.col("kind") == _PARTIAL))
-    words = written(asked.groupBy("shard").applyInArrow(_word_shard(vocabulary, shards), _SCHEMA), "words")
+    partial, spread, dealt = pairs.where(F.col("kind") == _PARTIAL), {}, None
+    if len(heavy):
+        dealt, more, spread = _dealt_out(pairs, shards)
+        partial = partial.unionByName(more)
+    asked = texts.mapInArrow(_word_requests(shards), _SCHEMA).unionByName(partial)
+    words = written(asked.groupBy("shard").applyInArrow(_word_shard(shards), _SCHEMA), "words")
     totals = [0] * (2 + 2 * SAMPLES)
     for r in words.where(F.col("kind") == _TOTALS).toLocalIterator():
         totals = [a + int(x) for a, x in zip(totals, unpacked(r.data)[0].tolist(), strict=True)]
     answers = pairs.where(F.col("kind") == _PAIRS).unionByName(words.where(F.col("kind") == _WORDS))
+    answers = answers.unionByName(dealt) if dealt is not None else answers
     gathered = texts.mapInArrow(_texts, _SCHEMA).unionByName(answers)
     out = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = gathered.groupBy("home").applyInArrow(_score_block(shards, {k: tuple(v) for k, v in spread.items()}, totals), out)
     held = F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each shard's sums the words in them, by the shard that they go to."""
-    for batch in batches:
-        sizes = [len(unpacked(x.as_py())[0]) for x in batch.column("data")]
-        yield pa.RecordBatch.from_arrays([batch.column("home"), pa.array(sizes, pa.int64())], ["home", "n"])
-
-
-def _vocabulary(pairs: DataFrame) -> int:
-    """A bound of the vocabulary that only serves as the base while the parent is seated: entries of all sums."""
-    sizes = pairs.where(F.col("kind") == _PARTIAL).select("home", "data").mapInArrow(_counted, "home long, n long")
-    return int(sizes.agg(F.sum("n")).first()[0] or 0)
