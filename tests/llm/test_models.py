@@ -221,9 +221,9 @@ def test_sweeps_agree_with_all_seatings_of_a_context():
 
 
 def test_contexts_dealt_over_shards_score_as_in_one_shard(spark, monkeypatch):
-    df = spark.createDataFrame([(k, " ".join(f"the w{(k * 7 + j * j) % 40} of" for j in range(60))) for k in range(200)], "doc_id long, text string").repartition(2)
+    df = spark.createDataFrame([(k, " ".join(f"the w{(k * 71 + j * j * 13) % 900} of" for j in range(120))) for k in range(200)], "doc_id long, text string").repartition(2)
     one = {r.doc_id: r for r in pitman_yor.scores(df).collect()}
-    monkeypatch.setattr(pitman_yor, "SHARD", 4096)
+    monkeypatch.setattr(pitman_yor, "SHARD", 48 << 10)
     for r in pitman_yor.scores(df).collect():
         assert (r.n_known, r.train_tokens, r.held_out) == (one[r.doc_id].n_known, one[r.doc_id].train_tokens, one[r.doc_id].held_out)
         assert abs(r.score - one[r.doc_id].score) < 0.02 * abs(one[r.doc_id].score) and abs(r.base_score - one[r.doc_id].base_score) < 1e-6

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Copies of a node's row in the joins of ``components``; a hub's edges go to that many tasks.
 SALTS = 8
+_local: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a local one only where none is named."""
+    """The folder that driver and executors share, as the cluster names it.
+
+    Where none is named: a temporary one if driver and tasks are one process, as in tests, else one in the warehouse.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="veritrail-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context = spark.sparkContext
+        alone = context.master == "local" or context.master.startswith("local[")
+        if alone and context.applicationId not in _local:
+            _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="veritrail-")
+        named = _local[context.applicationId] if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/veritrail"
     return named.rstrip("/")
 
 
@@ -80,7 +87,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _salted_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small = _salted_least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u > v").distinct(), "edges")
+        before, edges = edges, written(small.where("u > v").distinct(), "edges")
+        dropped(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

@@ -233,7 +233,7 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([_batch(rows)]) if rows else pa.table(dict(zip(_NAMES, (pa.array([], t) for t in _TYPES), strict=True)))
 
 
-def _to_words(shard: int, shards: int, words: np.ndarray, kept: list[np.ndarray]) -> Iterator[tuple]:
+def _to_words(shards: int, words: np.ndarray, kept: list[np.ndarray]) -> Iterator[tuple]:
     """Sums of tables by word, for the shards of the words."""
     word, code = np.unique(words, return_inverse=True)
     sums = [np.bincount(code, weights=t, minlength=len(word)).astype(np.int64) for t in kept]
@@ -244,7 +244,7 @@ def _to_words(shard: int, shards: int, words: np.ndarray, kept: list[np.ndarray]
         x = by_target[bounds[s] : bounds[s + 1]]
         x = x[sums[0][x] > 0]
         if len(x):
-            yield (_PARTIAL, s, shard, -1, packed(*_low48(word[x]), *(_narrow(t[x]) for t in sums)))
+            yield (_PARTIAL, s, s, -1, packed(*_low48(word[x]), *(_narrow(t[x]) for t in sums)))
 
 
 def _pair_shard(heavy: np.ndarray, shards: int):
@@ -297,7 +297,7 @@ def _pair_shard(heavy: np.ndarray, shards: int):
         if dealt.any():
             some = np.minimum(c[dealt], 1)
             rows.append((_STATE, -1, shard, -1, packed(*_low48(pu[dealt]), *_low48(pv[dealt]), _narrow(c[dealt]), parent[dealt].astype(np.float32), _narrow(some))))
-        return _table([*rows, *_to_words(shard, shards, pv[~dealt], [t[~dealt] for t in kept])])
+        return _table([*rows, *_to_words(shards, pv[~dealt], [t[~dealt] for t in kept])])
 
     return run
 
@@ -340,9 +340,9 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _dealt_words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("data"), strict=True):
+            for data in batch.column("data"):
                 got = unpacked(data.as_py())
-                rows = list(_to_words(shard, shards, _join48(got[2], got[3]), [t.astype(np.int64) for t in got[-SAMPLES:]]))
+                rows = list(_to_words(shards, _join48(got[2], got[3]), [t.astype(np.int64) for t in got[-SAMPLES:]]))
                 if rows:
                     yield _batch(rows)
 

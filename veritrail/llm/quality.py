@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm import tokens
-from veritrail.llm.common import remainder
+from veritrail.llm.common import remainder, written
 
 PASSAGE, BUCKETS, LENGTHS, HIDDEN, GATE = 64, 256, 14, 32, 16
 SAMPLE, LONGEST, MOST_PASSAGES, EPOCHS, BATCH, RATE, DECAY, SEED = 5000, 40_000, 80_000, 14, 64, 3e-3, 1e-4, 11
@@ -166,15 +166,16 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     known = known.where(F.col("label").isin(0, 1) & (remainder(F.col("id"), FOLDS) != 0)).groupBy("id").agg(F.min("label").alias("label"))
     picked = known.withColumn("key", F.xxhash64("id")).orderBy("key", "id").limit(SAMPLE)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(picked), "id").select("key", "label", "text").mapInArrow(_encoded, "key long, label int, x binary")
-    bags, y, held = [], [], 0
-    for r in sorted(rows.collect(), key=lambda r: (r.key, r.x)):
+    rows = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(picked), "id")
+    rows = rows.groupBy("key").agg(F.min("label").alias("label"), F.min("text").alias("text"))  # an id may have many rows
+    rows = written(rows.mapInArrow(_encoded, "key long, label int, x binary"), "learning")
+    held, last = 0, None
+    for r in sorted(rows.select("key", F.octet_length("x").alias("size")).collect()):  # SAMPLE numbers at most
         if held >= MOST_PASSAGES:
             break
-        bags.append(np.frombuffer(r.x, np.float16).reshape(-1, WIDTH))
-        y.append(r.label)
-        held += len(bags[-1])
-    return fit(bags, np.array(y))
+        held, last = held + r.size // (2 * WIDTH), r.key
+    rows = sorted(rows.where(F.col("key") <= last).collect(), key=lambda r: r.key) if last is not None else []
+    return fit([np.frombuffer(r.x, np.float16).reshape(-1, WIDTH) for r in rows], np.array([r.label for r in rows]))
 
 
 def _scored(model: Model):

@@ -24,6 +24,7 @@ repeated rows each get their row; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm import tokens
-from veritrail.llm.common import remainder
+from veritrail.llm.common import remainder, written
 
 EDITS, FUZZY_FROM, WINDOW = 1, 5, 6
-STEM_LENGTHS, LEAST_DOCS, LEAST_RATIO, STRONG_RATIO, LEAST_G, ENOUGH, MOST_TERMS = range(4, 11), 4, 6.0, 20.0, 24.0, 4, 400
-SAMPLE, LONGEST, FOLDS, THRESHOLD = 3000, 40_000, 3, 0.7
+STEM_LENGTHS, LEAST_DOCS, LEAST_RATIO, STRONG_RATIO, LEAST_G, ENOUGH = range(4, 11), 4, 6.0, 20.0, 24.0, 4
+#: Labelled documents of each sort to learn from (twice as many that are not toxic), characters of the longest, and of all together.
+SAMPLE, LONGEST, MOST_TEXT = 3000, 40_000, 60_000_000
+FOLDS, THRESHOLD = 3, 0.7
 KINDS = ("abuse", "stem", "misspelled", "quoted", "weak")
 #: Kinds that count towards hits a hundred words.
 PLAIN = [0, 1, 4]
@@ -154,8 +157,8 @@ def _quotation(chunk: tokens.Chunk, w: tokens.Words, doc: int, i: int) -> bool:
     begin = int(chunk.offsets[doc]) if first == w.of[doc] else int(w.starts[first])
     end = int(chunk.offsets[doc + 1]) if last == w.of[doc + 1] else int(w.starts[last])
     before = chunk.low[begin : w.starts[i]].tobytes().decode("utf-8", "replace")
-    after = chunk.low[w.ends[i] : min(end, int(w.ends[i]) + 200)].tobytes().decode("utf-8", "replace")
-    if any(q in before[-200:] for q in QUOTES) and any(q in after for q in QUOTES):
+    after = chunk.low[w.ends[i] : end].tobytes().decode("utf-8", "replace")
+    if any(q in before for q in QUOTES) and any(q in after for q in QUOTES):
         return True
     near = {chunk.low[w.starts[k] : w.ends[k]].tobytes() for k in range(first, last) if w.ends[k] - w.starts[k] <= 10}
     return any(r.encode() in near for r in REPORTING)
@@ -255,18 +258,23 @@ def learn_terms(toxic: list[str], other: list[str]) -> tuple[list[tuple[str, boo
             covered = covered or any(o[0] == name and o[1] and o[2] >= 0.9 * count for o in by_name[max(0, i - 1) : i])
         if not covered:
             kept[key] = (name, not is_word)
+    by_kind = np.argsort(inverse, kind="stable")
+    bounds = np.searchsorted(inverse[by_kind], np.arange(len(kinds) + 1))
     place = np.searchsorted(kinds, np.array(sorted(kept), np.uint64))
-    member = {int(kinds[p]): d[inverse == p] for p in place.tolist()} if len(place) <= MOST_TERMS else None
-    if member is None:
-        rank = np.argsort(-counts[place], kind="stable")[:MOST_TERMS]
-        member = {int(kinds[p]): d[inverse == p] for p in place[rank].tolist()}
+    member = {int(kinds[p]): d[by_kind[bounds[p] : bounds[p + 1]]] for p in place.tolist()}
     explained, out, weak = np.zeros(n, np.int64), [], set()
-    while member:
-        gains = {key: int((explained[x] < ENOUGH).sum()) for key, x in member.items()}
-        best = max(gains, key=lambda key: (gains[key], kept[key][0]))
-        if gains[best] < least:
+    order = {key: i for i, key in enumerate(sorted(kept, key=lambda key: kept[key][0], reverse=True))}
+    heap = [(-len(x), order[key], key) for key, x in member.items()]
+    heapq.heapify(heap)
+    while heap:  # gains only fall, so one that is still the best after a new count is the best of all
+        _, rank, best = heapq.heappop(heap)
+        gain = int((explained[member[best]] < ENOUGH).sum())
+        if heap and (-gain, rank) > heap[0][:2]:
+            heapq.heappush(heap, (-gain, rank, best))
+            continue
+        if gain < least:
             break
-        explained[member.pop(best)] += 1
+        explained[member[best]] += 1
         name, stem = kept[best]
         out.append((name.decode("utf-8", "replace"), stem))
         if best not in strong:
@@ -327,10 +335,16 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         some = known.where(F.col("label") == label).orderBy("key", "id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    toxic, other = [], []
-    for r in texts.where(F.length("text") <= LONGEST).join(F.broadcast(picked), "id").select("label", "text").toLocalIterator():
-        (toxic if r.label else other).append(r.text)
-    return fit(toxic, other)
+    rows = texts.where(F.length("text") <= LONGEST).join(F.broadcast(picked), "id")
+    rows = rows.groupBy("key").agg(F.max("label").alias("label"), F.min("text").alias("text"))  # an id may have many rows
+    rows = written(rows, "learning")
+    held, last = 0, None
+    for r in sorted(rows.select("key", F.length("text").alias("size")).collect()):  # 3 * SAMPLE numbers at most
+        if held >= MOST_TEXT:
+            break
+        held, last = held + r.size, r.key
+    rows = rows.where(F.col("key") <= last).collect() if last is not None else []
+    return fit([r.text for r in rows if r.label], [r.text for r in rows if not r.label])
 
 
 def _scored(model: Model):
