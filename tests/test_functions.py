@@ -107,7 +107,7 @@ def test_hosts_and_secrets(spark):
     hosts = spark.createDataFrame([("example.com",)], "host string")
     assert [r.admissible for r in web.admissible(df, hosts).orderBy("i").collect()] == [True, False, True, False, False]
     assert apply(df, web.is_safe_url(F.col("url"))) == [True, True, False, False, False]
-    assert apply(column(spark, ["8.8.8.8", "10.0.0.1", "::1", "x", None]), web.is_global("x")) == [True, False, False, None, None]
+    assert apply(column(spark, ["8.8.8.8", "10.0.0.1", "::1", "x", None]), web.is_global("x")) == [True, False, False, False, None]
     df = column(spark, ['{"api_key":"v","n":[{"x":"sk-abcdef123"}],"ok":"plain"}', "no json", '"Abcdefghij0123456789xyz"'])
     assert apply(df, web.redacted_json("x")) == ['{"api_key": "[REDACTED]", "n": [{"x": "[REDACTED]"}], "ok": "plain"}', None, '"[REDACTED]"']
     kept = web.provenance(spark.createDataFrame([("r", "secret prompt", "sk-abcdef12345")], "run_id string, prompt string, model_name string"))

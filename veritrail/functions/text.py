@@ -28,6 +28,8 @@ CITATION_SHAPES = (
 SPACE_LOSS_BLOCK, SPACE_LOSS_TOKEN, SPACE_LOSS_SHARE, LEAST_CHARS_A_PAGE = 2000, 12.0, 0.25, 100
 #: Fixed values of a full article: characters and a heading of references.
 ARTICLE_CHARS = 9000
+#: Fixed value: a heading that a full article has.
+ARTICLE_HEADING = r"(?im)^\s*(?:[0-9]+[.\s]*)?(?:references|bibliography|works cited|literature cited)\s*$"
 REFERENCES_HEADING = r"(?im)^[ \t]*(?:(?:\d+|[ivxlcdm]+)[.\)]?[ \t]+)?(?:references|bibliography|works cited|literature cited)\b"
 
 
@@ -113,7 +115,8 @@ def unreadable_reason(text: Column, extractor: Column, pages: Column) -> Column:
 
 
 def is_full_article(text: Column) -> Column:
-    return (F.length(text) >= ARTICLE_CHARS) & text.rlike(REFERENCES_HEADING)
+    """Long enough, and with a heading of references alone on its line."""
+    return (F.length(text) >= ARTICLE_CHARS) & text.rlike(ARTICLE_HEADING)
 
 
 def estimated_tokens(prompt: Column) -> Column:
@@ -138,9 +141,14 @@ def normalized_title(title: Column) -> Column:
 
 
 def slug(doi: Column, title: Column) -> Column:
-    """A safe name: of the DOI if there is one, else of the title with eight digits of its hash."""
-    safe = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.coalesce(safe(normalized_doi(doi)), F.concat(F.substring(safe(title), 1, 60), F.lit("-"), F.substring(F.sha2(title, 256), 1, 8)))
+    """A safe name of at most 180 characters: of the DOI if there is one, else of the title with eight digits of its hash."""
+    flat = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9._-]+", "-"), "^-+|-+$", "")
+    stem = F.regexp_replace(F.substring(flat(title), 1, 80), "^-+|-+$", "")
+    digest = F.substring(F.sha2(F.lower(F.trim(title)), 256), 1, 8)
+    by_title = F.concat(F.when(stem == "", "paper").otherwise(stem), F.lit("-"), digest)
+    made = F.regexp_replace(F.substring(F.when(F.coalesce(doi, F.lit("")) != "", flat(doi)).otherwise(by_title), 1, 180), "^[-.]+|[-.]+$", "")
+    made = F.when(made == "", "paper").otherwise(made)
+    return F.when(made.rlike("^[a-z0-9][a-z0-9._-]{0,180}$"), made).otherwise(F.concat(F.lit("paper-"), F.substring(F.sha2(made, 256), 1, 16)))
 
 
 def surname(author: Column) -> Column:
@@ -155,8 +163,9 @@ def abstract_from_index(index: Column, most: int = 600) -> Column:
 
 
 def safe_markdown(text: Column) -> Column:
-    """Characters that act in Markdown, escaped; line ends become spaces."""
-    return F.regexp_replace(F.regexp_replace(text, r"[\r\n]+", " "), r"([\\`*_{}\[\]()#+!<>|~-])", r"\\$1")
+    """Characters that act in Markdown, escaped; control characters and runs of white space become one blank."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1F]", " "), r"(?U)\s+", " "))
+    return F.regexp_replace(flat, r"([\\`*_\[\]()<>|])", r"\\$1")
 
 
 def safe_url(url: Column) -> Column:

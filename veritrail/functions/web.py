@@ -39,13 +39,16 @@ def is_safe_url(url: Column) -> Column:
 
 @F.pandas_udf(T.BooleanType())
 def is_global(address: pd.Series) -> pd.Series:
-    """Whether an IP address is public; null if it is no address."""
+    """Whether an IP address may be asked: public, and in none of the special ranges; what is no address may not."""
 
     def judge(text):
         try:
-            return ipaddress.ip_address(text).is_global
+            ip = ipaddress.ip_address(text)
         except ValueError:
-            return None
+            return False
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        special = ip.is_multicast, ip.is_reserved, ip.is_unspecified, ip.is_loopback, ip.is_link_local, ip.is_private, getattr(ip, "is_site_local", False)
+        return ip.is_global and not any(special)
 
     return address.map(judge, na_action="ignore")
 

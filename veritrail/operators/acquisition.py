@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions.text import is_full_article
+from veritrail.operators.identity import secondary_marker
 from veritrail.operators.quotes import title_share
 
 #: Shares of title words with and without the DOI in front, and how much of a text is the front.
 WITH_DOI, WITHOUT_DOI, FRONT = 0.4, 0.8, 6000
+#: Words of titles that tell nothing.
+COMMON = (
+    "a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "the", "to", "with", "using", "via", "study", "studies", "analysis", "effect", "effects",
+    "new", "novel", "high", "low",
+)
 
 
 def pending(requests: DataFrame) -> DataFrame:
@@ -17,11 +23,12 @@ def pending(requests: DataFrame) -> DataFrame:
 
 
 def identity(text, doi, title):
-    """struct(ok, share, doi_found): whether a document is the paper asked for."""
+    """struct(ok, share, doi_found): whether a document is the paper asked for, and not one about it."""
     head = F.lower(F.substring(text, 1, FRONT))
     found = F.coalesce(F.contains(head, F.lower(doi)) | F.contains(F.regexp_replace(head, r"\s+", ""), F.lower(doi)), F.lit(False))
-    share = title_share(F.substring(text, 1, FRONT), title)
-    return F.struct((share >= F.when(found, WITH_DOI).otherwise(WITHOUT_DOI)).alias("ok"), share.alias("share"), found.alias("doi_found"))
+    share = title_share(F.substring(text, 1, FRONT), title, COMMON)
+    about = secondary_marker(F.substring(text, 1, FRONT), title).isNotNull()
+    return F.struct((~about & (share >= F.when(found, WITH_DOI).otherwise(WITHOUT_DOI))).alias("ok"), share.alias("share"), found.alias("doi_found"))
 
 
 def inferred(files: DataFrame, requests: DataFrame) -> DataFrame:

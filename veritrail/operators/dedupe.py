@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritrail.sources import tables
+
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row of each key, the first in order; one shuffle, pre-limited on the map side."""
@@ -55,21 +55,20 @@ def cover_violations(declared: DataFrame, used: DataFrame, key: str) -> DataFram
     return both.where("_a IS NULL OR _b IS NULL").select(key, F.when(F.col("_b").isNull(), "declared_not_used").otherwise("used_not_declared").alias("problem"))
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node, reached, depth) of edges (node, next): all that each node reaches, by semi-naive iteration.
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, reached, depth) of edges (node, next): all that each node reaches, with the length of a shortest way.
 
-    Cycles end by themselves: a pair that is known is not followed again. Checkpoints cut the lineage.
+    Each round joins the known ways with themselves, so that ways of length n are known after log2(n) rounds. Cycles end
+    by themselves: pairs that are known don't become new. Checkpoints in the shared folder cut the lineage.
     """
-    context = edges.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='veritrail-')}")
-    step = edges.select("node", F.col("next").alias("reached")).distinct().withColumn("depth", F.lit(1))
-    known = step
-    for depth in range(2, most + 1):
-        hop = edges.select(F.col("node").alias("reached"), F.col("next").alias("_n"))
-        step = step.join(hop, "reached").select("node", F.col("_n").alias("reached")).distinct()
-        step = step.join(known.select("node", "reached"), ["node", "reached"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if step.isEmpty():
-            break
-        known = known.unionByName(step).checkpoint()
+    spark = edges.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tables.shared_dir(spark))
+    known = edges.select("node", F.col("next").alias("reached")).distinct().withColumn("depth", F.lit(1)).checkpoint()
+    count, before = known.count(), -1
+    while count != before:
+        hop = known.select(F.col("node").alias("reached"), F.col("reached").alias("_next"), F.col("depth").alias("_more"))
+        ways = known.join(hop, "reached").select("node", F.col("_next").alias("reached"), (F.col("depth") + F.col("_more")).alias("depth"))
+        known = known.unionByName(ways).groupBy("node", "reached").agg(F.min("depth").alias("depth")).checkpoint()
+        before, count = count, known.count()
     return known

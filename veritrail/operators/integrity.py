@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veritrail.operators.dedupe import closure
+
 #: Fixed value: how far mole fractions may be from one in sum.
 SUM_TOLERANCE = 0.001
 #: Quantity kinds that a composition's basis admits.
@@ -38,28 +40,15 @@ def unsorted_rows(rows: DataFrame, group: list[str], order: list[str], key: str)
     return rows.withColumn("previous", before).where(F.col("previous").isNotNull() & (F.col("previous") >= F.col(key)))
 
 
-def ancestors(spark: SparkSession, nodes: DataFrame, most: int = 100) -> DataFrame:
-    """(node, ancestor, depth) of a forest (node, parent), by a recursive query. Cycles stop at most levels."""
-    nodes.createOrReplaceTempView("_forest")
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, depth) AS (
-            SELECT node, parent, 1 FROM _forest WHERE parent IS NOT NULL
-            UNION ALL
-            SELECT up.node, f.parent, up.depth + 1 FROM up JOIN _forest f ON f.node = up.ancestor
-            WHERE f.parent IS NOT NULL AND up.depth < {most})
-        SELECT node, ancestor, depth FROM up""")
+def ancestors(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) of a graph (node, parent), however deep; nodes on a cycle are their own ancestors."""
+    edges = nodes.where("parent IS NOT NULL").select("node", F.col("parent").alias("next"))
+    return closure(edges).select("node", F.col("reached").alias("ancestor"), "depth")
 
 
-def on_cycles(spark: SparkSession, edges: DataFrame, most: int = 100) -> DataFrame:
+def on_cycles(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node): nodes of edges (node, parent) that reach themselves."""
-    edges.createOrReplaceTempView("_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(origin, node, depth) AS (
-            SELECT node, parent, 1 FROM _edges WHERE parent IS NOT NULL
-            UNION ALL
-            SELECT w.origin, e.parent, w.depth + 1 FROM walk w JOIN _edges e ON e.node = w.node
-            WHERE e.parent IS NOT NULL AND w.node <> w.origin AND w.depth < {most})
-        SELECT DISTINCT origin AS node FROM walk WHERE origin = node""")
+    return ancestors(spark, edges).where("node = ancestor").select("node")
 
 
 def several_roots(members: DataFrame, roots: DataFrame, group: str) -> DataFrame:

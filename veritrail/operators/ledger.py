@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,23 @@ STEPS = {
     "plan_pending_approval": ("approved_for_execution", "blocked", "failed"),
     "approved_for_execution": ("running_t3", "running_arc", "running_literature", "blocked", "failed"),
     "running_literature": ("literature_ready", "failed", "blocked"),
+    "literature_ready": ("running_t3", "running_literature", "completed_phase1", "blocked", "failed"),
+    "running_t3": ("diagnostics_ready", "failed"),
+    "running_arc": ("results_ready", "failed"),
+    "diagnostics_ready": ("completed_phase1", "running_literature", "failed"),
+    "results_ready": ("completed_phase1", "failed"),
+    "completed_phase1": (),
+    "blocked": ("ready_for_planning", "failed"),
+    "failed": ("ready_for_planning",),
+}
+#: Where a campaign that failed in a state may go on besides planning.
+RESUMES = {
+    "running_t3": "approved_for_execution",
+    "running_arc": "approved_for_execution",
+    "running_literature": "approved_for_execution",
+    "approved_for_execution": "approved_for_execution",
+    "diagnostics_ready": "diagnostics_ready",
+    "results_ready": "results_ready",
 }
 
 
@@ -90,12 +109,18 @@ def illegal_steps(log: DataFrame, legal: DataFrame, entity: str, order: list[str
     return steps.join(legal.select("previous", state).distinct(), ["previous", state], "left_anti")
 
 
-def can_step(current: Column, target: Column, failed_from: Column, legal: dict[str, tuple[str, ...]] = STEPS) -> Column:
-    """Whether a step is legal; out of failure, only to planning or to where the campaign had been."""
-    out = F.when((current == "failed") & (target == "ready_for_planning"), True).when(current == "failed", F.coalesce(failed_from == target, F.lit(False)))
-    for a, targets in legal.items():
-        out = out.when(current == a, target.isin(*targets))
-    return F.coalesce(out.otherwise(False), F.lit(False))
+def can_step(current: Column, target: Column, failed_from: Column) -> Column:
+    """Whether a step is legal; out of failure, to planning or to where RESUMES lets a campaign that failed there go on."""
+    legal = reduce(lambda a, b: a | b, [(current == a) & target.isin(*targets) for a, targets in STEPS.items() if targets])
+    resumed = reduce(lambda a, b: a | b, [(failed_from == a) & (target == b) for a, b in RESUMES.items()])
+    return F.coalesce(legal, F.lit(False)) | ((current == "failed") & F.coalesce(resumed, F.lit(False)))
+
+
+def illegal_campaign_steps(log: DataFrame, entity: str, order: list[str], state: str) -> DataFrame:
+    """(entity, order, previous, state): steps of campaigns that are not legal; a resumed one failed in the state before its failure."""
+    w = Window.partitionBy(entity).orderBy(*order)
+    steps = log.withColumns({"previous": F.lag(state).over(w), "_origin": F.lag(state, 2).over(w)}).where("previous IS NOT NULL")
+    return steps.where(~can_step(F.col("previous"), F.col(state), F.col("_origin"))).drop("_origin")
 
 
 def paths(spark: SparkSession, legal: DataFrame, most: int = 12) -> DataFrame:
@@ -118,10 +143,19 @@ def islands(rows: DataFrame, group: str, order: str, flag: Column) -> DataFrame:
     return marked.groupBy(group, "_i").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_i")
 
 
-def plan_state(actions: DataFrame, plan: str, status: str) -> DataFrame:
-    """(plan, state): failed if any action failed, completed if all ended well or were skipped, blocked if one is pending, else none."""
-    s = F.col(status)
-    state = F.when(F.bool_or(s == "failed"), "failed").when(F.bool_and(s.isin("succeeded", "skipped")), "completed").when(F.bool_or(s == "pending"), "blocked")
+def plan_state(actions: DataFrame, plan: str) -> DataFrame:
+    """(plan, state) of actions (execution, outcome, approval, blocking, passed, executable).
+
+    failed if an action's outcome blocks; completed if the cursor has passed all, one succeeded and so did all
+    blocking ones; blocked if none can be executed and one was rejected; else none.
+    """
+    done = F.coalesce(F.col("execution") == "succeeded", F.lit(False))
+    rejected = F.coalesce(F.col("approval") == "rejected", F.lit(False)) | F.coalesce(F.col("outcome") == "rejected", F.lit(False))
+    state = (
+        F.when(F.bool_or(F.coalesce(F.col("outcome") == "failed_blocking", F.lit(False))), "failed")
+        .when(F.bool_and("passed") & F.bool_or(done) & F.bool_and(done | ~F.col("blocking")), "completed_phase1")
+        .when(~F.bool_or("executable") & F.bool_or(rejected), "blocked")
+    )
     return actions.groupBy(plan).agg(F.coalesce(state, F.lit("none")).alias("state"))
 
 
@@ -144,3 +178,40 @@ def model_cost(calls: DataFrame, prices: DataFrame, worst: float = 5.0) -> DataF
     rate = fitted.groupBy("model").agg(F.min_by(F.struct("input_rate", "output_rate"), "place").alias("rate"))
     cost = (F.col("input_tokens") * F.col("rate.input_rate") + F.col("output_tokens") * F.col("rate.output_rate")) / 1_000_000
     return calls.join(rate, "model", "left").withColumn("cost_usd", F.coalesce(cost, F.lit(worst))).drop("rate")
+
+
+def requirement(kind: Column, cpu_hours: Column, spend: Column, budget: Column, policy: dict[str, Column]) -> Column:
+    """auto_approved or requires_approval of an action by kind, estimates and the approval policy; an unknown kind needs a person.
+
+    policy: t3_hours, arc_hours, experiments, literature (whether they need a person) and literature_usd.
+    """
+    tool = kind.isin("t3_run", "arc_run")
+    free = (
+        F.when(tool & (cpu_hours > budget), False)
+        .when(kind == "t3_run", cpu_hours <= policy["t3_hours"])
+        .when(kind == "arc_run", cpu_hours <= policy["arc_hours"])
+        .when(kind == "experiment", ~policy["experiments"])
+        .when(kind.isin("literature_search", "literature_corpus_pass"), ~policy["literature"] & (spend <= policy["literature_usd"]))
+    )
+    return F.when(F.coalesce(free, F.lit(False)), "auto_approved").otherwise("requires_approval")
+
+
+def usage(log: DataFrame, run: str, limits: dict[str, float]) -> DataFrame:
+    """(run, calls, tokens, cost_usd, fetch_bytes, exceeded) of reservations and what became of them.
+
+    log: (run, reservation, kind, state, tokens, cost_usd, bytes, actual_tokens, actual_cost_usd, actual_bytes); state is
+    open, settled or abandoned. An open one counts as reserved, a settled one as used; an abandoned model call gives all back
+    and an abandoned fetch only the bytes that did not come. Each reservation counts once, sums are decimal.
+    """
+    model, ended = F.col("kind") == "model_call", F.col("state") != "open"
+    gone = model & (F.col("state") == "abandoned")
+    spent = lambda actual, reserved: F.when(gone, 0).when(ended, F.coalesce(actual, reserved)).otherwise(reserved)
+    once = log.groupBy(run, "reservation").agg(*[F.max_by(c, F.col("state") != "open").alias(c) for c in log.columns if c not in (run, "reservation")])
+    used = once.groupBy(run).agg(
+        F.count_if(model & ~gone).alias("calls"),
+        F.coalesce(F.sum(F.when(model, spent(F.col("actual_tokens"), F.col("tokens")))), F.lit(0)).cast("long").alias("tokens"),
+        F.coalesce(F.sum(F.when(model, spent(F.col("actual_cost_usd"), F.col("cost_usd")).cast("decimal(28,6)"))), F.lit(0)).cast("decimal(28,6)").alias("cost_usd"),
+        F.coalesce(F.sum(F.when(~model, spent(F.col("actual_bytes"), F.col("bytes")))), F.lit(0)).cast("long").alias("fetch_bytes"),
+    )
+    over = [F.when(F.col(c) > limits[c], F.lit(c)) for c in ("calls", "tokens", "cost_usd", "fetch_bytes") if c in limits]
+    return used.withColumn("exceeded", F.coalesce(*over) if over else F.lit(None).cast("string"))

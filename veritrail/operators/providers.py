@@ -110,7 +110,11 @@ def candidates(answers: DataFrame) -> DataFrame:
     return once.select("paper", "provider", "m.position", "url", "m.tier")
 
 
+#: Types and beginnings of titles of index entries that are no papers.
+NO_PAPER_TYPES = ("editorial", "grant", "paratext", "peer-review")
+NO_PAPER_TITLE = r"(?i)^\s*(author response|decision letter|reviewer response|response to review)\b"
+
+
 def non_paper(record_type: Column, title: Column) -> Column:
     """Whether an index entry is no paper, by its type or title."""
-    kind = F.lower(record_type).isin("dataset", "peer-review", "paratext", "erratum", "supplementary-materials", "grant", "editorial", "letter")
-    return F.coalesce(kind, F.lit(False)) | F.coalesce(F.lower(title).rlike(r"^(?:supplementary|supporting) (?:material|information)|^table of contents|^(?:front|back) matter"), F.lit(False))
+    return F.coalesce(F.lower(record_type).isin(*NO_PAPER_TYPES), F.lit(False)) | F.coalesce(title.rlike(NO_PAPER_TITLE), F.lit(False))

@@ -158,9 +158,16 @@ def near_matches(docs: DataFrame, quotes: DataFrame, doc_id: str = "doc_id", doc
 
 
 def evidence_window(hay: Column, start: Column, end: Column, around: int = EVIDENCE) -> Column:
-    """The text of a match with so many characters on either side."""
-    first = F.greatest(F.lit(0), start - around)
-    return F.substr(hay, (first + 1).cast("int"), (end + around - first).cast("int"))
+    """The text of a match from the sentence boundary before it to the one after it.
+
+    A boundary is looked for within twice ``around`` characters; on a side without one the window ends ``around`` characters off.
+    """
+    first, size = F.greatest(F.lit(0), start - 2 * around), F.length(hay)
+    before = F.length(F.regexp_extract(F.substr(hay, (first + 1).cast("int"), (start - first).cast("int")), r"(?s)^.*[.!?\n]", 0))
+    after = F.length(F.regexp_extract(F.substr(hay, (end + 1).cast("int"), F.lit(2 * around)), r"(?s)^[^.!?\n]*[.!?\n]", 0))
+    left = F.when(before > 0, first + before).otherwise(F.greatest(F.lit(0), start - around))
+    right = F.when(after > 0, end + after).otherwise(F.least(size, end + around))
+    return F.substr(hay, (left + 1).cast("int"), (right - left).cast("int"))
 
 
 def term_present(term: Column, window: Column) -> Column:
@@ -174,21 +181,26 @@ def missing_anchors(claims: DataFrame, claim_id: str = "claim_id") -> DataFrame:
     return one.where(~term_present(F.col("anchor"), F.col("window"))).groupBy(claim_id).agg(F.array_sort(F.collect_set("anchor")).alias("missing"))
 
 
-def title_share(head: Column, title: Column) -> Column:
-    """The share of a title's distinct words of over two letters that stand anywhere in a document's head."""
+def title_share(head: Column, title: Column, without: tuple[str, ...] = ()) -> Column:
+    """The share of a title's distinct words of over two letters, but for some, that stand anywhere in a document's head."""
     words = F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " ")), " "), lambda w: F.length(w) > 2))
+    words = F.array_except(words, F.array(*map(F.lit, without))) if without else words
     held = F.filter(words, lambda w: F.contains(F.lower(head), w))
     return F.when(F.size(words) > 0, F.size(held) / F.size(words)).otherwise(0.0)
 
 
-def verdict(quote: Column, readable: Column, exact: Column, near: Column, discrepancy: Column, section: Column, identity: Column, missing: Column) -> Column:
-    """One status by an ordered ladder; the first that applies wins. Columns are flags, but for section and quote."""
+def verdict(quote: Column, readable: Column, exact: Column, near: Column, discrepancy: Column, section: Column, identity: Column, missing: Column, degraded: Column | None = None) -> Column:
+    """One status by an ordered ladder; the first that applies wins. Columns are flags, but for section and quote.
+
+    degraded: the text was read again without its sections, so that a quote found in it may stand in the references.
+    """
     return (
         F.when(readable.isNull(), "no_artifact")
         .when(~readable & ~exact & ~near, "artifact_unreadable")
         .when(F.length(quote) < SHORTEST, "too_short")
         .when(~exact & ~near & discrepancy, "semantic_discrepancy")
         .when(~exact & ~near, "quote_not_found")
+        .when(F.lit(False) if degraded is None else F.coalesce(degraded, F.lit(False)), "artifact_degraded")
         .when(section == "references", "references_only")
         .when(~identity, "identity_mismatch")
         .when(missing, "spans_missing")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritrail.plans import record_queries, text_queries
+from veritrail.plans import record_queries, rule_queries, text_queries
 
-QUERIES = text_queries.QUERIES | record_queries.QUERIES
-ORACLES = text_queries.ORACLES | record_queries.ORACLES
+QUERIES = text_queries.QUERIES | record_queries.QUERIES | rule_queries.QUERIES
+ORACLES = text_queries.ORACLES | record_queries.ORACLES | rule_queries.ORACLES

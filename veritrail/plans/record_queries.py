@@ -5,14 +5,12 @@ The tables stand in for the engine's records; each docstring says as what.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.functions import units
 from veritrail.operators import dedupe, diagnostics, integrity, layout, ledger, ranking, replay, versions
-from veritrail.sources.tables import table
+from veritrail.sources.tables import shared_dir, table
 from veritrail.streaming import logs
 
 QUERIES: dict = {}
@@ -106,82 +104,20 @@ def union_tier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'partial' ELSE 'complete' END AS coverage FROM orders GROUP BY o_custkey""")
-def lookup_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How complete the look-ups (orders) of a paper (customer) were; status P stands for a failed one."""
-    outcome = F.when(F.col("o_orderstatus") == "P", "failed").otherwise("answered")
-    return ranking.coverage(table(spark, sf_dir, "orders").select("o_custkey", outcome.alias("outcome")), "o_custkey")
-
-
-_COST = """CASE WHEN o_orderstatus = 'F' THEN o_totalprice WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 0.0 ELSE o_totalprice / 2 END"""
-
-
-@query(f"SELECT o_orderpriority AS priority, sum(({_COST})::DECIMAL(28,6)) AS consumed FROM orders GROUP BY 1")
-def spend_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs (orders): F has an actual cost, even P failed before a launch, all others pay their estimate."""
-    status, even = F.col("o_orderstatus"), F.col("o_orderkey") % 2 == 0
-    runs = table(spark, sf_dir, "orders").select(
-        F.col("o_orderpriority").alias("priority"),
-        F.when(status == "F", F.col("o_totalprice")).alias("actual"),
-        (F.col("o_totalprice") / 2).alias("estimate"),
-        F.when(status == "P", "failed").otherwise("succeeded").alias("status"),
-        F.when(even, "tool_not_found").otherwise("timeout").alias("failure"),
-    )
-    return ledger.spend(runs, ["priority"])
-
-
-@query("SELECT ts::DATE AS day, sum(value::DECIMAL(28,6)) AS total, count(*) AS n FROM events GROUP BY 1")
-def daily_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Charges (events) by day."""
-    return ledger.daily_totals(table(spark, sf_dir, "events"), "ts", "value")
-
-
-@query("""
-    WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-    f AS (SELECT user_id, 0::BIGINT AS n, 0::INT AS calls, 0.0::DOUBLE AS used FROM e GROUP BY user_id
-          UNION ALL SELECT e.user_id, e.n, f.calls + (f.calls < 20 AND f.used + e.value <= 500)::INT, CASE WHEN f.calls < 20 AND f.used + e.value <= 500 THEN f.used + e.value ELSE f.used END
-          FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
-    SELECT user_id, max(n) AS n_requests, arg_max(calls, n) AS n_admitted, round(arg_max(used, n), 6) AS used FROM f GROUP BY user_id""")
-def budget_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests (events) of a run (user), admitted in order while 20 calls and 500 in sum fit; a refused one uses nothing."""
-    done = ledger.admitted_natively(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 500.0, 20)
-    return done.withColumn("used", F.round("used", 6))
-
-
-@query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id")
-def latest_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest decision (click or purchase) about an action (user); other entries do not count."""
-    return ledger.latest_decision(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type", ("click", "purchase"))
-
-
-@query("""
-    WITH s AS (SELECT user_id, event_id, event_type AS state, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events)
-    SELECT user_id, event_id, previous, state FROM s WHERE previous IS NOT NULL AND NOT (previous, state) IN (('view', 'click'), ('click', 'purchase'), ('view', 'view'))""")
-def transition_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps of a campaign (user) that are not legal."""
-    legal = spark.sql("SELECT * FROM VALUES ('view', 'click'), ('click', 'purchase'), ('view', 'view') AS t(previous, state)")
-    log = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("state"))
-    return ledger.illegal_steps(log, legal, "user_id", ["event_id"], "state").select("user_id", "event_id", "previous", "state")
-
-
-@query("""
-    WITH n AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-    i AS (SELECT *, n - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM n WHERE value > 50)
-    SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM i GROUP BY user_id, i""")
-def gap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of neighbouring events above 50."""
-    return ledger.islands(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("value") > 50)
-
-
-@query("""
-    SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'failed' WHEN bool_and(o_orderstatus = 'F') THEN 'completed' WHEN bool_or(o_orderstatus = 'O') THEN 'blocked' ELSE 'none' END AS state,
-        min(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) AS cursor
-    FROM orders GROUP BY o_custkey""")
+    WITH a AS (SELECT o_custkey, o_orderkey, o_orderstatus IN ('F', 'O') AND o_orderkey % 7 <> 0 AS done, o_orderstatus = 'P' AND o_orderkey % 2 = 0 AS bad, o_orderkey % 5 = 0 AS rejected, o_orderkey % 3 = 0 AS blocking FROM orders)
+    SELECT o_custkey, CASE WHEN bool_or(bad) THEN 'failed' WHEN bool_and(done) AND bool_and(done OR NOT blocking) THEN 'completed_phase1'
+            WHEN bool_and(done OR rejected) AND bool_or(rejected) THEN 'blocked' ELSE 'none' END AS state,
+        min(CASE WHEN NOT done THEN o_orderkey END) AS cursor
+    FROM a GROUP BY o_custkey""")
 def plan_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State and cursor of plans (customers) over their actions (orders)."""
-    status = F.when(F.col("o_orderstatus") == "P", "failed").when(F.col("o_orderstatus") == "F", "succeeded").otherwise("pending")
-    actions = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", status.alias("status"))
-    return ledger.plan_state(actions, "o_custkey", "status").join(ledger.cursor(actions, "o_custkey", "o_orderkey", "status"), "o_custkey")
+    key = F.col("o_orderkey")
+    done, rejected = F.col("o_orderstatus").isin("F", "O") & (key % 7 != 0), key % 5 == 0
+    actions = table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderkey", F.when(done, "succeeded").otherwise("pending").alias("execution"), F.when((F.col("o_orderstatus") == "P") & (key % 2 == 0), "failed_blocking").alias("outcome"),
+        F.when(rejected, "rejected").otherwise("approved").alias("approval"), (key % 3 == 0).alias("blocking"), done.alias("passed"), (~done & ~rejected).alias("executable"),
+    )
+    return ledger.plan_state(actions, "o_custkey").join(ledger.cursor(actions, "o_custkey", "o_orderkey", "execution"), "o_custkey")
 
 
 @query("""
@@ -386,8 +322,7 @@ def unit_convert_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, build, mode: str = "append") -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='veritrail-')}"
-    base = f"{base.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    base = f"{shared_dir(spark)}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
     logs.drained(build, f"{base}/out", f"{base}/state", mode)
     return spark.read.parquet(f"{base}/out")
 

@@ -50,7 +50,9 @@ def quote_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH hits AS (SELECT b.item_id, d.doc_id, {_DOC} AS h, length({_ITEM}) AS n, instr({_DOC}, {_ITEM}) - 1 AS s
                   FROM benchmark b JOIN documents d ON contains({_DOC}, {_ITEM}) WHERE length({_ITEM}) >= 20)
-    SELECT item_id, doc_id, substring(h, greatest(0, s - 300) + 1, s + n + 300 - greatest(0, s - 300)) AS evidence FROM hits""")
+    , cuts AS (SELECT *, greatest(0, s - 600) AS lo, length(regexp_extract(substring(h, greatest(0, s - 600) + 1, s - greatest(0, s - 600)), '(?s)^.*[.!?\\n]')) AS b, length(regexp_extract(substring(h, s + n + 1, 600), '(?s)^[^.!?\\n]*[.!?\\n]')) AS a FROM hits),
+    ends AS (SELECT *, CASE WHEN b > 0 THEN lo + b ELSE greatest(0, s - 300) END AS l, CASE WHEN a > 0 THEN s + n + a ELSE least(length(h), s + n + 300) END AS r FROM cuts)
+    SELECT item_id, doc_id, substring(h, l + 1, r - l) AS evidence FROM ends""")
 def evidence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text around each first exact place."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -146,7 +148,7 @@ def space_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.select("doc_id", F.round("share", 9).alias("lost_share"), (F.col("share") >= text.SPACE_LOSS_SHARE).alias("spacing_lost"))
 
 
-@query("SELECT doc_id, length(text) >= 9000 AND regexp_matches(text, '(?im)^[ \\t]*(references|bibliography|works cited|literature cited)\\b') AS full_article, greatest(8000, length(text) // 3 + 4000) AS tokens FROM documents")
+@query("SELECT doc_id, length(text) >= 9000 AND regexp_matches(text, '(?im)^\\s*(?:[0-9]+[.\\s]*)?(?:references|bibliography|works cited|literature cited)\\s*$') AS full_article, greatest(8000, length(text) // 3 + 4000) AS tokens FROM documents")
 def full_article_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.is_full_article(F.col("text")).alias("full_article"), text.estimated_tokens(F.col("text")).alias("tokens"))
 
@@ -158,10 +160,15 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "text", F.length("text").alias("n_chars"))
 
 
-@query("SELECT page_id, CASE WHEN lower(html) LIKE '%<html%' OR lower(trim(html)) LIKE '<!doctype html%' THEN 'text/html' ELSE 'text/plain' END AS mime, length(html) AS size FROM pages")
+@query("""
+    WITH h AS (SELECT page_id, length(html) AS size, html, lower(regexp_replace(substring(html, 1, 4096), '^\\s+', '')) AS head FROM pages)
+    SELECT page_id, size, CASE WHEN html IS NULL THEN NULL WHEN head LIKE '<html%' OR head LIKE '<!doctype%' THEN 'text/html' ELSE 'text/plain' END AS fetched,
+        CASE WHEN html IS NULL THEN NULL WHEN substring(hex(encode(html)), 8193, 1) IN ('8', '9', 'A', 'B') THEN 'application/octet-stream' WHEN head LIKE '<?xml%' OR head LIKE '<article%' OR head LIKE '<!doctype article%' THEN 'application/xml' WHEN head LIKE '<html%' OR head LIKE '<!doctype html%' THEN 'text/html' ELSE 'text/plain' END AS dropped FROM h""")
 def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mime = extraction.content_type(F.encode("html", "UTF-8"))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(mime == "text/html", mime).otherwise("text/plain").alias("mime"), F.length("html").cast("long").alias("size"))
+    """Types of pages as fetched and as dropped; a dropped one whose first 4096 bytes end within a character counts as bytes."""
+    raw, known = F.encode("html", "UTF-8"), F.col("html").isNotNull()
+    fetched, dropped = F.when(known, extraction.fetched_type(raw)), F.when(known, extraction.content_type(raw))
+    return table(spark, sf_dir, "pages").select("page_id", F.length("html").cast("long").alias("size"), fetched.alias("fetched"), dropped.alias("dropped"))
 
 
 @query("""
@@ -239,19 +246,19 @@ def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH t AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://doi.org/10.1016/J.X.' || page_id WHEN 1 THEN 'doi: 10.1021/abc.' || page_id ELSE 'isbn-' || page_id END AS raw, url FROM pages)
     SELECT page_id, CASE page_id % 3 WHEN 0 THEN '10.1016/j.x.' || page_id WHEN 1 THEN '10.1021/abc.' || page_id END AS doi,
         CASE page_id % 3 WHEN 0 THEN '10.1016' WHEN 1 THEN '10.1021' END AS prefix,
-        CASE page_id % 3 WHEN 0 THEN '10-1016-j-x-' || page_id WHEN 1 THEN '10-1021-abc-' || page_id
-            ELSE substring(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) || '-' || substring(sha256(url), 1, 8) END AS slug
+        CASE page_id % 3 WHEN 0 THEN '10.1016-j.x.' || page_id WHEN 1 THEN '10.1021-abc.' || page_id
+            ELSE regexp_replace(substring(regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '^-+|-+$', '', 'g') || '-' || substring(sha256(lower(trim(url))), 1, 8) END AS slug
     FROM t""")
 def doi_and_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOIs in several spellings, their registrants and safe names."""
     k, n = F.col("page_id") % 3, F.col("page_id").cast("string")
     raw = F.when(k == 0, F.concat(F.lit("https://doi.org/10.1016/J.X."), n)).when(k == 1, F.concat(F.lit("doi: 10.1021/abc."), n)).otherwise(F.concat(F.lit("isbn-"), n))
     made = table(spark, sf_dir, "pages").select("page_id", "url", raw.alias("raw"))
-    return made.select("page_id", text.normalized_doi(F.col("raw")).alias("doi"), text.doi_prefix(F.col("raw")).alias("prefix"), text.slug(F.col("raw"), F.col("url")).alias("slug"))
+    return made.select("page_id", text.normalized_doi(F.col("raw")).alias("doi"), text.doi_prefix(F.col("raw")).alias("prefix"), text.slug(text.normalized_doi(F.col("raw")), F.col("url")).alias("slug"))
 
 
 @query("""
-    WITH w AS (SELECT b.item_id, b.text, list_distinct(list_filter(string_split(trim(regexp_replace(lower(b.text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 2)) AS words FROM benchmark b),
+    WITH w AS (SELECT b.item_id, b.text, list_distinct(list_filter(string_split(trim(regexp_replace(lower(b.text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 2 AND NOT list_contains(['and', 'for', 'from', 'the', 'with', 'using', 'via', 'study', 'studies', 'analysis', 'effect', 'effects', 'new', 'novel', 'high', 'low'], x))) AS words FROM benchmark b),
     s AS (SELECT b.item_id, d.doc_id, len(list_filter(b.words, lambda x: contains(lower(substring(d.text, 1, 6000)), x)))::DOUBLE / len(b.words) AS share FROM w b JOIN documents d ON contains({doc}, {item}) WHERE length({item}) >= 20 AND len(b.words) > 0)
     SELECT item_id, doc_id, round(share, 9) AS share, share >= 0.8 AS ok FROM s""".format(doc=_DOC, item=_ITEM))
 def title_identity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,16 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
         fresh.write.mode("append").parquet(path)
     fresh.unpersist()
     return n
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it.
+
+    Where none is named: a temporary one if driver and tasks are one process, as in tests, else one in the warehouse.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        alone = master == "local" or master.startswith("local[")
+        named = f"file://{tempfile.mkdtemp(prefix='veritrail-')}" if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/veritrail"
+    return named.rstrip("/")
