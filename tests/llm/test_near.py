@@ -356,3 +356,16 @@ def test_a_near_copy_far_back_in_a_large_group_is_found(spark):
         rows.append((k, " ".join([prose(41_000 + k, 20), *shared, *own, prose(42_000 + k, 20)])))
     found = {(r.doc_id, r.match_doc_id) for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert found >= {(k, k - 60) for k in range(60, 72)}
+
+
+def test_a_large_group_of_versions_loses_none_to_others_that_look_near(spark):
+    rng, versions = random.Random(12), []
+    base = prose(555, 50).split()
+    for k in range(400):  # two versions differ in two words, or in one where the places are the same
+        words = list(base)
+        words[rng.choice([*range(5, 12), *range(38, 45)])] = f"own{k}"
+        versions.append(words)
+    rows = [(k, " ".join([prose(50_000 + k, 20), *words, prose(60_000 + k, 20)])) for k, words in enumerate(versions)]
+    want = {i for i in range(400) if any(near(versions[i], versions[j]) for j in range(i))}
+    found = {r.doc_id for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(want) > 350 and want <= found
