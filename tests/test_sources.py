@@ -74,3 +74,12 @@ def test_streams_equal_their_batches(spark, tmp_path):
             n[run_id], used[run_id] = n.get(run_id, 0) + 1, used.get(run_id, 0) + amt
         expected.add((ord_, fits, used.get(run_id, 0.0)))
     assert {(r.ord, r.admitted, r.used) for r in run(logs.admissions(stream(), "run", "ord", "amt", 12.0, 5)).collect()} == expected
+
+
+def test_text_of_markup(spark):
+    cases = [
+        ("<p title='a > b'>one &lt;two&gt;</p><!-- <p>no</p> -->three", "one <two>\nthree"), ("<STYLE>x{}</STYLE><b> a </b>\n<i>b&#233;</i>", "a\nb\u00e9"),
+        ("a < b and c", "a < b and c"), ("<script>var x = '<p>no</p>'", ""), ("<styles>kept</styles>", "kept"), ("", ""), (None, None),
+    ]
+    df = spark.createDataFrame(cases, "html string, want string")
+    assert [r[0] for r in df.select(extraction.html_text("html")).collect()] == [c[1] for c in cases]

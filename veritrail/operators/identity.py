@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritrail.functions.text import normalized, surname
+from veritrail.operators import quotes
 from veritrail.operators.sections import section_of, special_regions
 
 #: Phrases by which a document says that it is about another one, and how far they are looked for.
@@ -37,44 +38,31 @@ def outside_references(text: Column, term: Column) -> Column:
     return F.coalesce((F.length(wanted) >= SHORTEST_TERM) & F.contains(normalized(body), wanted), F.lit(False))
 
 
-def _tokens(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text)
+def _tokens(text: str) -> set[str]:
+    return set(re.findall("[a-z0-9]+", text))
 
 
-def _damaged(candidate: str, token: str) -> bool:
-    rest = iter(token)
-    return SHORTEST_DAMAGED <= len(candidate) < len(token) <= len(candidate) + MOST_LOST and all(c in rest for c in candidate)
+def _worn(token: str) -> set[str]:
+    """What is left of a token that lost letters."""
+    sizes = range(max(SHORTEST_DAMAGED, len(token) - MOST_LOST), len(token))
+    return {"".join(left) for size in sizes for left in combinations(token, size)}
 
 
 def missing_token(window: str, title: str) -> str | None:
-    """A token of a title that a window lacks; a long one may have lost letters, a short one must be there."""
-    held, flat = _tokens(window), re.sub("[^a-z0-9]+", "", window)
-    for token in sorted({t for t in _tokens(title) if len(t) >= LONG_TOKEN}):
-        if token not in held and token not in flat and not any(_damaged(c, token) for c in held):
-            return token
-    short = {t for t in _tokens(title) if len(t) < LONG_TOKEN and t not in STOPWORDS}
-    return min(short - set(held), default=None)
+    """A token of a title that a window lacks; a long one may be worn or stand within others, a short one must be there."""
+    held, run = _tokens(window), "".join(re.findall("[a-z0-9]+", window))
+    absent = _tokens(title) - held - set(STOPWORDS)
+    excused = {t for t in absent if len(t) >= LONG_TOKEN and (t in run or not held.isdisjoint(_worn(t)))}
+    return min(absent - excused, default=None)
 
 
 def _resembles(body: str | None, title: str | None) -> bool:
-    """Whether a window of a text's body is close to a title and holds all of its tokens."""
+    """Whether a window of a text's body is close to a title and, widened to whole words, holds all of its tokens."""
     if not body or not title or len(title) < SHORTEST_TERM:
         return False
-    n, last = len(title), max(len(body) - len(title), 0)
-    matcher = SequenceMatcher(None)
-    matcher.set_seq2(title)
-    for start in sorted({*range(0, last + 1, max(1, n // 8)), last}):
-        matcher.set_seq1(body[start : start + n])
-        if matcher.real_quick_ratio() < TITLE_RATIO or matcher.quick_ratio() < TITLE_RATIO or matcher.ratio() < TITLE_RATIO:
-            continue
-        a, b = start, min(len(body), start + n)
-        while a > 0 and body[a - 1].isalnum():
-            a -= 1
-        while b < len(body) and body[b].isalnum():
-            b += 1
-        if missing_token(body[a:b], title) is None:
-            return True
-    return False
+    found = quotes.like_windows(body, title, quotes.gram_places(body, title), TITLE_RATIO)
+    ends = [(s - len(re.search(r"[^\W_]*$", body[:s])[0]), re.compile(r"[^\W_]*").match(body, s + len(title)).end()) for s, _ in found]
+    return any(missing_token(body[a:b], title) is None for a, b in ends)
 
 
 @F.pandas_udf(T.BooleanType())

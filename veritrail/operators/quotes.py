@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,34 +81,14 @@ def first_places(places: DataFrame) -> DataFrame:
     return places.groupBy("item_id", "doc_id").agg(F.min("q_start").alias("q_start"))
 
 
-def differs_in_meaning(window: str, needle: str) -> bool:
-    """Whether a digit, a negation, a negating prefix or an antonym is among what two similar texts differ in."""
-    import re
-
-    for tag, a, b, c, d in SequenceMatcher(None, window, needle).get_opcodes():
-        if tag != "equal" and any(x.isdigit() for x in window[a:b] + needle[c:d]):
-            return True
-    words = lambda t: set(re.findall("[a-z]+", t.lower()))
-    changed = words(window) ^ words(needle)
-    prefixed = any(w.startswith(p) and w[len(p) :] in changed for w in changed for p in NEGATING_PREFIXES if len(w) > len(p))
-    return bool(changed & set(NEGATIONS)) or prefixed or any(a in changed and b in changed for a, b in ANTONYMS)
-
-
-def best_window(hay: str, needle: str, threshold: float = THRESHOLD) -> tuple[int, float] | None:
-    """(start, ratio) of the best window of the needle's length, the earliest of equals; null below the threshold."""
-    n, last = len(needle), len(hay) - len(needle)
-    if n == 0 or last < 0:
-        return None
-    starts = list(range(0, last + 1, max(1, n // 8)))
-    if starts[-1] != last:
-        starts.append(last)
-    matcher, best = SequenceMatcher(None), None
-    matcher.set_seq2(needle)
-    for s in starts:
-        matcher.set_seq1(hay[s : s + n])
-        if matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold and (best is None or matcher.ratio() > best[1]):
-            best = (s, matcher.ratio())
-    return best if best and best[1] >= threshold else None
+def differs_in_meaning(window: Column, quote: Column) -> Column:
+    """Whether two similar texts differ in a numeral, or their words in a negation, a negating prefix or an antonym."""
+    numerals = lambda t: F.regexp_extract_all(t, F.lit("[0-9]+"), F.lit(0))
+    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit("[a-z]+"), F.lit(0))
+    changed = F.array_union(F.array_except(words(window), words(quote)), F.array_except(words(quote), words(window)))
+    affixed = [F.arrays_overlap(F.transform(changed, lambda w, p=p: F.concat(F.lit(p), w)), changed) for p in NEGATING_PREFIXES]
+    reversed_ = F.exists(F.array(*[F.array(*map(F.lit, pair)) for pair in ANTONYMS]), lambda pair: F.size(F.array_except(pair, changed)) == 0)
+    return reduce(Column.__or__, affixed, (numerals(window) != numerals(quote)) | F.arrays_overlap(changed, F.array(*map(F.lit, NEGATIONS))) | reversed_)
 
 
 def _needed(size: int, threshold: float) -> int:
@@ -114,12 +96,40 @@ def _needed(size: int, threshold: float) -> int:
 
     At most (1 - threshold) of the characters are unmatched on either side, and each spoils GRAM grams at most.
     """
-    return max(1, size - GRAM + 1 - 2 * GRAM * int(size * (1 - threshold) + 1e-9))
+    return max(0, size - GRAM + 1 - 2 * GRAM * int(size * (1 - threshold) + 1e-9))
 
 
-def _may_match(places: list[int], size: int, needed: int) -> bool:
-    """Whether so many of the quote's grams stand within a window's length of each other."""
-    return any(places[i + needed - 1] - places[i] <= size for i in range(len(places) - needed + 1))
+def _grid(size: int, length: int) -> np.ndarray:
+    """Starts of the windows of a text that a quote is measured at: eighths of it apart, and the last one."""
+    last = length - size
+    return np.append(np.arange(0, last, max(1, size // 8)), last) if last >= 0 else np.zeros(0, np.int64)
+
+
+def like_windows(hay: str, quote: str, places: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+    """(start, ratio) of the windows of a text that are like a quote by the threshold or more.
+
+    places: where the quote's grams begin in the text, in order. Only windows that hold enough of them are measured.
+    """
+    starts = _grid(len(quote), len(hay))
+    held = np.searchsorted(places, starts + len(quote) - GRAM, "right") - np.searchsorted(places, starts, "left")
+    measure = SequenceMatcher(None, b=quote)
+
+    def ratio(start: int) -> float:
+        measure.set_seq1(hay[start : start + len(quote)])
+        return measure.ratio()
+
+    return [(s, r) for s in starts[held >= _needed(len(quote), threshold)].tolist() if (r := ratio(s)) >= threshold]
+
+
+def best_window(hay: str, quote: str, places: np.ndarray, threshold: float = THRESHOLD) -> tuple[int, float] | None:
+    """The window most like the quote, the earliest of equals; null if there is none."""
+    return max(like_windows(hay, quote, places, threshold), key=lambda w: (w[1], -w[0]), default=None)
+
+
+def gram_places(hay: str, quote: str) -> np.ndarray:
+    """Where any gram of a quote begins in one text."""
+    grams = {quote[k : k + GRAM] for k in range(len(quote) - GRAM + 1)}
+    return np.array([k for k in range(len(hay) - GRAM + 1) if hay[k : k + GRAM] in grams], np.int64)
 
 
 def near_matches(docs: DataFrame, quotes: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", quote_id: str = "item_id", quote_text: str = "text") -> DataFrame:
@@ -145,16 +155,16 @@ def near_matches(docs: DataFrame, quotes: DataFrame, doc_id: str = "doc_id", doc
                     found: dict[tuple[int, str], list[int]] = {}
                     for end, (_, owners) in automaton.iter(hay):
                         for o in owners:
-                            found.setdefault(o, []).append(end)
+                            found.setdefault(o, []).append(end - GRAM + 1)
                     for (i, q), places in sorted(found.items()):
-                        if _may_match(places, len(q), _needed(len(q), THRESHOLD)) and q not in hay and (best := best_window(hay, q)):
-                            reason = "semantic_discrepancy" if differs_in_meaning(hay[best[0] : best[0] + len(q)], q) else None
-                            rows.append((i, d, best[0], best[1], reason))
-                yield pd.DataFrame(rows, columns=["item_id", "doc_id", "q_start", "ratio", "reason"])
+                        if len(places) >= max(1, _needed(len(q), THRESHOLD)) and q not in hay and (best := best_window(hay, q, np.array(places))):
+                            rows.append((i, d, *best, hay[best[0] : best[0] + len(q)], q))
+                yield pd.DataFrame(rows, columns=["item_id", "doc_id", "q_start", "ratio", "window", "quote"])
 
-        made = haystacks.mapInPandas(search, "item_id long, doc_id long, q_start long, ratio double, reason string")
+        made = haystacks.mapInPandas(search, "item_id long, doc_id long, q_start long, ratio double, window string, quote string")
         out = made if out is None else out.unionByName(made)
-    return out
+    reason = F.when(differs_in_meaning(F.col("window"), F.col("quote")), "semantic_discrepancy")
+    return out.select("item_id", "doc_id", "q_start", "ratio", reason.alias("reason"))
 
 
 def evidence_window(hay: Column, start: Column, end: Column, around: int = EVIDENCE) -> Column:
