@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import ann, decontamination, licenses, packing, passages, pitman_yor, quality, simhash, toxicity, url_filters
+from veritrail.llm import ann, centroids, decontamination, licenses, packing, passages, pitman_yor, quality, simhash, toxicity, url_filters
 from veritrail.llm.common import table
 
 #: The rule list of the URL filter: (host, path, verdict).
@@ -65,6 +65,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clustered(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_quality, op3_decontamination, op4_packing, op5_license_scan, op6_substring_dedup, op7_simhash, op8_nearest, op9_lm_scores, op10_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_url_filters, op2_quality, op3_decontamination, op4_packing, op5_license_scan, op6_substring_dedup, op7_simhash, op8_nearest, op9_lm_scores, op10_toxicity, op12_centroids, pipeline)}
 
 
 _OP1_SQL = """
@@ -92,5 +97,33 @@ FROM parts LEFT JOIN (SELECT * FROM hits WHERE place = 1) USING (n)
 """
 
 
+def _op12_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS) -> str:
+    """All rounds written out; distances and sums over components are of integers."""
+    step = """
+near{r} AS MATERIALIZED (
+    SELECT n, vec_id, v, cluster, distance FROM (
+        SELECT n, vec_id, v, cluster, distance, row_number() OVER (PARTITION BY n ORDER BY distance, cluster) AS place FROM (
+            SELECT n, vec_id, kept.v AS v, cluster, list_sum(list_transform(list_zip(kept.v, centre.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance FROM kept, centre{r} AS centre))
+    WHERE place = 1)"""
+    move = """,
+centre{s} AS MATERIALIZED (
+    SELECT cluster, coalesce(moved.v, centre{r}.v) AS v FROM centre{r} LEFT JOIN (
+        SELECT cluster, list((total - ((total % size) + size) % size) // size ORDER BY place) AS v FROM (
+            SELECT cluster, place, sum(v[place])::HUGEINT AS total, count(*)::HUGEINT AS size FROM near{r}, range(1, 65) AS places(place) GROUP BY ALL)
+        GROUP BY cluster) AS moved USING (cluster))"""
+    listed = ",".join(step.replace("{r}", str(r)) + (move.replace("{r}", str(r)).replace("{s}", str(r + 1)) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+centre0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v FROM (SELECT sha256('2:' || vec_id) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k})),{listed},
+inertias AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM near{rounds} GROUP BY cluster)
+SELECT vec_id, cluster::INT AS cluster, distance, cluster_inertia, (SELECT sum(distance)::BIGINT FROM near{rounds}) AS inertia,
+    sha256(array_to_string(centre{rounds}.v, ',')) AS centroid_sha256
+FROM near{rounds} JOIN inertias USING (cluster) JOIN centre{rounds} USING (cluster)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _OP1_SQL}
+    return {"op1_url_filters": _OP1_SQL, "op12_centroids": _op12_sql()}
