@@ -33,11 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, which cuts its lineage and survives lost executors."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df written to the shared folder (with the writer's options) and read again, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

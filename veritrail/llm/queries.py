@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import ann, centroids, decontamination, licenses, packing, passages, pitman_yor, quality, simhash, toxicity, url_filters
+from veritrail.llm import alignment, ann, centroids, decontamination, licenses, packing, passages, pitman_yor, quality, simhash, toxicity, url_filters
 from veritrail.llm.common import table
 
 #: The rule list of the URL filter: (host, path, verdict).
@@ -65,6 +65,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda groups: F.when(groups == "", groups).otherwise(F.sha2(groups, 256))
+    found = alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), carried=digest)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids.clustered(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
@@ -77,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_quality, op3_decontamination, op4_packing, op5_license_scan, op6_substring_dedup, op7_simhash, op8_nearest, op9_lm_scores, op10_toxicity, op12_centroids, pipeline)}
+    return {f.__name__: f for f in (op1_url_filters, op2_quality, op3_decontamination, op4_packing, op5_license_scan, op6_substring_dedup, op7_simhash, op8_nearest, op9_lm_scores, op10_toxicity, op11_alignment, op12_centroids, pipeline)}
 
 
 _OP1_SQL = """
