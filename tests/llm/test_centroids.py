@@ -18,7 +18,7 @@ def brute(rows, k=centroids.K, rounds=centroids.ROUNDS):
     vectors = {n: [math.floor(256 * x) for x in v] for n, (_, v) in enumerate(rows) if v is not None and len(v) == 64 and all(map(fits, v))}
     starts = sorted((hashlib.sha256(f"2:{rows[n][0]}".encode()).hexdigest(), v) for n, v in vectors.items() if rows[n][0] is not None)
     centres = [v for _, v in starts[:k]]
-    nearest = lambda: {n: min((sum((x - y) ** 2 for x, y in zip(v, c, strict=True)), i) for i, c in enumerate(centres)) for n, v in vectors.items()}
+    nearest = lambda: {n: min((min(sum((x - y) ** 2 for x, y in zip(v, c, strict=True)), int(centroids.MOST)), i) for i, c in enumerate(centres)) for n, v in vectors.items()}
     for _ in range(rounds):
         of = nearest()
         for i in range(len(centres)):

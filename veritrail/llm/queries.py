@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import alignment, ann, centroids, decontamination, licenses, packing, passages, pitman_yor, quality, simhash, toxicity, url_filters
+from veritrail.llm import alignment, ann, centroids, decontamination, licenses, packing, passages, personal, pitman_yor, quality, simhash, toxicity, url_filters
 from veritrail.llm.common import table
 
 #: The rule list of the URL filter: (host, path, verdict).
@@ -76,6 +76,11 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal.report(personal.spans(docs, personal.learned(docs)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_quality, op3_decontamination, op4_packing, op5_license_scan, op6_substring_dedup, op7_simhash, op8_nearest, op9_lm_scores, op10_toxicity, op11_alignment, op12_centroids, pipeline)}
+    return {f.__name__: f for f in (op1_url_filters, op2_quality, op3_decontamination, op4_packing, op5_license_scan, op6_substring_dedup, op7_simhash, op8_nearest, op9_lm_scores, op10_toxicity, op11_alignment, op12_centroids, op13_personal, pipeline)}
 
 
 _OP1_SQL = """
