@@ -303,11 +303,12 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     top = counted.orderBy(F.desc("n"), "pair").limit(frequent).select("pair", "n", "best").toPandas().sort_values("pair")  # frequent rows at most
     known = top["pair"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["best"].to_numpy(bool)
     kind = cut.schema["doc_id"].dataType.simpleString()
-    found = cut.mapInArrow(_scored(path_a, path_b, known), f"key long, doc_id {kind}, piece int, n_pieces int, {', '.join(f'{c} long' for c in NUMBERS)}, {', '.join(f'{c} string' for c in TEXT_PARTS)}, rare array<struct<pair: long, n: long>>")
-    one = found.where("n_pieces = 1").select("key", "doc_id", *NUMBERS, carried(F.col("body")).alias("groups"), "rare")
+    kinds = f"key long, doc_id {kind}, piece int, n_pieces int, {', '.join(f'{c} long' for c in NUMBERS)}, {', '.join(f'{c} string' for c in TEXT_PARTS)}, rare array<struct<pair: long, n: long>>"
+    found = lambda which: cut.where(which).mapInArrow(_scored(path_a, path_b, known), kinds)
+    one = found("n_pieces = 1").select("key", "doc_id", *NUMBERS, carried(F.col("body")).alias("groups"), "rare")
     ordered = F.array_sort(F.collect_list(F.struct("piece", *TEXT_PARTS)))
     many = (
-        found.where("n_pieces > 1")
+        found("n_pieces > 1")
         .groupBy("key")
         .agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in NUMBERS], carried(_stitched(ordered)).alias("groups"), F.flatten(F.collect_list("rare")).alias("rare"))
     )
