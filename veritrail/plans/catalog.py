@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from veritrail.plans import record_queries, rule_queries, text_queries
+from veritrail.plans import boundary_queries, record_queries, rule_queries, text_queries
 
-QUERIES = text_queries.QUERIES | record_queries.QUERIES | rule_queries.QUERIES
-ORACLES = text_queries.ORACLES | record_queries.ORACLES | rule_queries.ORACLES
+_PARTS = (text_queries, record_queries, rule_queries, boundary_queries)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
