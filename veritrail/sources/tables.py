@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,14 +72,39 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
     return n
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Where none is named: a temporary one if driver and tasks are one process, as in tests, else one in the warehouse.
+    Where none is named: a temporary one if driver and tasks are one process, as in tests, else one in the warehouse, which
+    must then be a place that all can reach.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        master = spark.sparkContext.master
-        alone = master == "local" or master.startswith("local[")
-        named = f"file://{tempfile.mkdtemp(prefix='veritrail-')}" if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/veritrail"
+        context = spark.sparkContext
+        if context.master == "local" or context.master.startswith("local["):
+            if context.applicationId not in _local:
+                _local[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='veritrail-')}"
+            return _local[context.applicationId]
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if "://" not in warehouse or warehouse.startswith("file:"):
+            raise ValueError(f"spark.checkpoint.dir names no shared folder, and the warehouse {warehouse} is one of the driver's machine")
+        named = warehouse.rstrip("/") + "/veritrail"
     return named.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what many steps read is made once, and outlives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
