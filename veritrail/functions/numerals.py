@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veritrail.functions.places import let
+
 #: The grammar of a numeral in prose, its sign repairs and what may not stand next to it.
 _TAIL = r"\d+(?:\.\d+)?(?:[eE][-+]?\d+(?:\.\d+)?)?"
 _SIGNED = r"(?:/[cC]0\s*|[-+−]|–(?=\d))?" + _TAIL
@@ -39,26 +41,31 @@ def glyph_health(text: Column) -> Column:
 
 def _single(text: Column, flat_pdf: Column, dash_damage: Column) -> Column:
     """struct(text, reason, repairs) of one value."""
-    part = lambda k: F.regexp_extract(text, VALUE, k)
-    sign, mantissa, mark, exponent_sign, exponent = (part(k) for k in range(1, 6))
-    negative = F.startswith(sign, F.lit("/C0")) | sign.isin("-", "−", "–")
-    clean = F.concat(
-        F.when(negative, "-").otherwise(""),
-        mantissa,
-        F.when(mark != "", F.concat(F.lit("e"), F.when(exponent_sign == "-", "-").otherwise("+"), exponent)).otherwise(""),
-    )
-    reason = (
-        F.when(~text.rlike(VALUE), "not_a_clean_numeral")
-        .when(F.contains(exponent, F.lit(".")), "decimal_exponent")
-        .when((mark == "e") & (exponent_sign == "") & ~F.contains(mantissa, F.lit(".")) & flat_pdf & dash_damage, "quarantined_bare_exponent")
-    )
-    repairs = F.array_compact(
-        F.array(
-            F.when(F.startswith(sign, F.lit("/C0")), "slash_c0_to_minus").when(sign == "−", "unicode_minus_to_ascii").when(sign == "–", "leading_en_dash_to_minus"),
-            F.when(F.startswith(exponent_sign, F.lit("þ")), "thorn_to_plus"),
+    names = ("sign", "mantissa", "mark", "exponent_sign", "exponent")
+
+    def of(p: Column) -> Column:
+        sign, mantissa, mark, exponent_sign, exponent = (p[n] for n in names)
+        negative = F.startswith(sign, F.lit("/C0")) | sign.isin("-", "−", "–")
+        clean = F.concat(
+            F.when(negative, "-").otherwise(""),
+            mantissa,
+            F.when(mark != "", F.concat(F.lit("e"), F.when(exponent_sign == "-", "-").otherwise("+"), exponent)).otherwise(""),
         )
-    )
-    return F.struct(F.when(reason.isNull(), clean).alias("text"), reason.alias("reason"), F.when(reason.isNull(), repairs).otherwise(F.array().cast("array<string>")).alias("repairs"))
+        reason = (
+            F.when(mantissa == "", "not_a_clean_numeral")
+            .when(F.contains(exponent, F.lit(".")), "decimal_exponent")
+            .when((mark == "e") & (exponent_sign == "") & ~F.contains(mantissa, F.lit(".")) & flat_pdf & dash_damage, "quarantined_bare_exponent")
+        )
+        repairs = F.array_compact(
+            F.array(
+                F.when(F.startswith(sign, F.lit("/C0")), "slash_c0_to_minus").when(sign == "−", "unicode_minus_to_ascii").when(sign == "–", "leading_en_dash_to_minus"),
+                F.when(F.startswith(exponent_sign, F.lit("þ")), "thorn_to_plus"),
+            )
+        )
+        kept = lambda why: F.struct(F.when(why.isNull(), clean).alias("text"), why.alias("reason"), F.when(why.isNull(), repairs).otherwise(F.array().cast("array<string>")).alias("repairs"))
+        return let(reason, kept)
+
+    return let(F.struct(*[F.regexp_extract(text, VALUE, k + 1).alias(n) for k, n in enumerate(names)]), of)
 
 
 def parsed(span: Column, flat_pdf: Column | None = None, dash_damage: Column | None = None) -> Column:
@@ -68,39 +75,48 @@ def parsed(span: Column, flat_pdf: Column | None = None, dash_damage: Column | N
     is not finite as a double; ``value`` only if it is.
     """
     flat_pdf, dash_damage = (F.lit(False) if c is None else c for c in (flat_pdf, dash_damage))
-    work = F.regexp_replace(span, r"(?U)^\s+|\s+$", "")
-    whole = (
-        F.when(work == "", "empty")
-        .when(F.lower(work).isin(*NOT_FINITE), "not_finite_literal")
-        .when(F.contains(work, F.lit("_")), "digit_separator")
-        .when(work.rlike(f"^{PLUS_MINUS_AS_SIX}$"), "possible_plus_minus")
-    )
     parts = r"(?s)^(.+?(?<![eE]))[-–](.*)$"
-    is_range = work.rlike(parts)
-    one = _single(work, flat_pdf, dash_damage)
-    low, high = (_single(F.regexp_extract(work, parts, k), flat_pdf, dash_damage) for k in (1, 2))
     number = lambda s: s["text"].try_cast("double")
-    finite = lambda s: F.abs(number(s)) < float("inf")
-    reason = F.coalesce(
-        whole,
-        F.when(
-            is_range,
-            F.when(low["reason"].isNotNull(), F.concat(F.lit("low_bound_"), low["reason"]))
-            .when(high["reason"].isNotNull(), F.concat(F.lit("high_bound_"), high["reason"]))
-            .when(~finite(low) | ~finite(high), "bound_not_finite")
-            .when(number(low) > number(high), "bounds_reversed"),
-        ).otherwise(F.coalesce(one["reason"], F.when(~finite(one), "value_not_finite"))),
-    )
-    good = reason.isNull()
-    return F.struct(
-        F.when(~good, "unresolvable").when(is_range, "range").otherwise("scalar").alias("kind"),
-        F.when(whole.isNull() & ~is_range, one["text"]).alias("text"),
-        F.when(good & ~is_range, number(one)).alias("value"),
-        F.when(good & is_range, number(low)).alias("low"),
-        F.when(good & is_range, number(high)).alias("high"),
-        reason.alias("reason"),
-        F.when(~good, F.array().cast("array<string>")).when(is_range, F.concat(low["repairs"], high["repairs"])).otherwise(one["repairs"]).alias("repairs"),
-    )
+    finite = lambda n: F.abs(n) < float("inf")
+
+    def read(work: Column) -> Column:
+        whole = (
+            F.when(work == "", "empty")
+            .when(F.lower(work).isin(*NOT_FINITE), "not_finite_literal")
+            .when(F.contains(work, F.lit("_")), "digit_separator")
+            .when(work.rlike(f"^{PLUS_MINUS_AS_SIX}$"), "possible_plus_minus")
+        )
+        bound = lambda k: _single(F.regexp_extract(work, parts, k), flat_pdf, dash_damage)
+        values = lambda r: F.when(r, F.array(bound(1), bound(2))).otherwise(F.array(_single(work, flat_pdf, dash_damage)))
+        return let(F.struct(whole.alias("whole"), work.rlike(parts).alias("is_range")), lambda w: let(values(w["is_range"]), lambda v: let(F.transform(v, number), lambda n: judged(w["whole"], w["is_range"], v, n))))
+
+    def judged(whole: Column, is_range: Column, values: Column, numbers: Column) -> Column:
+        one, low, high = F.get(values, F.lit(0)), F.get(values, F.lit(0)), F.get(values, F.lit(1))
+        first, second = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
+        reason = F.coalesce(
+            whole,
+            F.when(
+                is_range,
+                F.when(low["reason"].isNotNull(), F.concat(F.lit("low_bound_"), low["reason"]))
+                .when(high["reason"].isNotNull(), F.concat(F.lit("high_bound_"), high["reason"]))
+                .when(~finite(first) | ~finite(second), "bound_not_finite")
+                .when(first > second, "bounds_reversed"),
+            ).otherwise(F.coalesce(one["reason"], F.when(~finite(first), "value_not_finite"))),
+        )
+        return let(
+            reason,
+            lambda why: F.struct(
+                F.when(why.isNotNull(), "unresolvable").when(is_range, "range").otherwise("scalar").alias("kind"),
+                F.when(whole.isNull() & ~is_range, one["text"]).alias("text"),
+                F.when(why.isNull() & ~is_range, first).alias("value"),
+                F.when(why.isNull() & is_range, first).alias("low"),
+                F.when(why.isNull() & is_range, second).alias("high"),
+                why.alias("reason"),
+                F.when(why.isNotNull(), F.array().cast("array<string>")).otherwise(F.flatten(F.transform(values, lambda v: v["repairs"]))).alias("repairs"),
+            ),
+        )
+
+    return let(F.regexp_replace(span, r"(?U)^\s+|\s+$", ""), read)
 
 
 def is_close(a: Column, b: Column, relative: float = 1e-9) -> Column:
