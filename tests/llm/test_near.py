@@ -1,9 +1,11 @@
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import alnum_words, empty_docs, hard_docs, prose, spaced_words
 from veritrail.llm import ann, common, decontamination, passages, simhash, tokens
@@ -369,3 +371,39 @@ def test_a_large_group_of_versions_loses_none_to_others_that_look_near(spark):
     want = {i for i in range(400) if any(near(versions[i], versions[j]) for j in range(i))}
     found = {r.doc_id for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert len(want) > 350 and want <= found
+
+
+def test_nearest_of_equally_near_vectors(spark):
+    """One-hot vectors and points of a lattice, of which hundreds are equally near: distances are those of the nearest, in order."""
+    rng = random.Random(8)
+    for dim, n, kind in ((256, 200, "one_hot"), (16, 3000, "lattice")):
+        ids = rng.sample(range(1, 5 * n), n) + [0]
+        vectors = {i: [float(k == j % dim) for k in range(dim)] if kind == "one_hot" else [float(rng.randrange(1, 3)) for _ in range(dim)] for j, i in enumerate(ids)}
+        got: dict[int, list] = {}
+        for r in ann.search(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(3)).collect():
+            got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+        hits = total = 0
+        for q in (i for i in ids if i % 100 == 0):
+            want = sorted(math.dist(vectors[q], v) for i, v in vectors.items() if i != q)[: ann.TOP]
+            assert got[q] == sorted(got[q]) and len(got[q]) == ann.TOP and all(abs(s - math.dist(vectors[q], vectors[i])) < 1e-12 for s, i in got[q])
+            hits, total = hits + sum(s <= want[-1] + 1e-12 for s, _ in got[q]), total + ann.TOP
+        assert hits >= 0.9 * total, (kind, hits, total)
+
+
+def test_ties_go_to_the_smaller_id_among_all_that_is_met(spark):
+    """500 candidates at one distance, met in one bucket in an order of their own: none is dropped, the smallest ids come first."""
+    rng = random.Random(2)
+    n, dim = 500, 512
+    ids = rng.sample(range(1000, 9000), n)
+    q = np.zeros((n + 1, dim), "<i2")
+    q[np.arange(n), np.arange(n)] = 32767
+    q[n, dim - 1] = 32767
+    columns = {"slot": [0] * (n + 1), "code": [0] * (n + 1), "piece": [0] * (n + 1), "asks": [0] * n + [1], "cls": list(range(n + 1)), "most": [math.inf] * (n + 1), "scale": [1 / 32767] * (n + 1), "q": [r.tobytes() for r in q]}
+    batch = pa.RecordBatch.from_pydict(columns)
+    met = pa.Table.from_batches(list(ann._compared(iter([batch])))).to_pydict()
+    assert sorted(met["cls"]) == list(range(n)) and max(met["low"]) <= math.sqrt(2) <= min(met["high"])
+    classes = spark.createDataFrame([(c, i, [i], [float(k == c) for k in range(dim)]) for c, i in enumerate([*ids, 7])], "cls long, least long, ids array<long>, vec array<double>")
+    classes = classes.withColumn("vec", F.when(F.col("cls") == n, F.array(*[F.lit(float(k == dim - 1)) for k in range(dim)])).otherwise(F.col("vec")))
+    asked, candidates = spark.createDataFrame([(7, n)], "query_id long, qcls long"), spark.createDataFrame(list(zip(met["qcls"], met["cls"], met["low"], met["high"], strict=True)), "qcls long, cls long, low double, high double")
+    rows = sorted(ann._ranked(asked, candidates, classes).collect(), key=lambda r: r["rank"])
+    assert [r["vec_id"] for r in rows] == sorted(ids)[: ann.TOP]

@@ -10,9 +10,10 @@ Vectors of one dimension are indexed by bands of their norm (half octaves), as n
 vectors only at like norms; a query probes the bands that can hold one of its nearest.
 
 Data flow: equal vectors are one class that carries its TOP + 1 smallest ids (no list of TOP needs more). Buckets
-receive vectors rounded to 16 bits a component, compare them with the queries that probe them and pass on
-the KEEP nearest. The first FIRST tables give each query a distance within which KEEP / 2 vectors lie; what the
-others pass on is nearer, so the candidates of a query don't grow with the table. The KEEP nearest of each query
+receive vectors rounded to 16 bits a component and compare them with the queries that probe them. Rounding leaves each
+distance between two bounds; a vector is passed on unless TOP + 1 others are surely nearer, so that neither rounding
+nor ties lose one. The first FIRST tables give each query a distance within which TOP + 1 vectors surely lie; what the
+others pass on may be nearer, so the candidates of a query don't grow with the table but for ties. They
 are ranked exactly, in double precision on the original vectors. A bucket of more than BLOCK vectors is dealt out in pieces, each with the bucket's queries, so what a
 task holds is bounded. Queries for which fewer than TOP are found are compared with all vectors, BLOCK queries
 at a time. Every row is indexed; nothing is fitted or sampled. What reaches the driver is one row for each pair
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from veritrail.llm.common import written
 
-TABLES, FIRST, PROBES, FINE, TOP, KEEP, BLOCK, SEED = 30, 3, 24, 34, 10, 40, 8192, 20240607
+TABLES, FIRST, PROBES, FINE, TOP, BLOCK, SEED = 30, 3, 24, 34, 10, 8192, 20240607
 #: Numbers handled at once while hashing and while comparing.
 CELLS = 1 << 21
 
@@ -143,8 +144,20 @@ def _hashed(slots: dict[tuple[int, int], Slot], probes: int, tables: range, shor
     return run
 
 
+def _bounds(of: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each row the TOP + 1 least ``high`` among the rows of its query, infinite if there are fewer."""
+    order = np.lexsort((high, of))
+    starts = np.flatnonzero(np.diff(of[order], prepend=-1))
+    sizes = np.diff(np.append(starts, len(order)))
+    last = np.full(len(starts), np.inf)
+    last[sizes > TOP] = high[order][starts[sizes > TOP] + TOP]
+    out = np.empty(len(order))
+    out[order] = np.repeat(last, sizes)
+    return out
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket and piece, vectors before queries: the KEEP nearest of each query, by rounded vectors."""
+    """Rows sorted by bucket and piece, vectors before queries: of each query those that may be among its TOP + 1 nearest, and between what their distance lies."""
     kept: pa.Table | None = None  # the vectors of the bucket that the batch before ended in
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -175,32 +188,31 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = data[(offsets[a] // 2)[:, None] + at] * scale[a][:, None]
             x -= data[(offsets[b] // 2)[:, None] + at] * scale[b][:, None]
             apart = np.einsum("ij,ij->i", x, x)
-            near = apart <= most[a]
-            a, b, apart = a[near], b[near], apart[near]
-            order = np.lexsort((apart, cls[a]))
-            first = np.ones(len(order), bool)
-            first[1:] = cls[a][order][1:] != cls[a][order][:-1]
-            start = np.flatnonzero(first[: len(order)])
-            order = order[np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order)))) < KEEP]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[a][order]), pa.array(cls[b][order]), pa.array(apart[order])], ["qcls", "cls", "apart"])
+            apart, error = np.sqrt(apart), (scale[a] + scale[b]) * (np.sqrt(d) * 0.5 * (1 + 1e-6))
+            low, high = np.maximum(apart - error, 0), apart + error
+            near = low <= most[a]
+            qcls, found, low, high = cls[a][near], cls[b][near], low[near], high[near]
+            near = low <= _bounds(qcls, high)
+            yield pa.RecordBatch.from_arrays([pa.array(qcls[near]), pa.array(found[near]), pa.array(low[near]), pa.array(high[near])], ["qcls", "cls", "low", "high"])
         kept = table.slice(bounds[-2], int(members[-1]))
 
 
 def _against(block: list[tuple[int, list[float]]]):
-    """The TOP + 1 nearest vectors of a batch for each query of a block, exactly."""
+    """For each query of a block the vectors of a batch that may be among its TOP + 1 nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, cls, least = np.asarray(batch.column("vec").value_lengths()), np.asarray(batch.column("cls")), np.asarray(batch.column("least"))
+            sizes, cls = np.asarray(batch.column("vec").value_lengths()), np.asarray(batch.column("cls"))
             flat, starts = np.asarray(batch.column("vec").flatten(), dtype=np.float64), np.concatenate([[0], np.cumsum(sizes)])
             for d in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == d)
                 x = flat[(starts[rows][:, None] + np.arange(d)).reshape(-1)].reshape(-1, d)
                 for q, vec in block:
                     if len(vec) == d:
-                        apart = ((x - np.array(vec)) ** 2).sum(axis=1)
-                        near = np.lexsort((least[rows], apart))[: TOP + 1]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(cls[rows][near]), pa.array(apart[near])], ["qcls", "cls", "apart"])
+                        apart = np.sqrt(((x - np.array(vec)) ** 2).sum(axis=1))
+                        low, high = apart * (1 - 1e-9), apart * (1 + 1e-9)
+                        near = np.flatnonzero(low <= _bounds(np.zeros(len(x), np.int64), high))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(cls[rows][near]), pa.array(low[near]), pa.array(high[near])], ["qcls", "cls", "low", "high"])
 
     return run
 
@@ -214,10 +226,17 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def _nearest(candidates: DataFrame) -> DataFrame:
+    """(qcls, cls, low, high, most): candidates that may be among the TOP + 1 nearest of their query, and the distance (most) within which so many surely lie."""
+    near = candidates.repartition("qcls").groupBy("qcls", "cls").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    whole = Window.partitionBy("qcls").orderBy("high").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = near.withColumn("most", F.coalesce(F.nth_value("high", TOP + 1).over(whole), F.lit(float("inf"))))
+    return near.where("low <= most")
+
+
 def _ranked(asked: DataFrame, candidates: DataFrame, classes: DataFrame) -> DataFrame:
-    """(query_id, rank, vec_id, score) of candidates (qcls, cls, apart), ranked exactly."""
-    near = candidates.repartition("qcls").groupBy("qcls", "cls").agg(F.min("apart").alias("apart"))
-    near = _first(near, "qcls", ["apart", "cls"], KEEP).select("qcls", "cls").join(classes.select("cls", "least", "ids", "vec"), "cls")
+    """(query_id, rank, vec_id, score) of candidates (qcls, cls, low, high), ranked exactly."""
+    near = _nearest(candidates).select("qcls", "cls").join(classes.select("cls", "least", "ids", "vec"), "cls")
     near = near.join(classes.select(F.col("cls").alias("qcls"), F.col("vec").alias("own")), "qcls")
     near = near.select("qcls", "least", "ids", distance(F.col("own").cast("array<double>"), F.col("vec").cast("array<double>")).alias("score"))
     near = _first(near, "qcls", ["score", "least"], TOP + 1).drop("rank", "least")
@@ -275,7 +294,7 @@ def search(vectors: DataFrame, every: int = 100, id_col: str = "vec_id", vec_col
     probing = written(probing.withColumn("reach", reach), "probing")
 
     def met(asking: DataFrame, tables: range) -> DataFrame:
-        """(qcls, cls, apart) of the queries' candidates in these tables, not farther than ``most``."""
+        """(qcls, cls, low, high) of the queries' candidates in these tables that may be within ``most``."""
         schema = "slot long, code long, cls long, most double, scale double, q binary"
         index = picked.mapInArrow(_hashed(by_key, 1, tables), schema).join(large, ["slot", "code"], "left")
         index = index.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("cls"), "pieces").cast("int"), F.lit(0))).withColumn("asks", F.lit(0))
@@ -283,13 +302,13 @@ def search(vectors: DataFrame, every: int = 100, id_col: str = "vec_id", vec_col
         asking = asking.withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).withColumn("asks", F.lit(1))
         columns = ["slot", "code", "piece", "asks", "cls", "most", "scale", "q"]
         both = index.select(*columns).unionByName(asking.select(*columns)).repartition("slot", "code", "piece").sortWithinPartitions("slot", "code", "piece", "asks")
-        return both.mapInArrow(_compared, "qcls long, cls long, apart double")
+        return both.mapInArrow(_compared, "qcls long, cls long, low double, high double")
 
     some = met(probing.withColumn("most", F.lit(float("inf"))), range(min(FIRST, TABLES)))
-    some = written(_first(some.repartition("qcls").groupBy("qcls", "cls").agg(F.min("apart").alias("apart")), "qcls", ["apart", "cls"], KEEP), "some")
-    bound = some.where(F.col("rank") == KEEP // 2).select(F.col("qcls").alias("cls"), F.col("apart").alias("most"))
+    some = written(_nearest(some), "some")
+    bound = some.groupBy(F.col("qcls").alias("cls")).agg(F.min("most").alias("most"))
     rest = met(probing.join(bound, "cls", "left").fillna({"most": float("inf")}), range(FIRST, TABLES))
-    found = written(_ranked(asked, some.drop("rank").unionByName(rest), classes), "found")
+    found = written(_ranked(asked, some.drop("most").unionByName(rest), classes), "found")
 
     # what hashing found too little for is compared with everything, a block of queries at a time
     held = {d: sum(s.rows for s in slots if s.dim == d) for d in {s.dim for s in slots}}
@@ -303,7 +322,7 @@ def search(vectors: DataFrame, every: int = 100, id_col: str = "vec_id", vec_col
     for r in short.select(F.col("qcls").alias("cls")).distinct().join(picked, "cls").toLocalIterator():
         block.append((r.cls, [float(v) for v in r.vec]))
         if len(block) == BLOCK:
-            exact, block = [*exact, written(picked.mapInArrow(_against(block), "qcls long, cls long, apart double"), "exact")], []
-    exact.append(picked.mapInArrow(_against(block), "qcls long, cls long, apart double"))
+            exact, block = [*exact, written(picked.mapInArrow(_against(block), "qcls long, cls long, low double, high double"), "exact")], []
+    exact.append(picked.mapInArrow(_against(block), "qcls long, cls long, low double, high double"))
     again = _ranked(short, reduce(DataFrame.unionByName, exact), classes)
     return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(again)
