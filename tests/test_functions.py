@@ -20,7 +20,8 @@ def apply(df, expression):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aB ﬁ-\n\tß漢①é é")))
 def test_offsets_point_at_the_source_of_each_character(t):
-    made, offsets = text._fold(t)
+    made, offsets = text.fold_with_map(t)
+    offsets = offsets.tolist()
     assert len(made) == len(offsets) and offsets == sorted(offsets) and all(0 <= o < len(t) for o in offsets)
     assert made == made.strip() and "  " not in made and "\n" not in made
     for c, o in zip(made, offsets, strict=True):
@@ -118,3 +119,8 @@ def test_structures_without_their_library(spark):
     pytest.importorskip("pandas")
     made = apply(column(spark, ["C", None]), chem.structure("x"))
     assert all(m.available in (True, False) for m in made) and all(m.canonical is None for m in made if not m.available)
+
+
+def test_slugs_strip_white_space_of_any_kind(spark):
+    df = column(spark, ["On Flames", "On Flames\n", "\t\u00a0On Flames \x1c", " On Flames "])
+    assert len(set(apply(df, text.slug(F.lit(None).cast("string"), F.col("x"))))) == 1

@@ -82,13 +82,13 @@ def test_evidence_anchors_and_identity(spark):
 
 def test_verdicts_take_the_first_rung(spark):
     flags = [
-        ("q" * 30, None, False, False, False, "body", True, False, "no_artifact"), ("q" * 30, False, False, False, False, "body", True, False, "artifact_unreadable"), ("q", True, True, False, False, "body", True, False, "too_short"),
-        ("q" * 30, True, False, False, True, "body", True, False, "semantic_discrepancy"), ("q" * 30, True, False, False, False, "body", True, False, "quote_not_found"), ("q" * 30, True, True, False, False, "references", False, True, "references_only"),
+        ("q" * 30, None, False, False, False, "body", True, False, "no_artifact"), ("q" * 30, False, False, False, False, "body", True, False, "artifact_unreadable"), ("q", True, True, False, False, "body", True, False, "quote_not_found too_short"),
+        ("q" * 30, True, False, False, True, "body", True, False, "quote_not_found semantic_discrepancy"), ("q" * 30, True, False, False, False, "body", True, False, "quote_not_found"), ("q" * 30, True, True, False, False, "references", False, True, "references_only"),
         ("q" * 30, True, True, False, False, "body", False, True, "identity_mismatch"), ("q" * 30, True, True, False, False, "body", True, True, "spans_missing"), ("q" * 30, True, True, False, False, "body", True, False, "grounded_exact"),
         ("q" * 30, True, False, True, False, "body", True, False, "grounded_fuzzy"),
     ]
     df = frame(spark, flags, "q string, r boolean, e boolean, n boolean, d boolean, s string, i boolean, m boolean, want string")
-    assert all(r.got == r.want for r in df.select("want", quotes.verdict(*[F.col(c) for c in "qrendsim"]).alias("got")).collect())
+    assert all(r.got == r.want for r in df.select("want", quotes.verdict(*[F.col(c) for c in "qrendsim"]).alias("v")).select("want", F.concat_ws(" ", "v.status", "v.reason").alias("got")).collect())
 
 
 def test_dedupe_and_covers(spark):

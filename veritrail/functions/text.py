@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,42 +40,51 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), SPACE, " "))
 
 
-def _fold(text: str) -> tuple[str, list[int]]:
-    chars: list[str] = []
-    places: list[int] = []
-    for i, c in enumerate(text):
-        for piece in unicodedata.normalize("NFKC", c):
-            for out in LIGATURES.get(piece, piece):
-                chars.append(out)
-                places.append(i)
-    flat = "".join(chars)
-    out: list[str] = []
-    at: list[int] = []
-    i = 0
-    broken = re.compile(r"(?<=\w)-\s*\n\s*(?=\w)")
-    blank = re.compile(r"\s+")
-    while i < len(flat):
-        if m := broken.match(flat, i):
-            i = m.end()
-        elif m := blank.match(flat, i):
-            out.append(" ")
-            at.append(places[i])
-            i = m.end()
-        else:
-            for c in flat[i].casefold():
-                out.append(c)
-                at.append(places[i])
-            i += 1
-    first = 1 if out[:1] == [" "] else 0
+#: A hyphen at a line's end between letters or digits, or a run of white space.
+_BREAKS = re.compile(r"(?<=\w)-\s*\n\s*(?=\w)|\s+")
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7F]")
+
+
+@lru_cache(1 << 16)
+def _compatible(c: str) -> str:
+    """The compatibility form of a character, ligatures apart."""
+    return "".join(LIGATURES.get(piece, piece) for piece in unicodedata.normalize("NFKC", c))
+
+
+def fold(text: str) -> str:
+    """Compatibility forms, ligatures, joined line-end hyphens, single spaces and case folding."""
+    flat = text if text.isascii() else _BEYOND_ASCII.sub(lambda m: _compatible(m.group()), text)
+    return _BREAKS.sub(lambda m: "" if m.group()[0] == "-" else " ", flat).casefold().strip(" ")
+
+
+def fold_with_map(text: str) -> tuple[str, np.ndarray]:
+    """The same with the source offset of each resulting character; goes by runs between breaks."""
+    flat, places = text, np.arange(len(text))
+    if not text.isascii():
+        pieces = [_compatible(c) for c in text]
+        flat, places = "".join(pieces), np.repeat(places, [len(p) for p in pieces])
+    parts, at, done = [], [places[:0]], 0
+    for m in _BREAKS.finditer(flat):
+        parts.append(flat[done : m.start()])
+        at.append(places[done : m.start()])
+        if m.group()[0] != "-":
+            parts.append(" ")
+            at.append(places[m.start() : m.start() + 1])
+        done = m.end()
+    joined, at = "".join([*parts, flat[done:]]), np.concatenate([*at, places[done:]])
+    out = joined.casefold()
+    if len(out) != len(joined):
+        at = np.repeat(at, [len(c.casefold()) for c in joined])
+    first = int(out[:1] == " ")
     last = len(out) - 1 if len(out) > first and out[-1] == " " else len(out)
-    return "".join(out[first:last]), at[first:last]
+    return out[first:last], at[first:last]
 
 
 @F.pandas_udf(T.StructType().add("text", T.StringType()).add("offsets", T.ArrayType(T.IntegerType())))
 def normalized_with_map(text: pd.Series) -> pd.DataFrame:
     """Compatibility forms, ligatures, joined line-end hyphens, single spaces and case folding, with the source
     offset of each resulting character. Spark has no Unicode normalization, hence a vectorised function."""
-    made = [_fold(t) if t is not None else (None, None) for t in text]
+    made = [fold_with_map(t) if t is not None else (None, None) for t in text]
     return pd.DataFrame({"text": [m[0] for m in made], "offsets": [m[1] for m in made]})
 
 
@@ -140,11 +151,16 @@ def normalized_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " "))
 
 
+def _stripped(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
 def slug(doi: Column, title: Column) -> Column:
     """A safe name of at most 180 characters: of the DOI if there is one, else of the title with eight digits of its hash."""
-    flat = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9._-]+", "-"), "^-+|-+$", "")
+    flat = lambda c: F.regexp_replace(F.regexp_replace(F.lower(_stripped(c)), "[^a-z0-9._-]+", "-"), "^-+|-+$", "")
     stem = F.regexp_replace(F.substring(flat(title), 1, 80), "^-+|-+$", "")
-    digest = F.substring(F.sha2(F.lower(F.trim(title)), 256), 1, 8)
+    digest = F.substring(F.sha2(F.lower(_stripped(title)), 256), 1, 8)
     by_title = F.concat(F.when(stem == "", "paper").otherwise(stem), F.lit("-"), digest)
     made = F.regexp_replace(F.substring(F.when(F.coalesce(doi, F.lit("")) != "", flat(doi)).otherwise(by_title), 1, 180), "^[-.]+|[-.]+$", "")
     made = F.when(made == "", "paper").otherwise(made)

@@ -58,17 +58,33 @@ def cover_violations(declared: DataFrame, used: DataFrame, key: str) -> DataFram
 def closure(edges: DataFrame) -> DataFrame:
     """(node, reached, depth) of edges (node, next): all that each node reaches, with the length of a shortest way.
 
-    Each round joins the known ways with themselves, so that ways of length n are known after log2(n) rounds. Cycles end
-    by themselves: pairs that are known don't become new. Checkpoints in the shared folder cut the lineage.
+    Once all pairs up to a length L are known, those up to 2 L are the pairs of length L itself, joined with all known ones: a
+    shortest way of L + j has a first part of L and a rest of j. So after log2 of the longest way all are known, and no
+    pair is made again from shorter halves. Each round's new pairs are one written table. Cycles end by themselves.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tables.shared_dir(spark))
-    known = edges.select("node", F.col("next").alias("reached")).distinct().withColumn("depth", F.lit(1)).checkpoint()
-    count, before = known.count(), -1
-    while count != before:
-        hop = known.select(F.col("node").alias("reached"), F.col("reached").alias("_next"), F.col("depth").alias("_more"))
-        ways = known.join(hop, "reached").select("node", F.col("_next").alias("reached"), (F.col("depth") + F.col("_more")).alias("depth"))
-        known = known.unionByName(ways).groupBy("node", "reached").agg(F.min("depth").alias("depth")).checkpoint()
-        before, count = count, known.count()
-    return known
+    known = new = tables.stored(edges.select("node", F.col("next").alias("reached")).where("node IS NOT NULL AND reached IS NOT NULL").distinct().withColumn("depth", F.lit(1)), "ways")
+    length = 1
+    while True:
+        longest = new.where(F.col("depth") == length)
+        if longest.isEmpty():
+            return known
+        rest = known.select(F.col("node").alias("reached"), F.col("reached").alias("_next"), F.col("depth").alias("_more"))
+        ways = longest.join(rest, "reached").groupBy("node", F.col("_next").alias("reached")).agg((F.min("_more") + length).alias("depth"))
+        new = tables.stored(ways.join(known.select("node", "reached"), ["node", "reached"], "left_anti"), "ways")
+        known, length = known.unionByName(new), 2 * length
+
+
+def on_rings(edges: DataFrame) -> DataFrame:
+    """(node): nodes on a cycle of edges (node, next) of which each node has one at most.
+
+    Each round a node's pointer jumps as far again, so that after log2 of the number of nodes every one that is left
+    points into a cycle, and what is pointed at are its nodes. Rows that lead out of the graph drop out.
+    """
+    jumps = tables.stored(edges.select("node", "next").where("node IS NOT NULL AND next IS NOT NULL"), "jumps")
+    reach, n = 1, jumps.count()
+    while reach <= n:
+        hop = jumps.select(F.col("node").alias("next"), F.col("next").alias("_far"))
+        before, jumps = jumps, tables.stored(jumps.join(hop, "next").select("node", F.col("_far").alias("next")), "jumps")
+        tables.removed(before)
+        reach *= 2
+    return jumps.select(F.col("next").alias("node")).distinct()

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritrail.operators.dedupe import closure
+from veritrail.operators.dedupe import closure, on_rings
 
 #: Fixed value: how far mole fractions may be from one in sum.
 SUM_TOLERANCE = 0.001
@@ -47,8 +47,12 @@ def ancestors(spark: SparkSession, nodes: DataFrame) -> DataFrame:
 
 
 def on_cycles(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node): nodes of edges (node, parent) that reach themselves."""
-    return ancestors(spark, edges).where("node = ancestor").select("node")
+    """(node): nodes of edges (node, parent) that reach themselves. Where each node has one parent at most, pointers jump and no
+    pairs are made; else the pairs of the closure tell."""
+    ways = edges.where("node IS NOT NULL AND parent IS NOT NULL").select("node", F.col("parent").alias("next")).distinct()
+    if ways.groupBy("node").count().where("count > 1").isEmpty():
+        return on_rings(ways)
+    return closure(ways).where("node = reached").select("node")
 
 
 def several_roots(members: DataFrame, roots: DataFrame, group: str) -> DataFrame:

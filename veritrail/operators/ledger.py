@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veritrail.sources.tables import stored
+
 #: Failures before a launch, which cost nothing.
 PRE_LAUNCH = ("tool_not_found", "input_build_error")
 #: Dimensions of a run's budget, in the order in which exhaustion is told.
@@ -123,16 +125,21 @@ def illegal_campaign_steps(log: DataFrame, entity: str, order: list[str], state:
     return steps.where(~can_step(F.col("previous"), F.col(state), F.col("_origin"))).drop("_origin")
 
 
-def paths(spark: SparkSession, legal: DataFrame, most: int = 12) -> DataFrame:
-    """(origin, target, length, path): a shortest legal path between any two states, the least in text order."""
-    legal.createOrReplaceTempView("_legal")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(origin, target, length, path) AS (
-            SELECT previous, state, 1, array(previous, state) FROM _legal
-            UNION ALL
-            SELECT w.origin, l.state, w.length + 1, concat(w.path, array(l.state)) FROM walk w JOIN _legal l ON l.previous = w.target
-            WHERE NOT array_contains(w.path, l.state) AND w.length < {most})
-        SELECT origin, target, min(length) AS length, min_by(path, struct(length, path)) AS path FROM walk GROUP BY origin, target""")
+def paths(spark: SparkSession, legal: DataFrame) -> DataFrame:
+    """(origin, target, length, path): a shortest legal path between any two states, the least in text order.
+
+    By levels: each round extends the paths that the last one found by a step to states not reached yet and keeps the least
+    for each pair, as long as there are any. A state's way back to itself is no path.
+    """
+    steps = legal.select("previous", "state").where("previous IS NOT NULL AND state IS NOT NULL").distinct()
+    known = new = stored(steps.where("previous <> state").select(F.col("previous").alias("origin"), F.col("state").alias("target"), F.lit(1).alias("length"), F.array("previous", "state").alias("path")), "paths")
+    while not new.isEmpty():
+        longer = new.join(steps, F.col("target") == F.col("previous")).where("state <> origin")
+        longer = longer.select("origin", F.col("state").alias("target"), (F.col("length") + 1).alias("length"), F.concat("path", F.array("state")).alias("path"))
+        fresh = longer.groupBy("origin", "target").agg(F.min("length").alias("length"), F.min("path").alias("path"))
+        new = stored(fresh.join(known.select("origin", "target"), ["origin", "target"], "left_anti"), "paths")
+        known = known.unionByName(new)
+    return known
 
 
 def islands(rows: DataFrame, group: str, order: str, flag: Column) -> DataFrame:

@@ -14,10 +14,11 @@ from functools import reduce
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.functions.text import normalized
+from veritrail.functions.text import fold, fold_with_map, normalized
 
 BLOCK = 8_000_000
 GRAM = 4
@@ -35,8 +36,9 @@ ANTONYMS = [
 ]
 
 
-def _blocks(quotes: DataFrame, quote_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    wanted = quotes.select(F.col(quote_id).alias("id"), normalized(F.col(text)).alias("quote")).where(F.length("quote") >= SHORTEST)
+def _blocks(quotes: DataFrame, quote_id: str, text: str, raw: bool = False) -> Iterator[list[tuple[int, str]]]:
+    wanted = quotes.select(F.col(quote_id).alias("id"), (F.col(text) if raw else normalized(F.col(text))).alias("quote"))
+    wanted = wanted.where("quote IS NOT NULL") if raw else wanted.where(F.length("quote") >= SHORTEST)
     total = wanted.agg(F.sum(F.length("quote"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK))
     for b in range(blocks):
@@ -76,6 +78,38 @@ def occurrences(docs: DataFrame, quotes: DataFrame, doc_id: str = "doc_id", doc_
     return out
 
 
+def raw_places(docs: DataFrame, quotes: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", quote_id: str = "item_id", quote_text: str = "text") -> DataFrame:
+    """(item_id, doc_id, start, end): every place of a quote in a document, in characters of the raw text, by full normalization.
+
+    Both sides lose ligatures, compatibility forms, case, hyphens at line ends and the width of white space. Offsets are
+    worked out for documents that hold a quote, and for no others. Quotes shorter than SHORTEST when normalized, and null
+    texts, have no places; ids that are null are kept.
+    """
+    haystacks = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("hay")).where("hay IS NOT NULL")
+    out = None
+    for block in _blocks(quotes, quote_id, quote_text, raw=True):
+        patterns: dict[str, list] = {}
+        for i, q in block:
+            if len(fold(q)) >= SHORTEST:
+                patterns.setdefault(fold(q), []).append(i)
+
+        def search(batches, patterns=patterns):
+            automaton = _automaton(patterns)
+            for batch in batches:
+                rows = []
+                for d, raw in zip(batch.column("doc_id").to_pylist(), batch.column("hay"), strict=True):
+                    text = raw.as_py()
+                    hits = list(automaton.iter(fold(text))) if automaton is not None else []
+                    if hits:
+                        at = fold_with_map(text)[1]
+                        rows += [(i, d, int(at[end - size + 1]), int(at[end]) + 1) for end, (size, owners) in hits for i in owners]
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("item_id", "doc_id", "start", "end"), zip(*rows, strict=True) if rows else ([],) * 4, strict=True)})
+
+        made = haystacks.mapInArrow(search, "item_id long, doc_id long, start long, end long")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def first_places(places: DataFrame) -> DataFrame:
     """The first place of each quote in each document."""
     return places.groupBy("item_id", "doc_id").agg(F.min("q_start").alias("q_start"))
@@ -200,16 +234,17 @@ def title_share(head: Column, title: Column, without: tuple[str, ...] = ()) -> C
 
 
 def verdict(quote: Column, readable: Column, exact: Column, near: Column, discrepancy: Column, section: Column, identity: Column, missing: Column, degraded: Column | None = None) -> Column:
-    """One status by an ordered ladder; the first that applies wins. Columns are flags, but for section and quote.
+    """struct(status, reason) by an ordered ladder; the first that applies wins. Columns are flags, but for section and quote.
 
+    The reason tells why a quote was not found: too_short or semantic_discrepancy; null where it simply is not there.
     degraded: the text was read again without its sections, so that a quote found in it may stand in the references.
     """
-    return (
+    short = F.length(quote) < SHORTEST
+    absent = ~exact & ~near
+    status = (
         F.when(readable.isNull(), "no_artifact")
-        .when(~readable & ~exact & ~near, "artifact_unreadable")
-        .when(F.length(quote) < SHORTEST, "too_short")
-        .when(~exact & ~near & discrepancy, "semantic_discrepancy")
-        .when(~exact & ~near, "quote_not_found")
+        .when(~readable & absent, "artifact_unreadable")
+        .when(short | absent, "quote_not_found")
         .when(F.lit(False) if degraded is None else F.coalesce(degraded, F.lit(False)), "artifact_degraded")
         .when(section == "references", "references_only")
         .when(~identity, "identity_mismatch")
@@ -217,6 +252,8 @@ def verdict(quote: Column, readable: Column, exact: Column, near: Column, discre
         .when(exact, "grounded_exact")
         .otherwise("grounded_fuzzy")
     )
+    reason = F.when(status == "quote_not_found", F.when(short, "too_short").when(discrepancy, "semantic_discrepancy"))
+    return F.struct(status.alias("status"), reason.alias("reason"))
 
 
 def credence(value: Column, ratio: Column, canonical: Column) -> Column:

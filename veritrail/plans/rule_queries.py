@@ -95,18 +95,18 @@ def plan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.plan_state(rows(spark, ACTIONS, _ACTIONS), "plan")
 
 
-GATE = """(30, NULL, false, false, false, 'body', true, false, false, 'no_artifact'), (30, false, false, false, false, 'body', true, false, false, 'artifact_unreadable'), (5, true, true, false, false, 'body', true, false, false, 'too_short'),
-    (30, true, false, false, true, 'body', true, false, false, 'semantic_discrepancy'), (30, true, false, false, false, 'body', true, false, false, 'quote_not_found'), (30, true, true, false, false, 'references', true, false, true, 'artifact_degraded'),
+GATE = """(30, NULL, false, false, false, 'body', true, false, false, 'no_artifact'), (30, false, false, false, false, 'body', true, false, false, 'artifact_unreadable'), (5, true, true, false, false, 'body', true, false, false, 'quote_not_found too_short'),
+    (30, true, false, false, true, 'body', true, false, false, 'quote_not_found semantic_discrepancy'), (30, true, false, false, false, 'body', true, false, false, 'quote_not_found'), (30, true, true, false, false, 'references', true, false, true, 'artifact_degraded'),
     (30, true, true, false, false, 'references', false, true, false, 'references_only'), (30, true, true, false, false, 'body', false, true, false, 'identity_mismatch'), (30, true, true, false, false, 'body', true, true, false, 'spans_missing'),
     (30, true, true, false, false, 'body', true, false, false, 'grounded_exact'), (30, true, false, true, false, 'body', true, false, false, 'grounded_fuzzy')"""
 
 
 @query(f"WITH {given('t', GATE, 'n, r, e, f, d, s, i, m, g, status')} SELECT row_number() OVER () AS place, status FROM t")
 def verdict_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every status of the grounding gate."""
+    """Every status of the grounding gate, with the reason behind it if there is one."""
     t = spark.sql(f"SELECT posexplode(array{GATE.join('()')})").select((F.col("pos") + 1).cast("long").alias("place"), *[F.col(f"col.col{k}").alias(c) for k, c in enumerate(("n", "r", "e", "f", "d", "s", "i", "m", "g"), 1)])
     status = quotes.verdict(F.repeat(F.lit("q"), F.col("n")), *[F.col(c) for c in ("r", "e", "f", "d", "s", "i", "m", "g")])
-    return t.select("place", status.alias("status"))
+    return t.select("place", F.concat_ws(" ", status["status"], status["reason"]).alias("status"))
 
 
 NAMES = """(1, '10.1016/J.Fuel.2020', 'x'), (2, NULL, '  On Flames: A Study of Ignition  '), (3, '', '漢字'), (4, NULL, 'v1.2_final-draft'), (5, '10.1/(x)..', 'y'),

@@ -47,6 +47,21 @@ def quote_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_JOINED = "trim(regexp_replace(replace(lower(regexp_replace({}, '([0-9A-Za-z_])-[ \\t\\r\\f\\v]*\\n\\s*([0-9A-Za-z_])', '\\1\\2', 'g')), 'ß', 'ss'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, {_JOINED.format("text")} AS h FROM documents), b AS (SELECT item_id, {_JOINED.format("text")} AS q FROM benchmark)
+    SELECT item_id, doc_id, q AS quote, (SELECT count(*) FROM range(1, length(h) - length(q) + 2) AS r(i) WHERE substring(h, i, length(q)) = q) AS n_places
+    FROM d JOIN b ON contains(h, q) WHERE length(q) >= 20""")
+def quote_raw_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of benchmark items by full normalization, cut out of the raw texts at their raw offsets and normalized again."""
+    docs = table(spark, sf_dir, "documents")
+    found = quotes.raw_places(docs, table(spark, sf_dir, "benchmark")).join(docs.select("doc_id", "text"), "doc_id")
+    cut = text.normalized_with_map(F.substr("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))["text"]
+    return found.select("item_id", "doc_id", cut.alias("quote")).groupBy("item_id", "doc_id", "quote").agg(F.count("*").alias("n_places"))
+
+
 @query(f"""
     WITH hits AS (SELECT b.item_id, d.doc_id, {_DOC} AS h, length({_ITEM}) AS n, instr({_DOC}, {_ITEM}) - 1 AS s
                   FROM benchmark b JOIN documents d ON contains({_DOC}, {_ITEM}) WHERE length({_ITEM}) >= 20)
@@ -71,7 +86,7 @@ def quote_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH hits AS (SELECT DISTINCT b.item_id FROM benchmark b JOIN documents d ON contains({_DOC}, {_ITEM}) WHERE length({_ITEM}) >= 20)
-    SELECT b.item_id, CASE WHEN length({_ITEM}) < 20 THEN 'too_short' WHEN h.item_id IS NULL THEN 'quote_not_found' ELSE 'grounded_exact' END AS status
+    SELECT b.item_id, CASE WHEN length({_ITEM}) < 20 OR h.item_id IS NULL THEN 'quote_not_found' ELSE 'grounded_exact' END AS status, CASE WHEN length({_ITEM}) < 20 THEN 'too_short' END AS reason
     FROM benchmark b LEFT JOIN hits h ON b.item_id = h.item_id""")
 def verdict_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One status for every benchmark item against the whole corpus; each item comes out exactly once."""
@@ -79,7 +94,7 @@ def verdict_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = quotes.occurrences(docs, items).select("item_id").distinct().withColumn("hit", F.lit(True))
     no, yes = F.lit(False), F.lit(True)
     status = quotes.verdict(text.normalized(F.col("text")), yes, F.coalesce("hit", no), no, no, F.lit("body"), yes, no)
-    return items.join(hit, "item_id", "left").select("item_id", status.alias("status"))
+    return items.join(hit, "item_id", "left").select("item_id", status.alias("v")).select("item_id", "v.status", "v.reason")
 
 
 @query(f"SELECT doc_id, {_NORM.format('text')} AS norm FROM documents")
