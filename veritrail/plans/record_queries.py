@@ -189,13 +189,15 @@ def plan_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH RECURSIVE legal(previous, state) AS (VALUES ('draft', 'validated'), ('validated', 'ready'), ('ready', 'running'), ('running', 'done'), ('ready', 'done'), ('running', 'ready')),
-    w(origin, target, length) AS (SELECT previous, state, 1 FROM legal UNION ALL SELECT w.origin, l.state, w.length + 1 FROM w JOIN legal l ON l.previous = w.target WHERE w.length < 6)
-    SELECT origin, target, min(length) AS length FROM w WHERE origin <> target GROUP BY origin, target""")
+    WITH RECURSIVE legal AS (SELECT n_nationkey AS previous, (n_nationkey * 7 + 3) % 25 AS state FROM nation UNION SELECT n_nationkey, (n_nationkey + 1) % 20 FROM nation),
+    w AS (SELECT previous AS origin, state AS target, 1 AS length FROM legal WHERE previous <> state UNION SELECT w.origin, l.state, w.length + 1 FROM w JOIN legal l ON l.previous = w.target WHERE w.length < 25 AND l.state <> w.origin)
+    SELECT origin, target, min(length) AS length FROM w GROUP BY origin, target""")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest legal paths between states."""
-    legal = spark.sql("SELECT * FROM VALUES ('draft', 'validated'), ('validated', 'ready'), ('ready', 'running'), ('running', 'done'), ('ready', 'done'), ('running', 'ready') AS t(previous, state)")
-    return ledger.paths(spark, legal).where("origin <> target").select("origin", "target", "length")
+    """Shortest ways along a graph of nations, of which each leads to two others."""
+    n = F.col("n_nationkey").cast("long")
+    nations = table(spark, sf_dir, "nation")
+    legal = nations.select(n.alias("previous"), ((n * 7 + 3) % 25).alias("state")).unionByName(nations.select(n.alias("previous"), ((n + 1) % 20).alias("state")))
+    return ledger.paths(spark, legal).select("origin", "target", "length")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 45)")
