@@ -414,7 +414,12 @@ def stream_filtered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, _event_stream(spark, sf_dir).where("event_type = 'purchase'").select("event_id", "event_type"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    f AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::DOUBLE AS value, false AS admitted, 0::INT AS calls, 0.0::DOUBLE AS used FROM e WHERE n = 1
+          UNION ALL SELECT e.user_id, e.n, e.event_id, e.value, f.calls < 20 AND f.used + e.value <= 500, f.calls + (f.calls < 20 AND f.used + e.value <= 500)::INT, CASE WHEN f.calls < 20 AND f.used + e.value <= 500 THEN f.used + e.value ELSE f.used END
+          FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+    SELECT user_id, event_id, value, admitted, used FROM f WHERE n > 0""")
 def stream_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered admission of requests as a stream with two numbers of state for each run."""
     return _streamed(spark, logs.admissions(_event_stream(spark, sf_dir), "user_id", "event_id", "value", 500.0, 20))
