@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from veritrail.functions import units
 from veritrail.operators import boundaries
 from veritrail.operators.replay import outcome
+from veritrail.sources.tables import stored
 
 #: Fields by which the schema walk knows references, measured values and uncertainties.
 REF, VALUE, UNCERTAINTY = ("node_id", "locator"), ("quantity_kind", "unit_raw"), ("kind", "basis", "scale")
@@ -195,9 +196,9 @@ def boundary_findings(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return of_unit.unionByName(of_number).withColumn("category", F.lit("failed"))
 
 
-def unreconciled(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+def unreconciled(rows: DataFrame, nodes: DataFrame, key: str, claims: DataFrame | None = None) -> DataFrame:
     """(key, path, finding, category): places that the inventories and the walk don't both have, and supports that are pairs."""
-    walk, claims = walked(rows, key, REF, REF).select(key, "path"), semantic_claims(rows, nodes, key)
+    walk, claims = walked(rows, key, REF, REF).select(key, "path"), semantic_claims(rows, nodes, key) if claims is None else claims
     supports = claims.select(key, F.col("support").alias("path"))
     named = pairs(rows, key).select(key, "path").unionByName(supports)
     sites = walked(rows, key, UNCERTAINTY, UNCERTAINTY).select(key, "path")
@@ -208,13 +209,16 @@ def unreconciled(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found).withColumn("category", F.lit("failed"))
 
 
-def findings(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """(key, path, finding, category) of a replay: pairs, boundaries, reconciliation, and envelopes without one checked pair."""
-    checked = checked_pairs(rows, nodes, key)
+def findings(rows: DataFrame, nodes: DataFrame, key: str, checked: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
+    """(key, path, finding, category) of a replay: pairs, boundaries, reconciliation, and envelopes without one checked pair.
+
+    checked and claims: what ``checked_pairs`` and ``semantic_claims`` gave, where that is at hand.
+    """
+    checked = stored(checked_pairs(rows, nodes, key), "pairs") if checked is None else checked
     sound = checked.where("finding IS NULL").select(key).distinct()
     bare = rows.select(key).join(sound, key, "left_anti").select(key, F.lit("").alias("path"), F.lit("nothing_checked").alias("finding"), F.lit("unverifiable").alias("category"))
     of_pairs = checked.where("finding IS NOT NULL").select(key, "path", "finding", "category")
-    return reduce(DataFrame.unionByName, [of_pairs, boundary_findings(rows, nodes, key), unreconciled(rows, nodes, key), bare])
+    return reduce(DataFrame.unionByName, [of_pairs, boundary_findings(rows, nodes, key), unreconciled(rows, nodes, key, claims), bare])
 
 
 def replayed(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -222,17 +226,19 @@ def replayed(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 
     Counts of character spans are of places that the walk or the inventory has. evidence: a failure fails, anything open
     leaves it open. overall: a claim whose meaning nothing supports leaves open what the evidence verified.
-    Each part is counted by the key on its own; only counts are joined. An envelope without references has zeros.
+    Each part is counted by the key on its own; only counts are joined. What several parts read is written once to the shared
+    folder. An envelope without references has zeros.
     """
     char_span = F.col("locator.kind") == "char_span"
     places = walked(rows, key, REF, REF).where(char_span).select(key, "path").unionByName(pairs(rows, key).where(char_span).select(key, "path")).distinct()
-    claims = semantic_claims(rows, nodes, key).unionByName(derived_claims(rows, key))
+    checked, meant = stored(checked_pairs(rows, nodes, key), "pairs"), stored(semantic_claims(rows, nodes, key), "claims")
+    claims = meant.unionByName(derived_claims(rows, key))
     parts = [
         places.select(key, F.lit("n_total").alias("n")),
-        checked_pairs(rows, nodes, key).where("finding IS NULL").select(key, F.lit("n_checked").alias("n")),
-        claims.where("gap = 'support_unrecorded'").select(key, F.lit("n_support_only").alias("n")),
+        checked.where("finding IS NULL").select(key, F.lit("n_checked").alias("n")),
+        meant.where("gap = 'support_unrecorded'").select(key, F.lit("n_support_only").alias("n")),
         claims.select(key, F.lit("n_claims").alias("n")),
-        findings(rows, nodes, key).select(key, F.concat(F.lit("n_"), "category").alias("n")),
+        findings(rows, nodes, key, checked, meant).select(key, F.concat(F.lit("n_"), "category").alias("n")),
     ]
     counted = reduce(DataFrame.unionByName, parts)
     names = ("n_total", "n_checked", "n_support_only", "n_failed", "n_unverifiable", "n_claims")
