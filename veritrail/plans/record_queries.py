@@ -346,9 +346,10 @@ def iteration_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_partkey, min_by(l_quantity, l_orderkey * 10 + l_linenumber) AS l_quantity, min(l_orderkey * 10 + l_linenumber) AS ord FROM lineitem GROUP BY l_partkey")
 def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Networks (parts) as they first occur."""
-    items = table(spark, sf_dir, "lineitem").withColumn("ord", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return diagnostics.first_occurrence(items, "l_partkey", "ord", ["l_quantity"])
+    """Networks (parts) as they first occur; lines of one number in one order come as they stand in the file."""
+    ord_ = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord")
+    items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", ord_, "_metadata.file_path", "_metadata.row_index")
+    return diagnostics.first_occurrence(items, "l_partkey", "ord", ["l_quantity"], ("file_path", "row_index"))
 
 
 @query("""
