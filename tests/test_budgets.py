@@ -57,3 +57,11 @@ def test_ledgers_and_batches_are_apart(spark):
     found = {(r["ledger"], r["seq"]): (r["status"], r["dimension"]) for r in rows}
     assert found == {(k, n): w for k in range(30) for n, w in enumerate(WANT)} and len(rows) == 30 * len(WANT)
     assert budgets.admitted(spark.createDataFrame([], SCHEMA), LIMITS).collect() == []
+
+
+def test_a_stream_takes_its_pieces_in_order(spark, sf):
+    """However fast the pieces are written, each ledger's events arrive by seq: the stream gives what the batch gives."""
+    from veritrail.plans import budget_queries
+
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert rows(budget_queries.stream_budgets(spark, sf)) == rows(budget_queries.budget_ledger(spark, sf))

@@ -26,7 +26,7 @@ COUNTERS = ("calls", "tokens", "micros", "fetches", "lookups", "bytes")
 #: Limits: of a run's counters, of a session and of a day.
 LIMITS = {"model_calls": 40, "tokens": 400_000, "cost_usd": 5_000_000, "fetches": 60, "index_lookups": 200, "fetch_bytes": 500_000_000, "session_cost_usd": 20_000_000, "daily_cost_usd": 50_000_000}
 _COLUMNS = ("ledger", "seq", "session", "run", "op", "kind", "reservation", "tokens", "micros", "bytes", "day")
-_RESULT = "ledger long, seq long, status string, dimension string, " + ", ".join(f"{c} long" for c in COUNTERS) + ", session_micros long, day_micros long"
+RESULT = "ledger long, seq long, status string, dimension string, " + ", ".join(f"{c} long" for c in COUNTERS) + ", session_micros long, day_micros long"
 
 
 class Ledger:
@@ -111,7 +111,7 @@ def _picked(log: DataFrame) -> DataFrame:
 def _taken(ledger: Ledger, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.astype(object).where(rows.notna(), None)
     out = [(e.ledger, e.seq, *ledger.take(e)) for e in rows.itertuples(index=False)]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _RESULT.split(", ")])
+    return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
 
 def admitted(log: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
@@ -131,7 +131,7 @@ def admitted(log: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
                     current, ledger = name, Ledger(limits)
                 yield _taken(ledger, rows)
 
-    return _picked(log).where("ledger IS NOT NULL AND seq IS NOT NULL").repartition("ledger").sortWithinPartitions("ledger", "seq").mapInPandas(fold, _RESULT)
+    return _picked(log).where("ledger IS NOT NULL AND seq IS NOT NULL").repartition("ledger").sortWithinPartitions("ledger", "seq").mapInPandas(fold, RESULT)
 
 
 def admissions(log: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
@@ -144,4 +144,4 @@ def admissions(log: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
         yield out
 
     picked = _picked(log).where("ledger IS NOT NULL AND seq IS NOT NULL")
-    return picked.groupBy("ledger").applyInPandasWithState(step, _RESULT, "held string", "append", GroupStateTimeout.NoTimeout)
+    return picked.groupBy("ledger").applyInPandasWithState(step, RESULT, "held string", "append", GroupStateTimeout.NoTimeout)
