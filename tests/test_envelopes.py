@@ -91,3 +91,25 @@ def test_inventory_and_walk_are_reconciled(spark, nodes):
     frame = spark.createDataFrame([envelope(1, [claim()])], SCHEMA).withColumn("stray", F.col("attribution_ref"))
     rows = envelopes.unreconciled(frame, nodes, "id").collect()
     assert [(r["path"], r["finding"]) for r in rows] == [("stray", "never_named")]
+
+
+def test_a_replay_reads_its_envelopes_once(spark, nodes):
+    """Counts and claims come of one walk over the rows and one join with the nodes, and nothing is written on the way."""
+    frame = spark.createDataFrame([envelope(1, [claim()])], SCHEMA)
+    for df in (envelopes.replayed(frame, nodes, "id"), envelopes.claims(frame, nodes, "id")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate inline") <= 2 and "Relation [" not in plan  # the envelopes and, in the replay, the vocabulary
+    both = envelopes.semantic_claims(frame, nodes, "id").unionByName(envelopes.derived_claims(frame, "id"))
+    assert sorted(map(repr, envelopes.claims(frame, nodes, "id").collect())) == sorted(map(repr, both.collect()))
+
+
+def test_whole_numerals_as_extents_tell(spark):
+    """One pass over the matches tells what their list tells, for every span of a text."""
+    from veritrail.operators import boundaries
+
+    texts = ["1.5e3 K and 12-14", "a7 7", "", "-3–4 5", "é 10 ± 2", None]
+    spans = [(t, s, e) for t in texts for s in range(-1, len(t or "") + 1) for e in range(s, len(t or "") + 2)]
+    frame = spark.createDataFrame(spans, "text string, s int, e int")
+    listed = F.exists(boundaries.numeral_extents(F.col("text")), lambda n: (n["start"] == F.col("s")) & (n["end"] == F.col("e")))
+    rows = frame.select("text", "s", "e", boundaries.whole_numeral(F.col("text"), F.col("s"), F.col("e")).alias("got"), listed.alias("want")).collect()
+    assert [r for r in rows if r["got"] != r["want"]] == [] and sum(bool(r["want"]) for r in rows) > 5

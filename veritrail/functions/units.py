@@ -49,10 +49,19 @@ def rules(spark: SparkSession) -> DataFrame:
     return _values(spark, rows, "quantity, unit, base, scale, offset, kind")
 
 
+def spelled() -> list[tuple]:
+    """(quantity, spelling, unit) of all known units and their aliases."""
+    return [(q, u, u) for q, u in BASE_UNITS.items()] + [(q, a, a) for q, a, *_ in RULES] + ALIASES
+
+
+def shared_spellings() -> list[str]:
+    """Spellings that several quantities admit."""
+    return sorted(s for s in {s for _, s, _ in spelled()} if len({q for q, t, _ in spelled() if t == s}) > 1)
+
+
 def spellings(spark: SparkSession) -> DataFrame:
     """(quantity, spelling, unit): all known units and their aliases."""
-    rows = [(q, u, u) for q, u in BASE_UNITS.items()] + [(q, a, a) for q, a, *_ in RULES] + ALIASES
-    return _values(spark, rows, "quantity, spelling, unit")
+    return _values(spark, spelled(), "quantity, spelling, unit")
 
 
 def quantities_of(spark: SparkSession) -> DataFrame:

@@ -37,10 +37,16 @@ def numeral_extents(text: Column) -> Column:
     return places.found(text, f"(?U){numerals.EXTENT}")
 
 
-def unit_edges(text: Column, start: Column, end: Column, value_start: Column, value_end: Column) -> Column:
+def whole_numeral(text: Column, start: Column, end: Column) -> Column:
+    """Whether text[start:end) is one of the whole numerals of a text."""
+    return places.holds(text, f"(?U){numerals.EXTENT}", start, end)
+
+
+def unit_edges(text: Column, start: Column, end: Column, value_start: Column, value_end: Column, whole: Column | None = None) -> Column:
     """Why text[start:end) is no clean unit by its edges, or null.
 
-    A unit may touch a digit on its left only if [value_start, value_end) ends there and is a whole numeral.
+    A unit may touch a digit on its left only if [value_start, value_end) ends there and is a whole numeral. whole: whether it is
+    one, where that is known (see ``whole_numeral``).
     """
     size = F.length(text)
     before = F.when(start > 0, F.substr(text, start, F.lit(1))).otherwise("")
@@ -50,7 +56,7 @@ def unit_edges(text: Column, start: Column, end: Column, value_start: Column, va
     after = F.when((run > 0) & F.regexp_like(after_run, F.lit(r"^[\p{L}\p{N}]$")), F.substr(tail, run, F.lit(1))).otherwise(after_run)
     is_one = lambda c, kinds: F.regexp_like(c, F.lit(f"^[{kinds}]$"))
     well_formed = F.coalesce((value_start >= 0) & (value_start < value_end) & (value_end <= size), F.lit(False))
-    whole = F.exists(numeral_extents(text), lambda n: (n["start"] == value_start) & (n["end"] == value_end))
+    whole = whole_numeral(text, value_start, value_end) if whole is None else whole
     glued = (
         F.when(value_start.isNull() & value_end.isNull(), "unit_digit_glue_no_value_span")
         .when(~well_formed, "unit_digit_glue_value_span_malformed")
@@ -68,40 +74,40 @@ def unit_edges(text: Column, start: Column, end: Column, value_start: Column, va
 
 
 def longer_spellings(spark) -> DataFrame:
-    """(quote, forward, backward): of each known spelling the known ones that begin with it, and that end with it."""
-    known = units.spellings(spark).select("spelling").distinct()
-    longer = known.select(F.col("spelling").alias("longer"))
-    pairs = known.join(longer, F.length("longer") > F.length("spelling"))
-    listed = lambda fits: F.array_sort(F.collect_set(F.when(fits, F.col("longer"))))
-    return pairs.groupBy(F.col("spelling").alias("quote")).agg(
-        listed(F.startswith(F.col("longer"), F.col("spelling"))).alias("forward"), listed(F.endswith(F.col("longer"), F.col("spelling"))).alias("backward")
-    )
+    """(quote, quantities, forward, backward): of each known spelling its quantities, and the known ones that begin with it, and that end with it.
+
+    Made of the vocabulary's constants, so that Spark knows how small it is before it plans the join.
+    """
+    known = sorted({s for _, s, _ in units.spelled()})
+    of = lambda fits: [sorted(t for t in known if len(t) > len(s) and fits(t, s)) for s in known]
+    forward, backward = of(str.startswith), of(str.endswith)
+    rows = [F.struct(F.lit(s).alias("quote"), *[F.lit(v).cast("array<string>").alias(c) for c, v in (("quantities", sorted({q for q, t, _ in units.spelled() if t == s})), ("forward", f), ("backward", b))]) for s, f, b in zip(known, forward, backward, strict=True)]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
 
-def unit_violations(spans: DataFrame) -> DataFrame:
+def unit_violations(spans: DataFrame, whole: str | None = None) -> DataFrame:
     """spans (text, start, end, quantity, value_start, value_end, …) with ``violation``, null for a clean unit.
 
     Edges come first. Then the quote must be a spelling of its quantity, exactly; and no longer spelling of any
-    quantity may begin or end with it there, however wide the blanks within that one. Spans meet the vocabulary in two
-    equi-joins on the quote; only longer spellings of that quote are looked for in the text. Rows keep their number;
-    those with a null text, place or quantity get null.
+    quantity may begin or end with it there, however wide the blanks within that one. Spans meet the vocabulary in an
+    equi-join on the quote; only longer spellings of that quote are looked for in the text. Rows keep their number;
+    those with a null text, place or quantity get null. whole: a column that tells of ``whole_numeral``, where there is one.
     """
     quote = F.substr(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
     spaced = lambda text: F.regexp_replace(text, rf"[{_SPACE}]+", " ")
     onward = spaced(F.substr(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start") + REACH))
     low = F.greatest(F.lit(0), F.col("start") - REACH)
     back = spaced(F.substr(F.col("text"), low + 1, F.col("end") - low))
-    known = units.spellings(spans.sparkSession).select(F.col("quantity").alias("_quantity"), F.col("spelling").alias("_spelling"), F.lit(True).alias("_known")).distinct()
-    longer = longer_spellings(spans.sparkSession).select(F.col("quote").alias("_longer_of"), "forward", "backward")
-    judged = spans.withColumn("_quote", quote).withColumn("_edges", unit_edges(F.col("text"), F.col("start"), F.col("end"), F.col("value_start"), F.col("value_end")))
-    judged = judged.join(known, (F.col("quantity") == F.col("_quantity")) & (F.col("_quote") == F.col("_spelling")), "left").join(longer, F.col("_quote") == F.col("_longer_of"), "left")
+    longer = longer_spellings(spans.sparkSession).select(F.col("quote").alias("_longer_of"), F.col("quantities").alias("_quantities"), "forward", "backward")
+    edges = unit_edges(F.col("text"), F.col("start"), F.col("end"), F.col("value_start"), F.col("value_end"), None if whole is None else F.col(whole))
+    judged = spans.withColumn("_quote", quote).withColumn("_edges", edges).join(longer, F.col("_quote") == F.col("_longer_of"), "left")
     table = (
-        F.when(F.col("_known").isNull(), "unit_not_in_vocabulary")
-        .when(F.exists("forward", lambda s: F.startswith(onward, s)), "unit_not_maximal_forward")
-        .when(F.exists("backward", lambda s: F.endswith(back, s)), "unit_not_maximal_backward")
+        F.when(~F.coalesce(F.array_contains("_quantities", F.col("quantity")), F.lit(False)), "unit_not_in_vocabulary")
+        .when(places.let(onward, lambda text: F.exists("forward", lambda s: F.startswith(text, s))), "unit_not_maximal_forward")
+        .when(places.let(back, lambda text: F.exists("backward", lambda s: F.endswith(text, s))), "unit_not_maximal_backward")
     )
-    whole = F.col("text").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("quantity").isNotNull()
-    return judged.select(*spans.columns, F.when(whole, F.coalesce("_edges", table)).alias("violation"))
+    given = F.col("text").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("quantity").isNotNull()
+    return judged.select(*spans.columns, F.when(given, F.coalesce("_edges", table)).alias("violation"))
 
 
 def constructs(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

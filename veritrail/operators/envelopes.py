@@ -73,37 +73,56 @@ def _sites(at: Column, kind: T.DataType, path: Column, has: tuple[str, ...], fie
     return F.concat(*here, *below)
 
 
-def walked(rows: DataFrame, key: str, has: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
-    """(key, path, fields): every struct that has the fields ``has``, wherever the schema holds one, arrays in arrays too.
-
-    Paths are dotted, with indices from 0 in brackets (map keys for maps). Structs that are null have no row. All
-    such structs must agree in the types of ``fields``. The walk is of the schema: one expression within the row, no shuffle.
-    """
+def _walk(rows: DataFrame, key: str, has: tuple[str, ...], fields: tuple[str, ...]) -> Column:
+    """array<struct<path, fields>> of every struct that has the fields ``has``, wherever the schema holds one."""
     tops = [f for f in rows.schema if f.name != key and _matches(f.dataType, has)]
     if not tops:
         raise ValueError(f"no column of {rows.columns} holds a struct with {has}")
     kind = _matches(tops[0].dataType, has)[0]
     item = T.StructType([T.StructField("path", T.StringType()), *[T.StructField(f, kind[f].dataType) for f in fields]])
     none = F.expr(f"cast(array() as array<{item.simpleString()}>)")
-    found = [_sites(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name), has, fields, none) for f in tops]
-    return rows.select(key, F.inline(F.concat(*found) if len(found) > 1 else found[0]))
+    return _joined([_sites(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name), has, fields, none) for f in tops])
+
+
+def _joined(arrays: list[Column]) -> Column:
+    return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+
+
+def walked(rows: DataFrame, key: str, has: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
+    """(key, path, fields): every struct that has the fields ``has``, wherever the schema holds one, arrays in arrays too.
+
+    Paths are dotted, with indices from 0 in brackets (map keys for maps). Structs that are null have no row. All
+    such structs must agree in the types of ``fields``. The walk is of the schema: one expression within the row, no shuffle.
+    """
+    return rows.select(key, F.inline(_walk(rows, key, has, fields)))
+
+
+def kinds_walked(rows: DataFrame, key: str, kinds: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(key, path, kind): every struct of each kind, which the fields of the kind tell; the rows are read once."""
+    named = lambda name: lambda x: F.struct(x["path"].alias("path"), F.lit(name).alias("kind"))
+    found = [F.transform(_walk(rows, key, has, has[:1]), named(name)) for name, has in kinds.items()]
+    return rows.select(key, F.inline(_joined(found)))
 
 
-def listed(rows: DataFrame, key: str, place: str, *others: str) -> DataFrame:
-    """(key, path, item, others): what stands at a place such as `a[*].b.c`, and at other places below the same items.
+def _listed(place: str, *others: str) -> Column:
+    """array<struct<path, item, other0, …>>: what stands at a place such as `a[*].b.c`, and at other places below the same items.
 
-    Goes by the names given, apart from the schema walk. Null items have no row.
+    Goes by the names given, apart from the schema walk. Null items are left out; null without an array there.
     """
     head, _, tail = place.partition("[*].") if "[*]." in place else ("", "", place)
     below = [o.removeprefix(f"{head}[*].") if head else o for o in others]
     pick = lambda x, names: reduce(lambda c, n: c[n], names.split("."), x)
-    if not head:
-        first = lambda p: reduce(lambda c, n: c[n], p.split(".")[1:], F.col(f"`{p.split('.')[0]}`"))
-        out = rows.select(key, F.lit(place).alias("path"), first(place).alias("item"), *[first(o).alias(f"other{i}") for i, o in enumerate(below)])
+    made = lambda path, at: F.struct(path.alias("path"), at(tail).alias("item"), *[at(o).alias(f"other{i}") for i, o in enumerate(below)])
+    if head:
+        items = F.transform(F.col(head), lambda x, i: made(F.concat(F.lit(f"{head}["), i.cast("string"), F.lit(f"].{tail}")), lambda names: pick(x, names)))
     else:
-        items = rows.select(key, F.posexplode(head).alias("_i", "_x"))
-        out = items.select(key, F.concat(F.lit(f"{head}["), F.col("_i").cast("string"), F.lit(f"].{tail}")).alias("path"), pick(F.col("_x"), tail).alias("item"), *[pick(F.col("_x"), o).alias(f"other{i}") for i, o in enumerate(below)])
-    return out.where("item IS NOT NULL")
+        items = F.array(made(F.lit(place), lambda names: reduce(lambda c, n: c[n], names.split(".")[1:], F.col(f"`{names.split('.')[0]}`"))))
+    return F.filter(items, lambda x: x["item"].isNotNull())
+
+
+def _all(arrays: list[Column]) -> Column:
+    """One array of what several hold; those that are null hold nothing."""
+    return F.flatten(F.array_compact(F.array(*arrays)))
 
 
 def _has(rows: DataFrame, place: str) -> bool:
@@ -117,10 +136,25 @@ def _has(rows: DataFrame, place: str) -> bool:
     return True
 
 
+def _pairs(rows: DataFrame) -> Column:
+    """array<struct<path, node_id, locator, text, claim>>: each reference of the inventory with the text beside it; claim is null."""
+    made = lambda x: F.struct(x["path"].alias("path"), x["item"]["node_id"].alias("node_id"), x["item"]["locator"].alias("locator"), x["other0"].alias("text"), F.lit(None).cast("string").alias("claim"))
+    return _all([F.transform(_listed(ref, text), made) for ref, text in PAIRS if _has(rows, ref)])
+
+
+def _supports(rows: DataFrame) -> Column:
+    """The same of references that support a reading: text is what is claimed, claim the path of the claim."""
+
+    def made(name: str):
+        claim = (lambda x: F.regexp_replace(x["path"], r"\.[^.]*$", "")) if "[*]" in name else (lambda x: F.lit(name))
+        return lambda x: F.struct(x["path"].alias("path"), x["item"]["node_id"].alias("node_id"), x["item"]["locator"].alias("locator"), x["other0"].alias("text"), claim(x).alias("claim"))
+
+    return _all([F.transform(_listed(ref, text), made(name)) for name, text, ref in SUPPORTS if _has(rows, ref)])
+
+
 def pairs(rows: DataFrame, key: str) -> DataFrame:
     """(key, path, node_id, locator, recorded): each reference of the inventory with the text beside it."""
-    found = [listed(rows, key, ref, text).select(key, "path", "item.node_id", "item.locator", F.col("other0").alias("recorded")) for ref, text in PAIRS if _has(rows, ref)]
-    return reduce(DataFrame.unionByName, found)
+    return rows.select(key, F.inline(_pairs(rows))).select(key, "path", "node_id", "locator", F.col("text").alias("recorded"))
 
 
 def _located(refs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -132,24 +166,34 @@ def _located(refs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 _IN_RANGE = "locator.start >= 0 AND locator.start <= locator.end AND locator.end <= length(_text)"
 
 
-def checked_pairs(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """Pairs with ``finding``, null where the text at the place is the one recorded, and its ``category``.
-
-    Findings: not_a_char_span, node_problem, unknown_node, out_of_range, differs. nodes: (key, node_id, text, problem),
-    where problem is null, failed or unverifiable and becomes the category of all that cite the node.
-    """
-    at = _located(pairs(rows, key), nodes, key)
+def _pair_finding(recorded: str) -> Column:
     cut = F.substr("_text", F.col("locator.start") + 1, F.col("locator.end") - F.col("locator.start"))
-    finding = (
+    return (
         F.when(F.coalesce(F.col("locator.kind"), F.lit("")) != "char_span", "not_a_char_span")
         .when(F.col("_problem").isNotNull(), "node_problem")
         .when(F.col("_known").isNull() | F.col("_text").isNull(), "unknown_node")
         .when(~F.coalesce(F.expr(_IN_RANGE), F.lit(False)), "out_of_range")
-        .when(~cut.eqNullSafe(F.col("recorded")), "differs")
+        .when(~cut.eqNullSafe(F.col(recorded)), "differs")
     )
-    judged = at.withColumn("finding", finding)
-    category = F.when(F.col("finding") == "node_problem", F.col("_problem")).when(F.col("finding").isin("not_a_char_span", "unknown_node"), "unverifiable").when(F.col("finding").isNotNull(), "failed")
-    return judged.select(key, "path", "node_id", "locator", "recorded", "finding", category.alias("category"))
+
+
+def _pair_category(finding: str) -> Column:
+    return F.when(F.col(finding) == "node_problem", F.col("_problem")).when(F.col(finding).isin("not_a_char_span", "unknown_node"), "unverifiable").when(F.col(finding).isNotNull(), "failed")
+
+
+def checked_pairs(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Pairs with ``finding``, null where the text at the place is the one recorded, and its ``category``.
+
+    Findings: not_a_char_span, node_problem, unknown_node, out_of_range, differs. nodes: (key, node_id, text, problem),
+    where problem is null, failed or unverifiable and becomes the category of all that cite the node.
+    """
+    judged = _located(pairs(rows, key), nodes, key).withColumn("finding", _pair_finding("recorded"))
+    return judged.select(key, "path", "node_id", "locator", "recorded", "finding", _pair_category("finding").alias("category"))
+
+
+def _gap() -> Column:
+    sound = (F.col("locator.kind") == "char_span") & F.col("_problem").isNull() & F.expr(_IN_RANGE)
+    return F.when(F.coalesce(sound, F.lit(False)), "support_unrecorded").otherwise("location_unresolved")
 
 
 def semantic_claims(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -157,68 +201,135 @@ def semantic_claims(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 
     support_unrecorded if the place can be cut out of a sound node's text, else location_unresolved.
     """
-    found = []
-    for name, text, ref in SUPPORTS:
-        if _has(rows, ref):
-            at = listed(rows, key, ref, text)
-            claim = F.regexp_replace("path", r"\.[^.]*$", "") if "[*]" in name else F.lit(name)
-            found.append(at.select(key, claim.alias("claim_path"), F.col("other0").alias("claim"), F.col("path").alias("support"), "item.node_id", "item.locator"))
-    at = _located(reduce(DataFrame.unionByName, found), nodes, key)
-    sound = (F.col("locator.kind") == "char_span") & F.col("_problem").isNull() & F.expr(_IN_RANGE)
-    gap = F.when(F.coalesce(sound, F.lit(False)), "support_unrecorded").otherwise("location_unresolved")
-    return at.select(key, F.col("claim_path").alias("path"), "claim", gap.alias("gap"), "support")
+    at = _located(rows.select(key, F.inline(_supports(rows))), nodes, key)
+    return at.select(key, F.col("claim").alias("path"), F.col("text").alias("claim"), _gap().alias("gap"), F.col("path").alias("support"))
+
+
+def _derived(rows: DataFrame, key: str) -> Column:
+    """array<struct<path, claim>>: values that decide a reading; a quantity is one where several admit the unit's spelling."""
+    open_units = F.filter(_walk(rows, key, VALUE, VALUE), lambda x: F.trim(x["unit_raw"]).isin(*units.shared_spellings()))
+    values = F.transform(open_units, lambda x: F.struct(F.concat(x["path"], F.lit(".quantity_kind")).alias("path"), x["quantity_kind"].alias("claim")))
+    one = lambda x, f: F.struct(F.concat_ws(".", x["path"], F.lit(f)).alias("path"), x[f].alias("claim"))
+    stated = lambda x, f: ~x[f].isin(*STATES_NOTHING) if f == "kind" else x[f].isNotNull()
+    said = F.flatten(F.transform(_walk(rows, key, UNCERTAINTY, UNCERTAINTY), lambda x: F.array(*[F.when(stated(x, f), one(x, f)) for f in UNCERTAINTY])))
+    return F.concat(values, F.array_compact(said))
 
 
 def derived_claims(rows: DataFrame, key: str) -> DataFrame:
-    """(key, path, claim, gap, support): values that decide a reading and that nothing supports.
+    """(key, path, claim, gap, support): values that decide a reading and that nothing supports. Within the row.
 
     A quantity is one where several admit the unit's spelling; of an uncertainty each of kind, basis and scale that it states.
     """
-    values = walked(rows, key, VALUE, VALUE)
-    admitted = units.quantities_of(rows.sparkSession).select(F.col("spelling").alias("_spelling"), F.size("quantities").alias("_n"))
-    several = values.join(admitted, F.trim("unit_raw") == F.col("_spelling")).where("_n > 1").select(key, F.concat("path", F.lit(".quantity_kind")).alias("path"), F.col("quantity_kind").alias("claim"))
-    stated = walked(rows, key, UNCERTAINTY, UNCERTAINTY).select(key, "path", F.inline(F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f).alias("claim")) for f in UNCERTAINTY])))
-    stated = stated.where("claim IS NOT NULL").where(~((F.col("_f") == "kind") & F.col("claim").isin(*STATES_NOTHING))).select(key, F.concat_ws(".", "path", "_f").alias("path"), "claim")
-    return several.unionByName(stated).select("*", F.lit("no_support_offered").alias("gap"), F.lit(None).cast("string").alias("support"))
+    found = rows.select(key, F.inline(_derived(rows, key)))
+    return found.select(key, "path", "claim", F.lit("no_support_offered").alias("gap"), F.lit(None).cast("string").alias("support"))
+
+
+def claims(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """What ``semantic_claims`` and ``derived_claims`` give, with the rows read once."""
+    locator = _matches(rows.schema, REF)[0]["locator"].dataType.simpleString()
+    none = F.lit(None).cast("string")
+    derived = F.transform(_derived(rows, key), lambda x: F.struct(none.alias("path"), none.alias("node_id"), F.lit(None).cast(locator).alias("locator"), x["claim"].alias("text"), x["path"].alias("claim")))
+    at = _located(rows.select(key, F.inline(F.concat(_supports(rows), derived))), nodes, key)
+    gap = F.when(F.col("path").isNull(), "no_support_offered").otherwise(_gap())
+    return at.select(key, F.col("claim").alias("path"), F.col("text").alias("claim"), gap.alias("gap"), F.col("path").alias("support"))
+
+
+def _values(rows: DataFrame, key: str) -> Column:
+    """array<struct<path, node_id, quantity, start, end, value_start, value_end>> of measured values; places of unit and number."""
+
+    def made(x: Column) -> Column:
+        number, unit = x["value_ref"], x["unit_ref"]
+        same = number["node_id"] == unit["node_id"]
+        at = [unit["locator"]["start"].alias("start"), unit["locator"]["end"].alias("end"), F.when(same, number["locator"]["start"]).alias("value_start"), F.when(same, number["locator"]["end"]).alias("value_end")]
+        return F.struct(x["path"].alias("path"), F.coalesce(unit["node_id"], number["node_id"]).alias("node_id"), x["quantity_kind"].alias("quantity"), *at)
+
+    return F.transform(_walk(rows, key, VALUE, ("quantity_kind", "value_ref", "unit_ref")), made)
+
+
+def _bounded(at: DataFrame) -> DataFrame:
+    """Located values (text, start, end, quantity, value_start, value_end, …) with ``violation`` of the unit and ``piece``, whether the number is one."""
+    at = at.withColumn("_whole", boundaries.whole_numeral(F.col("text"), F.col("value_start"), F.col("value_end")))
+    inside = F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("text")), F.lit(False))
+    piece = F.coalesce((F.col("value_start") >= 0) & (F.col("value_start") < F.col("value_end")) & (F.col("value_end") <= F.length("text")) & ~F.col("_whole"), F.lit(False))
+    judged = boundaries.unit_violations(at.withColumn("_inside", inside).withColumn("piece", piece), whole="_whole")
+    return judged.withColumn("violation", F.when(F.col("_inside"), F.col("violation"))).drop("_inside", "_whole")
+
+
+def _boundary_rows(violation: str, piece: str, path: str) -> Column:
+    """array<struct<path, finding, category>> of a judged value."""
+    made = lambda end, finding: F.struct(F.concat(F.col(path), F.lit(end)).alias("path"), finding.alias("finding"), F.lit("failed").alias("category"))
+    return F.array_compact(F.array(F.when(F.col(violation).isNotNull(), made(".unit_ref", F.col(violation))), F.when(F.col(piece), made(".value_ref", F.lit("value_not_whole")))))
 
 
 def boundary_findings(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """(key, path, finding, category): measured values whose number or unit is a piece of something longer in its text."""
-    values = walked(rows, key, VALUE, ("quantity_kind", "value_ref", "unit_ref"))
-    number, unit = F.col("value_ref.locator"), F.col("unit_ref.locator")
-    at = _located(values.withColumn("node_id", F.coalesce("unit_ref.node_id", "value_ref.node_id")), nodes, key).where("_problem IS NULL AND _text IS NOT NULL")
-    same = F.col("value_ref.node_id") == F.col("unit_ref.node_id")
-    spans = at.select(key, "path", F.col("quantity_kind").alias("quantity"), F.col("_text").alias("text"), unit["start"].alias("start"), unit["end"].alias("end"), F.when(same, number["start"]).alias("value_start"), F.when(same, number["end"]).alias("value_end"))
-    inside = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("text"))
-    of_unit = boundaries.unit_violations(spans.where(inside)).where("violation IS NOT NULL").select(key, F.concat("path", F.lit(".unit_ref")).alias("path"), F.col("violation").alias("finding"))
-    whole = F.exists(boundaries.numeral_extents(F.col("text")), lambda n: (n["start"] == F.col("value_start")) & (n["end"] == F.col("value_end")))
-    of_number = spans.where("value_start >= 0 AND value_start < value_end AND value_end <= length(text)").where(~whole).select(key, F.concat("path", F.lit(".value_ref")).alias("path"), F.lit("value_not_whole").alias("finding"))
-    return of_unit.unionByName(of_number).withColumn("category", F.lit("failed"))
-
-
-def unreconciled(rows: DataFrame, nodes: DataFrame, key: str, claims: DataFrame | None = None) -> DataFrame:
-    """(key, path, finding, category): places that the inventories and the walk don't both have, and supports that are pairs."""
-    walk, claims = walked(rows, key, REF, REF).select(key, "path"), semantic_claims(rows, nodes, key) if claims is None else claims
-    supports = claims.select(key, F.col("support").alias("path"))
-    named = pairs(rows, key).select(key, "path").unionByName(supports)
-    sites = walked(rows, key, UNCERTAINTY, UNCERTAINTY).select(key, "path")
-    hand = reduce(DataFrame.unionByName, [listed(rows, key, p).select(key, "path") for p in UNCERTAIN])
-    missing = lambda a, b, why: a.join(b.distinct(), [key, "path"], "left_anti").withColumn("finding", F.lit(why))
-    owed = supports.where(~F.element_at(F.split("path", r"\."), -1).isin(*UNPAIRED)).withColumn("finding", F.lit("support_is_a_pair"))
-    found = [missing(walk, named, "never_named"), missing(named, walk, "never_walked"), missing(sites, hand, "never_named"), missing(hand, sites, "never_walked"), owed]
-    return reduce(DataFrame.unionByName, found).withColumn("category", F.lit("failed"))
-
-
-def findings(rows: DataFrame, nodes: DataFrame, key: str, checked: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
+    at = _located(rows.select(key, F.inline(_values(rows, key))), nodes, key).where("_problem IS NULL AND _text IS NOT NULL").withColumnRenamed("_text", "text")
+    return _bounded(at).select(key, F.inline(_boundary_rows("violation", "piece", "path")))
+
+
+def _unreconciled(rows: DataFrame, key: str, walk: Column, pairs: Column, supports: Column) -> Column:
+    """array<struct<path, finding, category>> of places that only one of inventories and walk has, given the paths of each, and supports that are pairs."""
+    paths = lambda found: F.transform(found, lambda x: x["path"])
+    sites, hand = paths(_walk(rows, key, UNCERTAINTY, UNCERTAINTY)), _all([paths(_listed(p)) for p in UNCERTAIN if _has(rows, p)])
+    named = F.concat(pairs, supports)
+    owed = F.filter(supports, lambda p: ~F.element_at(F.split(p, r"\."), -1).isin(*UNPAIRED))
+    found = [(F.array_except(walk, named), "never_named"), (F.array_except(named, walk), "never_walked"), (F.array_except(sites, hand), "never_named"), (F.array_except(hand, sites), "never_walked"), (owed, "support_is_a_pair")]
+    row = lambda why: lambda p: F.struct(p.alias("path"), F.lit(why).alias("finding"), F.lit("failed").alias("category"))
+    return F.concat(*[F.transform(which, row(why)) for which, why in found])
+
+
+def unreconciled(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """(key, path, finding, category): places that the inventories and the walk don't both have, and supports that are pairs. Within the row."""
+    paths = lambda found: F.transform(found, lambda x: x["path"])
+    return rows.select(key, F.inline(_unreconciled(rows, key, paths(_walk(rows, key, REF, REF)), paths(_pairs(rows)), paths(_supports(rows)))))
+
+
+def _judged(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Everything that an envelope owes, a row each, judged after one join with the nodes; the rows are read once.
+
+    (key, role, sound, found, n_total, n_claims): role pair (sound: the text is the one recorded), support (sound: the place can
+    be cut out), value, and one row ``envelope`` with what needs no node: counts, and places that are not reconciled.
+    found: array<struct<path, finding, category>>, null without any.
+    """
+    locator = _matches(rows.schema, REF)[0]["locator"].dataType.simpleString()
+    kinds = {"path": "string", "node_id": "string", "locator": locator, "recorded": "string", "quantity": "string", "start": "long", "end": "long", "value_start": "long", "value_end": "long",
+             "n_total": "int", "n_claims": "int", "open": "array<struct<path: string, finding: string, category: string>>"}
+
+    def owed(role: str, **given: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), *[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()])
+
+    paths = lambda found: F.transform(found, lambda x: x["path"])
+    spans = lambda found: paths(F.filter(found, lambda x: x["locator"]["kind"] == "char_span"))
+    # Arrays that several expressions read are columns of their own, so that each is made once.
+    at = rows.withColumns({"_p": _pairs(rows), "_s": _supports(rows), "_w": _walk(rows, key, REF, REF)})
+    p, s, w = F.col("_p"), F.col("_s"), F.col("_w")
+    counts = {"n_total": F.size(F.array_distinct(F.concat(spans(w), spans(p)))), "n_claims": F.size(_derived(rows, key))}
+    parts = F.concat(
+        F.transform(p, lambda x: owed("pair", path=x["path"], node_id=x["node_id"], locator=x["locator"], recorded=x["text"])),
+        F.transform(s, lambda x: owed("support", path=x["path"], node_id=x["node_id"], locator=x["locator"])),
+        F.transform(_values(rows, key), lambda x: owed("value", **{c: x[c] for c in ("path", "node_id", "quantity", "start", "end", "value_start", "value_end")})),
+        F.array(owed("envelope", open=_unreconciled(rows, key, paths(w), paths(p), paths(s)), **counts)),
+    )
+    at = _located(at.select(key, F.inline(parts)), nodes, key)
+    at = _bounded(at.withColumn("text", F.when((F.col("role") == "value") & F.col("_problem").isNull(), F.col("_text"))))
+    at = at.withColumn("_finding", F.when(F.col("role") == "pair", _pair_finding("recorded")))
+    sound = F.when(F.col("role") == "pair", F.col("_finding").isNull()).when(F.col("role") == "support", _gap() == "support_unrecorded")
+    found = (
+        F.when(F.col("_finding").isNotNull(), F.array(F.struct("path", F.col("_finding").alias("finding"), _pair_category("_finding").alias("category"))))
+        .when((F.col("role") == "value") & (F.col("violation").isNotNull() | F.col("piece")), _boundary_rows("violation", "piece", "path"))
+        .when((F.col("role") == "envelope") & (F.size("open") > 0), F.col("open"))
+    )
+    return at.select(key, "role", sound.alias("sound"), found.alias("found"), "n_total", "n_claims")
+
+
+def findings(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """(key, path, finding, category) of a replay: pairs, boundaries, reconciliation, and envelopes without one checked pair.
 
-    checked and claims: what ``checked_pairs`` and ``semantic_claims`` gave, where that is at hand.
+    What the replay judged is written once: its findings are read from there, and so is which envelopes have none that is sound.
     """
-    checked = stored(checked_pairs(rows, nodes, key), "pairs") if checked is None else checked
-    sound = checked.where("finding IS NULL").select(key).distinct()
-    bare = rows.select(key).join(sound, key, "left_anti").select(key, F.lit("").alias("path"), F.lit("nothing_checked").alias("finding"), F.lit("unverifiable").alias("category"))
-    of_pairs = checked.where("finding IS NOT NULL").select(key, "path", "finding", "category")
-    return reduce(DataFrame.unionByName, [of_pairs, boundary_findings(rows, nodes, key), unreconciled(rows, nodes, key, claims), bare])
+    judged = stored(_judged(rows, nodes, key).select(key, ((F.col("role") == "pair") & F.col("sound")).alias("checked"), "found"), "replay")
+    bare = judged.groupBy(key).agg(F.bool_or("checked").alias("_any")).where("NOT _any").select(key, F.lit("").alias("path"), F.lit("nothing_checked").alias("finding"), F.lit("unverifiable").alias("category"))
+    return judged.where("found IS NOT NULL").select(key, F.inline("found")).unionByName(bare)
 
 
 def replayed(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -226,23 +337,21 @@ def replayed(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 
     Counts of character spans are of places that the walk or the inventory has. evidence: a failure fails, anything open
     leaves it open. overall: a claim whose meaning nothing supports leaves open what the evidence verified.
-    Each part is counted by the key on its own; only counts are joined. What several parts read is written once to the shared
-    folder. An envelope without references has zeros.
+    Each envelope is walked once, its references meet their nodes in one join, and only counts are summed by the key.
+    An envelope without references has zeros.
     """
-    char_span = F.col("locator.kind") == "char_span"
-    places = walked(rows, key, REF, REF).where(char_span).select(key, "path").unionByName(pairs(rows, key).where(char_span).select(key, "path")).distinct()
-    checked, meant = stored(checked_pairs(rows, nodes, key), "pairs"), stored(semantic_claims(rows, nodes, key), "claims")
-    claims = meant.unionByName(derived_claims(rows, key))
-    parts = [
-        places.select(key, F.lit("n_total").alias("n")),
-        checked.where("finding IS NULL").select(key, F.lit("n_checked").alias("n")),
-        meant.where("gap = 'support_unrecorded'").select(key, F.lit("n_support_only").alias("n")),
-        claims.select(key, F.lit("n_claims").alias("n")),
-        findings(rows, nodes, key, checked, meant).select(key, F.concat(F.lit("n_"), "category").alias("n")),
-    ]
-    counted = reduce(DataFrame.unionByName, parts)
-    names = ("n_total", "n_checked", "n_support_only", "n_failed", "n_unverifiable", "n_claims")
-    whole = rows.select(key).join(counted, key, "left").groupBy(key).agg(*[F.count_if(F.col("n") == n).alias(n) for n in names])
+    n = lambda c: F.sum(F.coalesce(F.col(c) if isinstance(c, str) else c.cast("long"), F.lit(0)))
+    is_, of = lambda role: F.col("role") == role, lambda category: F.size(F.filter(F.col("found"), lambda f: f["category"] == category))
+    counted = _judged(rows, nodes, key).groupBy(key).agg(
+        n("n_total").alias("n_total"),
+        n(is_("pair") & F.col("sound")).alias("n_checked"),
+        n(is_("support") & F.col("sound")).alias("n_support_only"),
+        n(F.when(F.col("found").isNotNull(), of("failed"))).alias("n_failed"),
+        n(F.when(F.col("found").isNotNull(), of("unverifiable"))).alias("_open"),
+        (n("n_claims") + n(is_("support"))).alias("n_claims"),
+    )
+    whole = counted.withColumn("n_unverifiable", F.col("_open") + (F.col("n_checked") == 0).cast("long"))
     evidence = outcome(F.col("n_failed"), F.col("n_unverifiable"), F.col("n_checked"))
     whole = whole.withColumn("n_unchecked", F.col("n_total") - F.col("n_checked") - F.col("n_support_only")).withColumn("evidence", evidence)
-    return whole.withColumn("overall", F.when((F.col("evidence") == "verified") & (F.col("n_claims") > 0), "unverifiable").otherwise(F.col("evidence")))
+    overall = F.when((F.col("evidence") == "verified") & (F.col("n_claims") > 0), "unverifiable").otherwise(F.col("evidence"))
+    return whole.withColumn("overall", overall).select(key, "n_total", "n_checked", "n_support_only", "n_failed", "n_unverifiable", "n_claims", "n_unchecked", "evidence", "overall")

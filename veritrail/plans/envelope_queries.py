@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veritrail.operators import envelopes
 from veritrail.plans.boundary_queries import _SPELLINGS, chosen
-from veritrail.sources.tables import stored, table
+from veritrail.sources.tables import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,13 +56,13 @@ def _envelopes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         f"struct({label}, unit AS token_raw, {_ref('node', 'unit_at', 'unit_at + length(unit)')} AS token_ref) AS categorical",
         f"struct({label}, 'no_unit' AS reason, {_ref('node', '0', 'length(text)', 'said_kind')} AS statement_ref) AS said",
     )
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda x: x[c])
-    grouped = claims.groupBy("k").agg(in_order("scalar").alias("scalar_claims"), in_order("categorical").alias("categorical_claims"), in_order("said").alias("unextracted"))
+    grouped = claims.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "scalar", "categorical", "said"))).alias("_in_order"))
+    grouped = grouped.select("k", F.col("_in_order.scalar").alias("scalar_claims"), F.col("_in_order.categorical").alias("categorical_claims"), F.col("_in_order.said").alias("unextracted"))
     first = _ref("'n0'", "0", "1")
     subject = f"struct(CASE WHEN labelled THEN 'T' END AS label_raw, CASE WHEN labelled THEN {first} END AS label_ref, CASE WHEN NOT labelled THEN 'ambiguous' END AS reason, CASE WHEN NOT labelled THEN {_ref(chr(39) + 'n0' + chr(39), '0', '2')} END AS reason_ref)"
     heads = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_orderpriority AS attribution", "o_orderstatus = 'F' AS labelled").dropDuplicates(["k"])
     rows = grouped.join(heads, "k").selectExpr("k", "attribution", f"{first} AS attribution_ref", f"{subject} AS subject", "scalar_claims", "categorical_claims", "unextracted")
-    return stored(rows, "envelopes"), items.select("k", F.col("own").alias("node_id"), "text", "problem")
+    return rows, items.select("k", F.col("own").alias("node_id"), "text", "problem")
 
 
 #: SQL of DuckDB: every reference of every envelope, flat, with the text beside it.
@@ -97,8 +97,7 @@ def envelope_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference, measured value and uncertainty of the envelopes with its path."""
     rows, _ = _envelopes(spark, sf_dir)
     kinds = {"reference": envelopes.REF, "value": envelopes.VALUE, "uncertainty": envelopes.UNCERTAINTY}
-    found = [envelopes.walked(rows, "k", has, has).select("k", "path", F.lit(name).alias("kind")) for name, has in kinds.items()]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    return envelopes.kinds_walked(rows, "k", kinds)
 
 
 _FOUND = f"""{_REFS}, {_VALUES}, known(q, spelling) AS (VALUES {_SPELLINGS}),
@@ -131,7 +130,7 @@ _CLAIMS = """claims(k, path, claim, gap) AS (
 def condition_set_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of each envelope that nothing recorded supports."""
     rows, nodes = _envelopes(spark, sf_dir)
-    return envelopes.semantic_claims(rows, nodes, "k").unionByName(envelopes.derived_claims(rows, "k")).select("k", "path", "claim", "gap")
+    return envelopes.claims(rows, nodes, "k").select("k", "path", "claim", "gap")
 
 
 @query(f"""
