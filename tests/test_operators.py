@@ -288,3 +288,38 @@ def test_grounded_tokens(spark):
     df = frame(spark, [(1, *c) for c in claims] + [(2, "x", "label", None, "no_text")], "doc_id long, token string, role string, occurrence int, want string")
     rows = grounding.grounded(df, frame(spark, [(1, text)], "doc_id long, text string")).collect()
     assert [(r.token, r.status) for r in rows if r.status != r.want] == [] and all(text[r.start : r.end] == r.token for r in rows if r.status == "grounded")
+
+
+def test_near_matches_measure_few_windows(spark, monkeypatch):
+    """The windows measured by difflib are those that may reach the threshold; results are those of measuring every window."""
+    import random
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("aeiorstn") for _ in range(rnd.randint(2, 7))) for _ in range(60)]
+    line = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    asked = [(i, line(rnd.randint(6, 30))) for i in range(12)]
+    texts = []
+    for i in range(16):
+        changed = list(rnd.choice(asked)[1])
+        for _ in range(rnd.randrange(len(changed) // 14 + 1)):
+            at = rnd.randrange(len(changed))
+            changed[at : at + 1] = rnd.choice([[], ["z"], [changed[at], "e"]])
+        texts.append(f"{line(20)} {''.join(changed)} {line(20)}")
+    asked = [(i, q) for i, q in asked if len(q) >= quotes.SHORTEST]
+    want, all_ = set(), 0
+    for d, hay in enumerate(texts):
+        for i, q in asked:
+            starts = quotes._grid(len(q), len(hay)).tolist()
+            all_ += len(starts)
+            best = max(((SequenceMatcher(None, hay[s : s + len(q)], q).ratio(), -s) for s in starts), default=(0, 0))
+            if q not in hay and best[0] >= quotes.THRESHOLD:
+                want.add((d, i, -best[1]))
+    found = quotes.near_matches(frame(spark, list(enumerate(texts)), "doc_id long, text string"), frame(spark, asked, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.q_start) for r in found} == want and len(want) > 3
+    measured = []
+    monkeypatch.setattr(quotes, "SequenceMatcher", lambda *a, **k: measured.append(1) or SequenceMatcher(*a, **k))
+    for hay in texts:
+        for i, q in asked:
+            quotes.like_windows(hay, q, quotes.gram_places(hay, q), quotes.THRESHOLD)
+    assert len(measured) <= 2 * len(texts) < all_ / 10

@@ -128,9 +128,10 @@ def differs_in_meaning(window: Column, quote: Column) -> Column:
 def _needed(size: int, threshold: float) -> int:
     """Grams of a quote that any window at the threshold shares with it.
 
-    At most (1 - threshold) of the characters are unmatched on either side, and each spoils GRAM grams at most.
+    At most (1 - threshold) of the characters are unmatched on either side. One of the window spoils GRAM grams of it at
+    most, and one that the window lacks those GRAM - 1 that span its place.
     """
-    return max(0, size - GRAM + 1 - 2 * GRAM * int(size * (1 - threshold) + 1e-9))
+    return max(0, size - GRAM + 1 - (2 * GRAM - 1) * int(size * (1 - threshold) + 1e-9))
 
 
 def _grid(size: int, length: int) -> np.ndarray:
@@ -139,6 +140,18 @@ def _grid(size: int, length: int) -> np.ndarray:
     return np.append(np.arange(0, last, max(1, size // 8)), last) if last >= 0 else np.zeros(0, np.int64)
 
 
+def _common(text: str, masks: dict[str, int], size: int) -> int:
+    """The length of the longest common subsequence of a text and one of so many characters, given where each of them stands in bits.
+
+    What difflib matches is such a subsequence, so that its ratio is never more than this tells.
+    """
+    full = rest = (1 << size) - 1
+    for c in text:
+        same = rest & masks.get(c, 0)
+        rest = ((rest + same) | (rest - same)) & full
+    return size - rest.bit_count()
+
+
 def like_windows(hay: str, quote: str, places: np.ndarray, threshold: float) -> list[tuple[int, float]]:
     """(start, ratio) of the windows of a text that are like a quote by the threshold or more.
 
@@ -146,13 +159,23 @@ def like_windows(hay: str, quote: str, places: np.ndarray, threshold: float) ->
     """
     starts = _grid(len(quote), len(hay))
     held = np.searchsorted(places, starts + len(quote) - GRAM, "right") - np.searchsorted(places, starts, "left")
-    measure = SequenceMatcher(None, b=quote)
+    starts = starts[held >= _needed(len(quote), threshold)].tolist()
+    masks: dict[str, int] = {}
+    for k, c in enumerate(quote if starts else ""):
+        masks[c] = masks.get(c, 0) | 1 << k
+    measure = None
 
     def ratio(start: int) -> float:
-        measure.set_seq1(hay[start : start + len(quote)])
+        nonlocal measure
+        window = hay[start : start + len(quote)]
+        at_most = _common(window, masks, len(quote)) / len(quote)
+        if at_most < threshold:
+            return at_most
+        measure = measure or SequenceMatcher(None, b=quote)
+        measure.set_seq1(window)
         return measure.ratio()
 
-    return [(s, r) for s in starts[held >= _needed(len(quote), threshold)].tolist() if (r := ratio(s)) >= threshold]
+    return [(s, r) for s in starts if (r := ratio(s)) >= threshold]
 
 
 def best_window(hay: str, quote: str, places: np.ndarray, threshold: float = THRESHOLD) -> tuple[int, float] | None:
@@ -161,37 +184,97 @@ def best_window(hay: str, quote: str, places: np.ndarray, threshold: float = THR
 
 
 def gram_places(hay: str, quote: str) -> np.ndarray:
-    """Where any gram of a quote begins in one text."""
-    grams = {quote[k : k + GRAM] for k in range(len(quote) - GRAM + 1)}
-    return np.array([k for k in range(len(hay) - GRAM + 1) if hay[k : k + GRAM] in grams], np.int64)
+    """Where any gram of a quote begins in one text, or what hashes alike."""
+    return np.flatnonzero(np.isin(_gram_hashes(_points(hay)), _gram_hashes(_points(quote))))
+
+
+class _Grams:
+    """The grams of a block's quotes as sorted numbers, each with the quotes that hold it; finds where a window may be like a quote.
+
+    Numbers are hashes: a collision adds places and so measured windows, and takes none away.
+    """
+
+    def __init__(self, block: list[tuple[int, str]]):
+        self.quotes = sorted(set(block), key=lambda o: (o[1], o[0] is None, o[0] or 0))
+        grams = [np.unique(_gram_hashes(_points(q))) for _, q in self.quotes]
+        sizes = np.array([len(q) for _, q in self.quotes], np.int64)
+        self.spans, self.needed = sizes - GRAM + 1, np.array([max(1, _needed(n, THRESHOLD)) for n in sizes.tolist()], np.int64)
+        numbers, owners = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        order = np.argsort(numbers, kind="stable")
+        self.owners = owners[order]
+        self.numbers, self.first = np.unique(numbers[order], return_index=True)
+        self.count = np.diff(np.append(self.first, len(numbers)))
+        self.bits = max(16, int(len(self.numbers)).bit_length() + 4)
+        self.seen = np.zeros(1 << self.bits, bool)
+        self.seen[self.numbers >> np.uint64(64 - self.bits)] = True
+
+    def candidates(self, points: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(number, places of its grams) of the quotes that a window of the text may be like.
+
+        The grams of a window stand in two bins of its width at most, so these hold all that it needs.
+        """
+        hashes = _gram_hashes(points)
+        at = np.flatnonzero(self.seen[hashes >> np.uint64(64 - self.bits)])
+        number = np.searchsorted(self.numbers, hashes[at])
+        number[number == len(self.numbers)] = 0
+        held = self.numbers[number] == hashes[at]
+        at, number = at[held], number[held]
+        n = self.count[number]
+        if not len(n):
+            return []
+        ends = np.cumsum(n)
+        owner = self.owners[np.arange(ends[-1]) + np.repeat(self.first[number] - (ends - n), n)]
+        bins = len(points) // int(self.spans.min()) + 2
+        place = np.repeat(at, n)
+        key = owner * bins + place // self.spans[owner]
+        if len(self.quotes) * bins <= 8 * len(key) + 1_000_000:
+            many = np.bincount(key, minlength=len(self.quotes) * bins)
+            key = np.flatnonzero(many)
+            many = many[key]
+        else:
+            key, many = np.unique(key, return_counts=True)
+        after = np.where(np.append(key[1:], -1) == key + 1, np.append(many[1:], 0), 0)
+        fits = np.zeros(len(self.quotes), bool)
+        fits[key[many + after >= self.needed[key // bins]] // bins] = True
+        kept = np.flatnonzero(fits[owner])
+        kept = kept[np.argsort(owner[kept], kind="stable")]
+        parts = np.split(place[kept], np.flatnonzero(np.diff(owner[kept])) + 1)
+        return list(zip(np.flatnonzero(fits).tolist(), parts, strict=len(kept) > 0))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _gram_hashes(points: np.ndarray) -> np.ndarray:
+    """A number for each gram of a text; none for a text shorter than a gram."""
+    n = max(0, len(points) - GRAM + 1)
+    mixed = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + points[k : k + n] + np.uint64(1)
+    return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def near_matches(docs: DataFrame, quotes: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", quote_id: str = "item_id", quote_text: str = "text") -> DataFrame:
     """(item_id, doc_id, q_start, ratio, reason) where a quote does not stand exactly but a window resembles it.
 
-    reason is null for an acceptable near match and ``semantic_discrepancy`` where the difference changes the claim.
+    reason is null for an acceptable near match and ``semantic_discrepancy`` where the difference changes the claim. Which
+    quotes a text may hold is counted over arrays of grams, by bins of a quote's width; only those are measured.
     """
     haystacks = docs.select(F.col(doc_id).alias("doc_id"), normalized(F.col(doc_text)).alias("hay"))
     out = None
     for block in _blocks(quotes, quote_id, quote_text):
-        patterns: dict[str, list] = {}
-        for i, q in block:
-            for gram in {q[k : k + GRAM] for k in range(len(q) - GRAM + 1)}:
-                patterns.setdefault(gram, []).append((i, q))
 
-        def search(batches, patterns=patterns):
-            automaton = _automaton(patterns)
+        def search(batches, block=block):
+            grams = _Grams(block) if block else None
             for pdf in batches:
                 rows = []
                 for d, hay in zip(pdf["doc_id"], pdf["hay"], strict=True):
-                    if automaton is None or hay is None:
+                    if grams is None or hay is None:
                         continue
-                    found: dict[tuple[int, str], list[int]] = {}
-                    for end, (_, owners) in automaton.iter(hay):
-                        for o in owners:
-                            found.setdefault(o, []).append(end - GRAM + 1)
-                    for (i, q), places in sorted(found.items()):
-                        if len(places) >= max(1, _needed(len(q), THRESHOLD)) and q not in hay and (best := best_window(hay, q, np.array(places))):
+                    for k, places in grams.candidates(_points(hay)):
+                        i, q = grams.quotes[k]
+                        if (best := best_window(hay, q, places)) and q not in hay:
                             rows.append((i, d, *best, hay[best[0] : best[0] + len(q)], q))
                 yield pd.DataFrame(rows, columns=["item_id", "doc_id", "q_start", "ratio", "window", "quote"])
 
