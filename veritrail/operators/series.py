@@ -17,8 +17,12 @@ RELATIVE = "relative_uncertainty"
 
 
 def lacking(owners: DataFrame, parts: DataFrame, key: str, condition: Column) -> DataFrame:
-    """(key): owners without a part for which the condition holds: series without a coordinate axis, envelopes without a record."""
-    return owners.select(key).distinct().join(parts.where(condition).select(key), key, "left_anti")
+    """(key): owners without a part for which the condition holds: series without a coordinate axis, envelopes without a record.
+    Where owners are listed by their parts alone, one aggregate tells."""
+    fits = condition & F.col(key).isNotNull()
+    if parts is owners:
+        return owners.groupBy(key).agg(F.coalesce(F.bool_or(fits), F.lit(False)).alias("_part")).where("NOT _part").select(key)
+    return owners.select(key).distinct().join(parts.where(fits).select(key), key, "left_anti")
 
 
 def points_without_value(values: DataFrame) -> DataFrame:

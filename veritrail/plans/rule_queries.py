@@ -13,7 +13,7 @@ from veritrail.functions import text, web
 from veritrail.operators import acquisition, integrity, ledger, providers, quotes, replay, series
 from veritrail.plans.boundary_queries import chosen
 from veritrail.sources import extraction
-from veritrail.sources.tables import table
+from veritrail.sources.tables import dealt, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -198,7 +198,7 @@ VALUES = f"""SELECT l_orderkey AS series, l_suppkey % 3 AS point_id, concat('x',
 @query(f"WITH {given('a', AXES)} SELECT series, 'no_coordinate' AS problem FROM a GROUP BY series HAVING count(*) FILTER (role = 'coordinate') = 0 UNION ALL SELECT series, 'no_observation' FROM a GROUP BY series HAVING count(*) FILTER (role = 'observation') = 0")
 def series_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series (orders) without an axis of coordinates or of observations."""
-    axes = rows(spark, sf_dir, AXES)
+    axes = spark.sql(AXES, lineitem=dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey"))
     of = lambda role: series.lacking(axes, axes, "series", F.col("role") == role).withColumn("problem", F.lit(f"no_{role}"))
     return of("coordinate").unionByName(of("observation"))
 
