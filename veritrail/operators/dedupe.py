@@ -69,22 +69,28 @@ def closure(edges: DataFrame) -> DataFrame:
         if longest.isEmpty():
             return known
         rest = known.select(F.col("node").alias("reached"), F.col("reached").alias("_next"), F.col("depth").alias("_more"))
-        ways = longest.join(rest, "reached").groupBy("node", F.col("_next").alias("reached")).agg((F.min("_more") + length).alias("depth"))
-        new = tables.stored(ways.join(known.select("node", "reached"), ["node", "reached"], "left_anti"), "ways")
+        ways = longest.join(rest, "reached").select("node", F.col("_next").alias("reached"), (F.col("_more") + length).alias("depth"))
+        # what is known and what is new meet in one aggregate, which holds each pair once and sorts none
+        met = ways.unionByName(known.select("node", "reached", F.lit(None).cast("int").alias("depth"))).groupBy("node", "reached")
+        new = tables.stored(met.agg(F.min("depth").alias("depth"), F.bool_or(F.col("depth").isNull()).alias("_known")).where("NOT _known").drop("_known"), "ways")
         known, length = known.unionByName(new), 2 * length
 
 
 def on_rings(edges: DataFrame) -> DataFrame:
     """(node): nodes on a cycle of edges (node, next) of which each node has one at most.
 
-    Each round a node's pointer jumps as far again, so that after log2 of the number of nodes every one that is left
-    points into a cycle, and what is pointed at are its nodes. Rows that lead out of the graph drop out.
+    Each round a node's pointer jumps as far again, and what is pointed at can only lose nodes. Once a round loses none, pointers
+    lead from what is left onto all of it, so that it is the cycles and nothing else: after log2 of the longest way into a
+    cycle. Rows that lead out of the graph drop out. Pointers meet by a merge join, since a round's whole table passes
+    for small by its compressed size and would go through the driver.
     """
     jumps = tables.stored(edges.select("node", "next").where("node IS NOT NULL AND next IS NOT NULL"), "jumps")
-    reach, n = 1, jumps.count()
-    while reach <= n:
+    left = jumps.select("next").distinct().count()
+    while left:
         hop = jumps.select(F.col("node").alias("next"), F.col("next").alias("_far"))
-        before, jumps = jumps, tables.stored(jumps.join(hop, "next").select("node", F.col("_far").alias("next")), "jumps")
+        before, jumps = jumps, tables.stored(jumps.join(hop.hint("merge"), "next").select("node", F.col("_far").alias("next")), "jumps")
         tables.removed(before)
-        reach *= 2
+        held, left = left, jumps.select("next").distinct().count()
+        if left == held:
+            break
     return jumps.select(F.col("next").alias("node")).distinct()
