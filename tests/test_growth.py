@@ -1,7 +1,11 @@
 """Steps whose tables grow: the same results, with less held, sent and repeated."""
 
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from veritrail.functions import text
 from veritrail.operators import dedupe, diagnostics, series
 from veritrail.sources import tables
 
@@ -42,3 +46,14 @@ def test_quality_meets_in_one_aggregate(spark):
     got = {r["g"]: (r["n_requested"], r["n_succeeded"], r["n_converged"], r["missing"], r["ok"]) for r in found.collect()}
     assert got == {1: (2, 1, 2, ["b"], False), 2: (2, 1, 1, [], False)}
     assert "Join" not in plan_of(found)
+
+
+def test_a_batch_of_maps_takes_few_bytes_a_character():
+    given = pa.array([None, "", "ﬁn-\nal  É", *["some words and more of them. " * 200] * 300])
+    size = sum(len(t) for t in given.to_pylist() if t)
+    tracemalloc.start()
+    made = text.normalized_with_map.func(given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made[:3].to_pylist() == [{"text": None, "offsets": None}, {"text": "", "offsets": []}, {"text": "final é", "offsets": [0, 0, 1, 4, 5, 6, 8]}]
+    assert peak < 10 * size

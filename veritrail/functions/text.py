@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,12 +82,21 @@ def fold_with_map(text: str) -> tuple[str, np.ndarray]:
     return out[first:last], at[first:last]
 
 
-@F.pandas_udf(T.StructType().add("text", T.StringType()).add("offsets", T.ArrayType(T.IntegerType())))
-def normalized_with_map(text: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(T.StructType().add("text", T.StringType()).add("offsets", T.ArrayType(T.IntegerType())))
+def normalized_with_map(text: pa.Array) -> pa.Array:
     """Compatibility forms, ligatures, joined line-end hyphens, single spaces and case folding, with the source
-    offset of each resulting character. Spark has no Unicode normalization, hence a vectorised function."""
-    made = [fold_with_map(t) if t is not None else (None, None) for t in text]
-    return pd.DataFrame({"text": [m[0] for m in made], "offsets": [m[1] for m in made]})
+    offset of each resulting character. Spark has no Unicode normalization, hence a vectorised function, which holds four bytes
+    for each character of a batch and the map of one text at a time."""
+    folded, offsets, ends = [], array("i"), array("i", [0])
+    for t in text:
+        made, places = fold_with_map(t.as_py()) if t.is_valid else (None, None)
+        folded.append(made)
+        if places is not None:
+            offsets.frombytes(places.astype(np.int32).tobytes())
+        ends.append(len(offsets))
+    given = np.array([t is not None for t in folded], bool)
+    maps = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(offsets, np.int32)), mask=pa.array(~given))
+    return pa.StructArray.from_arrays([pa.array(folded, pa.string()), maps], ["text", "offsets"])
 
 
 def raw_span(offsets: Column, start: Column, end: Column, raw_length: Column) -> Column:
