@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from veritrail.functions import text
-from veritrail.operators import dedupe, diagnostics, series
+from veritrail.operators import dedupe, diagnostics, inventories, series
 from veritrail.sources import tables
 
 
@@ -57,3 +57,13 @@ def test_a_batch_of_maps_takes_few_bytes_a_character():
     tracemalloc.stop()
     assert made[:3].to_pylist() == [{"text": None, "offsets": None}, {"text": "", "offsets": []}, {"text": "final é", "offsets": [0, 0, 1, 4, 5, 6, 8]}]
     assert peak < 10 * size
+
+
+def test_inventories_write_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(inventories, "stored", lambda df, name: names.append(name) or df)
+    of = lambda schema: spark.createDataFrame([], schema)
+    fragments = of("page int, fragment_id string, text string, x_start double, x_end double, baseline_y double, font_height double, rotated boolean, mapped boolean")
+    footprints = of("footprint_id int, page int, x_start double, x_end double, y_top double, y_bottom double, caption_text string, caption_x_start double, caption_baseline_y double")
+    inventories.built(fragments, footprints, of("page int, available boolean, complete boolean"))
+    assert len(names) == 1
