@@ -60,6 +60,23 @@ def test_constructs_hold_their_pieces(spark):
     assert of[("8", len(text) - 5)] == "ascii6_uncertainty" and of[("x", 0)] is None and of[("y", 0)] is None
 
 
+def test_spans_meet_constructs_without_a_join(spark):
+    rng = random.Random(3)
+    docs = [(i % 5, "".join(rng.choice(["6", "12", "x 10", " - ", " ", " 6 ", "-", "; "]) for _ in range(rng.randrange(60)))) for i in range(12)] + [(None, "7 6 7"), (9, None)]
+    texts = spark.createDataFrame(docs, "doc_id long, text string")
+    found = boundaries.constructs(texts)
+    spans = [(k, a, a + n) for k in (0, 1, 2, 3, 4, None) for a in range(0, 70, 2) for n in (1, 2, 5)]
+    got = boundaries.enclosed(spark.createDataFrame(spans, "doc_id long, start int, end int"), found)
+    at = [tuple(r) for r in found.collect()]
+    first = lambda k, a, b: min(((p, c) for key, p, c, x, y in at if key == k and k is not None and x <= a and y >= b and (x < a or y > b)), default=(0, None))[1]
+    want = sorted(((*s, first(*s)) for s in spans), key=str)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want and len({w[3] for w in want}) == 4
+    matches = boundaries.enclosed_matches(texts, "[0-9]+")
+    numbers = [(k, m.start(), m.end()) for k, t in docs if t for m in re.finditer("[0-9]+", t)]
+    assert sorted((tuple(r) for r in matches.collect()), key=str) == sorted(((*s, first(*s)) for s in numbers), key=str)
+    assert not any("Join" in df._jdf.queryExecution().executedPlan().toString() for df in (got, matches))
+
+
 @pytest.mark.parametrize("pattern", [r"a+", r"[0-9]+", r"b|c"])
 def test_places_are_those_of_the_matches(spark, pattern):
     rng = random.Random(7)

@@ -7,7 +7,7 @@ powers of ten whose exponent was flattened. Names of refusals are fixed values;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions import numerals, places, units
@@ -28,8 +28,6 @@ CONSTRUCTS = (
     ("spaced_range", _SIGNED + r"(?:\s+[-–]\s*|[-–]\s+)" + _TAIL),
     ("flattened_scientific", _SIGNED + r"\s*[x×*]\s*10\s+" + _TAIL),
 )
-#: Characters of a bin in the join of spans with the constructs that hold them.
-BIN = 64
 
 
 def numeral_extents(text: Column) -> Column:
@@ -110,21 +108,45 @@ def unit_violations(spans: DataFrame, whole: str | None = None) -> DataFrame:
     return judged.select(*spans.columns, F.when(given, F.coalesce("_edges", table)).alias("violation"))
 
 
+def _kinds(text: Column) -> Column:
+    """array<struct<place, construct, at>>: for each kind of construct where it stands in a text."""
+    return F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("construct"), places.found(text, f"(?U){p}").alias("at")) for i, (name, p) in enumerate(CONSTRUCTS)])
+
+
 def constructs(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, place, construct, c_start, c_end): numeric constructs of several tokens; place is their order of asking."""
-    listed = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("construct"), places.found(F.col(text), f"(?U){p}").alias("at")) for i, (name, p) in enumerate(CONSTRUCTS)])
-    rows = texts.where(F.col(text).isNotNull()).select(key, F.inline(listed))
+    rows = texts.where(F.col(text).isNotNull()).select(key, F.inline(_kinds(F.col(text))))
     return rows.select(key, "place", "construct", F.inline("at")).select(key, "place", "construct", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
 
 
+def _held(key: str, place: str = "place") -> Column:
+    """The first kind of construct that holds a span and more than it, or null.
+
+    Of rows of spans (key, start, end), whose place is null, and of constructs beside them. Constructs that start before a span or with it
+    are those before it in order, so that the greatest end among them tells of all: no span meets each construct.
+    """
+    # Spans without a key hold nothing and are held by nothing; their start deals them out.
+    order = Window.partitionBy(key, F.when(F.col(key).isNull(), F.col("start"))).orderBy("start")
+    upto, before = order.rangeBetween(Window.unboundedPreceding, Window.currentRow), order.rangeBetween(Window.unboundedPreceding, -1)
+    reach = lambda i, over: F.max(F.when(F.col(place) == i, F.col("end"))).over(over)
+    holds = lambda i: F.col(key).isNotNull() & ((reach(i, upto) > F.col("end")) | (reach(i, before) >= F.col("end")))
+    return F.coalesce(*[F.when(holds(i), name) for i, (name, _) in enumerate(CONSTRUCTS)])
+
+
 def enclosed(spans: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """spans (key, start, end, …) with ``construct``: the first kind of construct that holds the span and more than it, or null.
 
-    Constructs stand in each bin of characters that they cover, spans in the bin of their start, so that both meet in an
-    equi-join; the containing is checked exactly. Repeated spans each get their row.
+    found: constructs as ``constructs`` gives them. Both sides meet in one window by key (see ``_held``). Repeated spans each get their row.
     """
-    bins = found.select(F.col(key).alias("_key"), "place", "construct", "c_start", "c_end", F.explode(F.sequence(F.floor(F.col("c_start") / BIN), F.floor((F.col("c_end") - 1) / BIN))).alias("_bin"))
-    distinct = spans.select(F.col(key).alias("_of"), F.col("start").alias("_s"), F.col("end").alias("_e")).distinct()
-    holds = (F.col("_of") == F.col("_key")) & (F.floor(F.col("_s") / BIN) == F.col("_bin")) & (F.col("c_start") <= F.col("_s")) & (F.col("c_end") >= F.col("_e")) & ((F.col("c_start") < F.col("_s")) | (F.col("c_end") > F.col("_e")))
-    first = distinct.join(bins, holds).groupBy("_of", "_s", "_e").agg(F.min_by("construct", "place").alias("construct"))
-    return spans.join(first, F.col(key).eqNullSafe(F.col("_of")) & (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e")), "left").select(*spans.columns, "construct")
+    place = "_place"
+    beside = found.select(key, F.col("c_start").alias("start"), F.col("c_end").alias("end"), F.col("place").alias(place))
+    rows = spans.unionByName(beside, allowMissingColumns=True)
+    return rows.select(*spans.columns, place, _held(key, place).alias("construct")).where(F.col(place).isNull()).drop(place)
+
+
+def enclosed_matches(texts: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, start, end, construct): ``enclosed`` for the matches of a pattern, which come from their texts in the same pass as the constructs."""
+    spans = F.transform(places.found(F.col(text), pattern), lambda m: F.struct(F.lit(None).cast("int").alias("place"), m["start"].alias("start"), m["end"].alias("end")))
+    kinds = F.transform(_kinds(F.col(text)), lambda k: F.transform(k["at"], lambda m: F.struct(k["place"].alias("place"), m["start"].alias("start"), m["end"].alias("end"))))
+    rows = texts.where(F.col(text).isNotNull()).select(key, F.inline(F.concat(spans, F.flatten(kinds))))
+    return rows.select(key, "start", "end", "place", _held(key).alias("construct")).where("place IS NULL").drop("place")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.functions import places, units
+from veritrail.functions import units
 from veritrail.operators import boundaries
 from veritrail.sources.tables import table
 
@@ -110,20 +110,16 @@ def _enclosed_sql(source: str) -> str:
     FROM numbers s"""
 
 
-def _numbers(texts: DataFrame) -> DataFrame:
-    return texts.select("doc_id", F.inline(places.found(F.col("text"), "[0-9]+"))).drop("hit")
-
-
 @query(f"""WITH texts AS ({_TEXTS.format(lineitem="lineitem", joined="string_agg(clause, '; ' ORDER BY l_linenumber, clause)")}), {_enclosed_sql("texts")}""")
 def enclosing_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each run of digits in the measurement texts of orders, with the construct that it is a piece of."""
-    joined = "array_join(transform(array_sort(collect_list(struct(l_linenumber, clause))), x -> x.clause), '; ')"
+    joined = "array_join(sort_array(collect_list(struct(l_linenumber, clause))).clause, '; ')"
     texts = spark.sql(_TEXTS.format(lineitem="{lineitem}", joined=joined), lineitem=table(spark, sf_dir, "lineitem"))
-    return boundaries.enclosed(_numbers(texts), boundaries.constructs(texts))
+    return boundaries.enclosed_matches(texts, "[0-9]+")
 
 
 @query(f"""WITH {_enclosed_sql("documents")}""")
 def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each run of digits in documents, with the construct that it is a piece of."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return boundaries.enclosed(_numbers(docs), boundaries.constructs(docs))
+    return boundaries.enclosed_matches(docs, "[0-9]+")
