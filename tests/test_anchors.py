@@ -24,6 +24,29 @@ def test_numbers_are_met_by_value(spark):
     assert unmet(spark, window, []) == ["no_anchor"] and unmet(spark, window, None) == ["no_anchor"] and unmet(spark, None, [["a"]]) == ["a"]
 
 
+def test_values_are_those_of_parsed_spans(spark):
+    """What is read without ``numerals.parsed`` is what that gives; numbers may share a percent sign; a window is read once."""
+    from veritrail.functions import numerals, places
+
+    rng = random.Random(11)
+    parts = ["1", "20", "3.50", "007", "-", "–", "−", "+", "%", "%%", " ", "e5", "E-3", ".", ",", "/C0 ", "x", "٣", "9" * 320]
+    texts = ["1e5%2e5%3", "2e5%7%8e2", "10-2 2-10 3–4 4–3", "1-2\n", None, ""] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").repartition(4)
+
+    def plainly(window):
+        beside = lambda m: (F.substr(window, m["start"], F.when(m["start"] > 0, 1).otherwise(0)) == "%") | (F.substr(window, m["end"] + 1, F.lit(1)) == "%")
+        kept = F.filter(places.found(window, f"(?U){numerals.CANDIDATE}"), lambda m: ~(F.contains(F.lower(m["hit"]), F.lit("e")) & beside(m)))
+        return F.flatten(F.transform(kept, lambda m: places.let(numerals.parsed(m["hit"]), anchors._bounds)))
+
+    text = F.col("text")
+    got = rows.select("n", anchors.values_in(text).alias("a"), plainly(text).alias("b"), anchors.bounds(text).alias("c"), anchors._bounds(numerals.parsed(text)).alias("d")).collect()
+    assert [(texts[r["n"]], r["a"], r["b"], r["c"], r["d"]) for r in got if r["a"] != r["b"] or r["c"] != r["d"]] == []
+    assert {r["n"]: r["a"] for r in got}[0] == [3.0] and sum(bool(r["a"]) for r in got) > 100
+    claims = spark.createDataFrame([(1, "1 2", [["1"], ["1-2"], ["a", "b"]])], "claim_id int, window string, required array<array<string>>")
+    plan = anchors.unmet(claims)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(numerals.CANDIDATE) == 1
+
+
 FIELDS = """category string, observable_raw string, reactor_type string, measured array<struct<value: double, unit: string>>, species array<string>, temperature_range_K array<double>,
     pressure_range_bar array<double>, equivalence_ratio_range array<double>, residence_time_s double, apparatus string, n_data_points int, level_of_theory string, result struct<value: double, unit: string>,
     reaction_label string, property string, software string, model_name string, n_species int, n_reactions int, mechanism_url string, fuel_species array<string>, validation_targets array<string>"""

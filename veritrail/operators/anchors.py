@@ -17,6 +17,9 @@ from veritrail.operators.quotes import term_present
 #: What is numeric in intent, and literals that a float parser takes besides digits.
 NUMERIC_INTENT = r"^[-+]?\d[\d.eE+-]*$"
 FLOAT_LITERAL = r"(?i)^\s*[-+]?(?:inf|infinity|nan|(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[-+]?\d+(?:_\d+)*)?)\s*$"
+#: Digits that are a finite value as they stand, and two of them.
+PLAIN = r"^[0-9]{1,300}(?:\.[0-9]+)?\z"
+PLAIN_RANGE = r"^[0-9]{1,300}(?:\.[0-9]+)?[-–][0-9]{1,300}(?:\.[0-9]+)?\z"
 #: Surface forms of reactor types and of computed properties; a property without forms asks for none.
 REACTOR_TERMS = {
     "shock_tube": ("shock tube", "shock-tube", "st"), "jsr": ("jet-stirred reactor", "jet stirred reactor", "jsr"), "rcm": ("rapid compression machine", "rcm"),
@@ -39,15 +42,22 @@ def _bounds(parsed: Column) -> Column:
     return F.when(parsed["kind"] == "scalar", F.array(parsed["value"])).when(parsed["kind"] == "range", F.array(parsed["low"], parsed["high"])).otherwise(F.array().cast("array<double>"))
 
 
+def bounds(span: Column, flat_pdf: Column | None = None, dash_damage: Column | None = None) -> Column:
+    """array<double>: the numbers of a span by ``numerals.parsed``, which plain digits and ranges of them need not be taken through."""
+    ends = F.split(F.translate(span, "–", "-"), "-").try_cast("array<double>")
+    ordered = places.let(ends, lambda e: F.when(F.get(e, F.lit(0)) <= F.get(e, F.lit(1)), e).otherwise(F.array().cast("array<double>")))
+    return F.when(span.rlike(PLAIN), F.array(span.try_cast("double"))).when(span.rlike(PLAIN_RANGE), ordered).otherwise(places.let(numerals.parsed(span, flat_pdf, dash_damage), _bounds))
+
+
 def values_in(window: Column, flat_pdf: Column | None = None, dash_damage: Column | None = None) -> Column:
     """array<double>: every number that stands clean in a window, in order; a range gives both bounds.
 
     A number with an exponent beside a percent sign is no value, since ranges of percentages decay to that form.
     """
-    spans = places.found(window, f"(?U){numerals.CANDIDATE}")
-    beside = lambda m: (F.substr(window, m["start"], F.when(m["start"] > 0, 1).otherwise(0)) == "%") | (F.substr(window, m["end"] + 1, F.lit(1)) == "%")
-    kept = F.filter(spans, lambda m: ~(F.contains(F.lower(m["hit"]), F.lit("e")) & beside(m)))
-    return F.flatten(F.transform(kept, lambda m: places.let(numerals.parsed(m["hit"], flat_pdf, dash_damage), _bounds)))
+    # Each number comes with the percent signs beside it, doubled so that two numbers may share one.
+    hits = F.regexp_extract_all(F.replace(window, F.lit("%"), F.lit("%%")), F.lit(f"(?U)%?{numerals.CANDIDATE}%?"), F.lit(0))
+    kept = F.filter(hits, lambda h: ~(F.contains(h, F.lit("%")) & F.contains(F.lower(h), F.lit("e"))))
+    return F.flatten(F.transform(kept, lambda h: places.let(F.replace(h, F.lit("%"), F.lit("")), lambda span: bounds(span, flat_pdf, dash_damage))))
 
 
 def unmet(claims: DataFrame, claim_id: str = "claim_id") -> DataFrame:
@@ -57,16 +67,17 @@ def unmet(claims: DataFrame, claim_id: str = "claim_id") -> DataFrame:
     with the reason that nothing was asked for, ``no_anchor``; those whose window is null miss all.
     """
     split = claims.select(claim_id, F.coalesce("window", F.lit("")).alias("window"), F.coalesce("required", F.array()).alias("required"))
-    split = split.select("*", values_in(F.col("window")).alias("_values"), normalized(F.col("window")).alias("_text"))
+    split = split.select("*", normalized(F.col("window")).alias("_text"))
 
-    def met(alternatives: Column) -> Column:
+    def met(alternatives: Column, values: Column) -> Column:
         one = F.get(alternatives, F.lit(0))
-        near = lambda target: F.exists("_values", lambda v: numerals.is_close(target, v))
-        by_value = places.let(places.let(numerals.parsed(one), _bounds), lambda targets: (F.size(targets) > 0) & F.forall(targets, near))
+        near = lambda target: F.exists(values, lambda v: numerals.is_close(target, v))
+        by_value = places.let(bounds(one), lambda targets: (F.size(targets) > 0) & F.forall(targets, near))
         single = F.when(numeric_intent(one), by_value).otherwise(F.contains("_text", normalized(one)))
         return F.when(F.size(alternatives) == 1, single).otherwise(F.exists(alternatives, lambda a: term_present(a, F.col("_text"))))
 
-    missing = F.transform(F.filter("required", lambda r: ~F.coalesce(met(r), F.lit(False))), lambda r: F.array_join(r, " | "))
+    lacking = lambda values: F.filter("required", lambda r: ~F.coalesce(met(r, values), F.lit(False)))
+    missing = F.transform(places.let(values_in(F.col("window")), lacking), lambda r: F.array_join(r, " | "))
     return split.select(claim_id, F.when(F.size("required") == 0, F.array(F.lit("no_anchor"))).otherwise(missing).alias("missing"))
 
 

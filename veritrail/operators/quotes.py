@@ -299,7 +299,8 @@ def evidence_window(hay: Column, start: Column, end: Column, around: int = EVIDE
 
 def term_present(term: Column, window: Column) -> Column:
     """Whether a term stands in a window with no letter or digit on either side."""
-    return F.regexp_like(F.lower(window), F.concat(F.lit("(?<![a-z0-9])"), F.regexp_replace(F.lower(term), r"([\\.\[\]{}()*+?^$|-])", r"\\$1"), F.lit("(?![a-z0-9])")))
+    # The pattern is made anew for each row, so only for windows that hold the term at all.
+    return F.contains(F.lower(window), F.lower(term)) & F.regexp_like(F.lower(window), F.concat(F.lit("(?<![a-z0-9])"), F.regexp_replace(F.lower(term), r"([\\.\[\]{}()*+?^$|-])", r"\\$1"), F.lit("(?![a-z0-9])")))
 
 
 def missing_anchors(claims: DataFrame, claim_id: str = "claim_id") -> DataFrame:
