@@ -30,7 +30,7 @@ def test_values_are_those_of_parsed_spans(spark):
 
     rng = random.Random(11)
     parts = ["1", "20", "3.50", "007", "-", "–", "−", "+", "%", "%%", " ", "e5", "E-3", ".", ",", "/C0 ", "x", "٣", "9" * 320]
-    texts = ["1e5%2e5%3", "2e5%7%8e2", "10-2 2-10 3–4 4–3", "1-2\n", None, ""] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    texts = ["1e5%2e5%3", "2e5%7%8e2", "10-2 2-10 3–4 4–3", "1-2\n", "Inf", "-nan", "2e5", "1.5E-3", "1e400", "12e+99", None, ""] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").repartition(4)
 
     def plainly(window):
@@ -41,6 +41,9 @@ def test_values_are_those_of_parsed_spans(spark):
     text = F.col("text")
     got = rows.select("n", anchors.values_in(text).alias("a"), plainly(text).alias("b"), anchors.bounds(text).alias("c"), anchors._bounds(numerals.parsed(text)).alias("d")).collect()
     assert [(texts[r["n"]], r["a"], r["b"], r["c"], r["d"]) for r in got if r["a"] != r["b"] or r["c"] != r["d"]] == []
+    flags = [F.lit(True), F.lit(True)]
+    flagged = rows.select("n", anchors.bounds(text, *flags).alias("c"), anchors._bounds(numerals.parsed(text, *flags)).alias("d")).collect()
+    assert [texts[r["n"]] for r in flagged if r["c"] != r["d"]] == [] and {texts[r["n"]]: r["c"] for r in flagged}["2e5"] == []
     assert {r["n"]: r["a"] for r in got}[0] == [3.0] and sum(bool(r["a"]) for r in got) > 100
     claims = spark.createDataFrame([(1, "1 2", [["1"], ["1-2"], ["a", "b"]])], "claim_id int, window string, required array<array<string>>")
     plan = anchors.unmet(claims)._jdf.queryExecution().optimizedPlan().toString()

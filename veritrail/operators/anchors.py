@@ -17,8 +17,9 @@ from veritrail.operators.quotes import term_present
 #: What is numeric in intent, and literals that a float parser takes besides digits.
 NUMERIC_INTENT = r"^[-+]?\d[\d.eE+-]*$"
 FLOAT_LITERAL = r"(?i)^\s*[-+]?(?:inf|infinity|nan|(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[-+]?\d+(?:_\d+)*)?)\s*$"
-#: Digits that are a finite value as they stand, and two of them.
+#: Digits that are a finite value as they stand, also with an exponent where none is under suspicion, and two of them.
 PLAIN = r"^[0-9]{1,300}(?:\.[0-9]+)?\z"
+PLAIN_POWER = r"^[0-9]{1,200}(?:\.[0-9]+)?(?:[eE][-+]?[0-9]{1,2})?\z"
 PLAIN_RANGE = r"^[0-9]{1,300}(?:\.[0-9]+)?[-–][0-9]{1,300}(?:\.[0-9]+)?\z"
 #: Surface forms of reactor types and of computed properties; a property without forms asks for none.
 REACTOR_TERMS = {
@@ -44,9 +45,12 @@ def _bounds(parsed: Column) -> Column:
 
 def bounds(span: Column, flat_pdf: Column | None = None, dash_damage: Column | None = None) -> Column:
     """array<double>: the numbers of a span by ``numerals.parsed``, which plain digits and ranges of them need not be taken through."""
+    none = F.array().cast("array<double>")
     ends = F.split(F.translate(span, "–", "-"), "-").try_cast("array<double>")
-    ordered = places.let(ends, lambda e: F.when(F.get(e, F.lit(0)) <= F.get(e, F.lit(1)), e).otherwise(F.array().cast("array<double>")))
-    return F.when(span.rlike(PLAIN), F.array(span.try_cast("double"))).when(span.rlike(PLAIN_RANGE), ordered).otherwise(places.let(numerals.parsed(span, flat_pdf, dash_damage), _bounds))
+    ordered = places.let(ends, lambda e: F.when(F.get(e, F.lit(0)) <= F.get(e, F.lit(1)), e).otherwise(none))
+    plain = PLAIN_POWER if flat_pdf is None or dash_damage is None else PLAIN
+    read = F.when(span.rlike(plain), F.array(span.try_cast("double"))).when(span.rlike(PLAIN_RANGE), ordered).when(F.lower(span).isin(*numerals.NOT_FINITE), none)
+    return read.otherwise(places.let(numerals.parsed(span, flat_pdf, dash_damage), _bounds))
 
 
 def values_in(window: Column, flat_pdf: Column | None = None, dash_damage: Column | None = None) -> Column:
