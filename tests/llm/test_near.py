@@ -407,3 +407,69 @@ def test_ties_go_to_the_smaller_id_among_all_that_is_met(spark):
     asked, candidates = spark.createDataFrame([(7, n)], "query_id long, qcls long"), spark.createDataFrame(list(zip(met["qcls"], met["cls"], met["low"], met["high"], strict=True)), "qcls long, cls long, low double, high double")
     rows = sorted(ann._ranked(asked, candidates, classes).collect(), key=lambda r: r["rank"])
     assert [r["vec_id"] for r in rows] == sorted(ids)[: ann.TOP]
+
+
+def versions_of(base, n, seed):
+    rng, out = random.Random(seed), []
+    for k in range(n):
+        words = list(base)
+        words[rng.choice([*range(5, 12), *range(38, 45)])] = f"own{k}"
+        out.append(words)
+    return out
+
+
+def repeated_words(a, b):
+    """Words of a in shingles that passages of 50 words at 0.8 repeat from b, by place."""
+    out = set()
+    for s in range(len(a) - 49):
+        equal = [k for k in range(s, s + 46) if a[k : k + 5] == b[k : k + 5]]
+        if len(equal) >= 41:
+            out.update(w for k in equal for w in range(k, k + 5))
+    return out
+
+
+def test_passages_of_a_large_group_grow_with_its_versions_and_hold_all_words(spark):
+    base, made = prose(555, 50).split(), {}
+    for n in (200, 800):
+        versions = versions_of(base, n, 12)
+        rows = [(k, " ".join([prose(50_000 + k, 20), *words, prose(60_000 + k, 20)])) for k, words in enumerate(versions)]
+        found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        made[n] = len(found)
+        held = {}
+        for r in found:
+            held.setdefault(r.doc_id, set()).update(range(r.start_word - 20, r.end_word - 20))
+        for i in range(n if n == 200 else 0):
+            want = set().union(*(repeated_words(versions[i], versions[j]) for j in range(i)))
+            assert want <= held.get(i, set()), (i, sorted(want - held.get(i, set())))
+    assert made[800] < 6 * made[200] and made[800] < 4 * 800, made
+
+
+def test_each_text_of_an_id_in_a_large_group_has_its_passages(spark):
+    versions = versions_of(prose(556, 50).split(), 150, 13)
+    text = lambda k, words, tail: " ".join([prose(50_000 + k, 20), *words, prose(tail, 20)])
+    rows = [(k, text(k, words, 60_000 + k)) for k, words in enumerate(versions)] + [(149, text(149, versions[149], 99_000)), (148, text(148, versions[3], 99_001))]
+    found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    marks = {(r.doc_id, r.mark) for r in found.collect()}
+    want = {r.doc_id: r.n for r in spark.createDataFrame(rows, "doc_id long, text string").groupBy("doc_id").agg(F.countDistinct("text").alias("n")).collect()}
+    near_ones = [i for i in range(1, 150) if any(near(versions[i], versions[j]) for j in range(i))]
+    assert {148, 149} <= set(near_ones) and all(sum(d == i for d, _ in marks) == want[i] for i in near_ones)
+
+
+def test_sets_of_windows_are_those_of_brute_force():
+    rng = np.random.default_rng(7)
+    pairs = []
+    for k in range(120):
+        a = rng.integers(0, (4, 30, 10**6)[k % 3], rng.integers(0, 120)).astype(np.int32)
+        b = np.concatenate([a[:50], rng.integers(0, 10**6, 5).astype(np.int32), a[50:]])[: len(a)] if k % 2 else rng.permutation(a)
+        pairs.append((a, b))
+    pairs += [(np.zeros(90, np.int32), np.zeros(90, np.int32)), (np.tile(np.arange(3), 30), np.tile(np.arange(3), 30)[::-1])]
+    size = np.array([len(a) for a, _ in pairs])
+    of = np.concatenate([[0], np.cumsum(size)])
+    start, share = passages._by_sets(np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs]), of[:-1], size)
+    want = {}
+    for p, (a, b) in enumerate(pairs):
+        for s in range(len(a) - passages.SPAN + 1):
+            x, y = set(a[s : s + passages.SPAN].tolist()), set(b[s : s + passages.SPAN].tolist())
+            if len(x & y) / len(x | y) >= passages.SIMILARITY:
+                want[of[p] + s] = len(x & y) / len(x | y)
+    assert want and dict(zip(start.tolist(), share.tolist(), strict=True)) == want
