@@ -113,3 +113,25 @@ def test_whole_numerals_as_extents_tell(spark):
     listed = F.exists(boundaries.numeral_extents(F.col("text")), lambda n: (n["start"] == F.col("s")) & (n["end"] == F.col("e")))
     rows = frame.select("text", "s", "e", boundaries.whole_numeral(F.col("text"), F.col("s"), F.col("e")).alias("got"), listed.alias("want")).collect()
     assert [r for r in rows if r["got"] != r["want"]] == [] and sum(bool(r["want"]) for r in rows) > 5
+
+
+def test_references_meet_their_nodes_beside_the_envelope(spark, nodes):
+    """No join or shuffle is of references, nothing is written on the way, and what the schema tells is not asked of each row."""
+    frame = spark.createDataFrame([envelope(1, [claim()])], SCHEMA)
+    for made in (envelopes.replayed, envelopes.findings, envelopes.claims):
+        plan = made(frame, nodes, "id")._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join " in line]
+        assert not any("node_id" in line for line in joins) and "Relation [" not in plan and "array_except" not in plan, made
+    stray = envelopes.findings(frame.withColumn("stray", F.col("attribution_ref")), nodes, "id")
+    assert {(r["path"], r["finding"]) for r in stray.collect()} == {("stray", "never_named")}
+
+
+def test_many_nodes_on_shelves(spark):
+    """Each of many nodes is found by its id, a lost one is not, and an id that stands twice is judged twice."""
+    rows = [(1, f"n{k}", f"{TEXT} {k}", None) for k in range(300)] + [(1, "n7", "other", None), (1, None, TEXT, None)]
+    many = spark.createDataFrame(rows, "id int, node_id string, text string, problem string")
+    cited = [(f"{TEXT} {k}", (f"n{k}", ("char_span", 0, len(f"{TEXT} {k}"))), "tube", (f"lost{k}", ("char_span", 0, 4))) for k in range(300)]
+    found = envelopes.checked_pairs(spark.createDataFrame([envelope(1, [], cited)], SCHEMA), many, "id").collect()
+    labels = [r for r in found if r["path"].startswith("categorical") and r["path"].endswith("label_ref")]
+    assert sorted(r["finding"] for r in labels if r["finding"]) == ["out_of_range"] and len(labels) == 301
+    assert {r["finding"] for r in found if r["path"].endswith("token_ref")} == {"unknown_node"} and len(found) == 602

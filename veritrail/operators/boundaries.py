@@ -17,6 +17,8 @@ DELIMITERS = r"\[\]\"'“”=:,;."
 TOKEN = r"\p{L}\p{N}%°_/^*\-·⁻−–"
 OPERATORS = r"*/^\-·−–"
 RAISED = "⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉"
+#: The commonest clean neighbours of a unit on both sides, which need no pattern: nothing, blanks and plain delimiters.
+PLAIN = ("", " ", "\t", "\n", *"[]\"':=,;.")
 _SPACE = r"\p{IsWhite_Space}\x1C-\x1F"
 #: Characters that are looked at behind a unit for trailing operators, and before or behind it for a longer spelling.
 REACH = 256
@@ -68,7 +70,8 @@ def unit_edges(text: Column, start: Column, end: Column, value_start: Column, va
         .when(is_one(after, TOKEN), "unit_trailing_not_maximal")
         .when((after != "") & ~is_one(after, _SPACE + DELIMITERS + ")"), "unit_trailing_unclassified_char")
     )
-    return F.when(start < end, F.coalesce(leading, trailing))
+    next_ = F.substr(text, end + 1, F.lit(1))
+    return F.when(start < end, F.coalesce(F.when(~before.isin(*PLAIN, "("), leading), F.when(~next_.isin(*PLAIN, ")"), trailing)))
 
 
 def longer_spellings(spark) -> DataFrame:
@@ -101,8 +104,8 @@ def unit_violations(spans: DataFrame, whole: str | None = None) -> DataFrame:
     judged = spans.withColumn("_quote", quote).withColumn("_edges", edges).join(longer, F.col("_quote") == F.col("_longer_of"), "left")
     table = (
         F.when(~F.coalesce(F.array_contains("_quantities", F.col("quantity")), F.lit(False)), "unit_not_in_vocabulary")
-        .when(places.let(onward, lambda text: F.exists("forward", lambda s: F.startswith(text, s))), "unit_not_maximal_forward")
-        .when(places.let(back, lambda text: F.exists("backward", lambda s: F.endswith(text, s))), "unit_not_maximal_backward")
+        .when((F.size("forward") > 0) & places.let(onward, lambda text: F.exists("forward", lambda s: F.startswith(text, s))), "unit_not_maximal_forward")
+        .when((F.size("backward") > 0) & places.let(back, lambda text: F.exists("backward", lambda s: F.endswith(text, s))), "unit_not_maximal_backward")
     )
     given = F.col("text").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("quantity").isNotNull()
     return judged.select(*spans.columns, F.when(given, F.coalesce("_edges", table)).alias("violation"))
