@@ -135,3 +135,16 @@ def test_many_nodes_on_shelves(spark):
     labels = [r for r in found if r["path"].startswith("categorical") and r["path"].endswith("label_ref")]
     assert sorted(r["finding"] for r in labels if r["finding"]) == ["out_of_range"] and len(labels) == 301
     assert {r["finding"] for r in found if r["path"].endswith("token_ref")} == {"unknown_node"} and len(found) == 602
+
+
+def test_lines_are_dealt_out_once(spark, sf):
+    """Envelopes are made where their lines were dealt to: neither they nor their nodes are shuffled again."""
+    from veritrail.plans import catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES["condition_set_claims"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = [line for line in plan.splitlines() if "Exchange " in line]
+    assert sum("REPARTITION_BY_NUM" in line for line in shuffles) == 2 and len(shuffles) <= 4

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veritrail.operators import envelopes
 from veritrail.plans.boundary_queries import _SPELLINGS, chosen
-from veritrail.sources.tables import table
+from veritrail.sources.tables import dealt, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,8 +46,8 @@ def _ref(node: str, start: str, end: str, kind: str = "'char_span'") -> str:
 
 
 def _envelopes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The envelopes by order, and the nodes that they cite."""
-    items = spark.sql(_ITEMS, lineitem=table(spark, sf_dir, "lineitem"))
+    """The envelopes by order, and the nodes that they cite. Lines are dealt out by order once; envelopes and nodes keep its place and meet there."""
+    items = spark.sql(_ITEMS, lineitem=dealt(table(spark, sf_dir, "lineitem"), "l_orderkey"))
     value = lambda raw, less: f"struct(quantity AS quantity_kind, {raw} AS raw_text, {_ref('node', 'value_at', f'value_at + length(value) - {less}')} AS value_ref, unit AS unit_raw, {_ref('node', 'unit_at', 'unit_at + length(unit) + beyond')} AS unit_ref)"
     label = f"label AS label_raw, {_ref('node', '0', 'length(label)', 'label_kind')} AS label_ref"
     uncertain = f"struct(u_kind AS kind, u_basis AS basis, u_scale AS scale, {value('value', '0')} AS upper, CASE WHEN false THEN {value('value', '0')} END AS lower)"
