@@ -473,3 +473,21 @@ def test_sets_of_windows_are_those_of_brute_force():
             if len(x & y) / len(x | y) >= passages.SIMILARITY:
                 want[of[p] + s] = len(x & y) / len(x | y)
     assert want and dict(zip(start.tolist(), share.tolist(), strict=True)) == want
+
+
+def test_words_beside_a_sure_repeat_are_held(spark):
+    """Passages whose inner words an earlier document repeats for longer, and whose first words a later one alone has; some within one document."""
+    docs, least = [], {}
+    for k in range(80):
+        fresh = lambda n: [f"w{k}x{random.Random(k * 1000 + n + j).getrandbits(40)}" for j in range(n)]  # noqa: B023, E731
+        x = [f"x{k}y{random.Random(f'{k}-{j}').getrandbits(40)}" for j in range(140)]
+        skip = 3 + k % 8
+        first, second = x[skip : skip + 90], x[:50]
+        docs += [(10 * k + 1, " ".join(fresh(30) + first + fresh(31)))] + [(10 * k + 2, " ".join(fresh(32) + second + fresh(33)))] * (k % 2)
+        before = fresh(34) + second + fresh(35) if k % 2 == 0 else fresh(36)
+        docs.append((10 * k + 3, " ".join(before + x + fresh(37))))
+        least[10 * k + 3] = set(range(len(before), len(before) + 50))
+    found = {}
+    for r in passages.repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect():
+        found.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert {i: sorted(words - found.get(i, set())) for i, words in least.items() if not words <= found.get(i, set())} == {}
