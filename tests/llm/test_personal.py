@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import empty_docs, hard_docs
 from veritrail.llm import personal
@@ -139,3 +140,14 @@ def test_plan_has_no_python(spark, model, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = personal.report(personal.spans(docs, model))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_no_description_is_left_out_of_learning(spark, corpus, model, monkeypatch):
+    """However many descriptions there are, the trees are fitted on the candidates of all of them."""
+    monkeypatch.setattr(personal, "MOST", 3, raising=False)
+    fitted = []
+    monkeypatch.setattr(personal, "boosted", lambda x, n, right, of=personal.boosted: fitted.append(n.sum()) or of(x, n, right))
+    docs = spark.createDataFrame(corpus[0], "doc_id long, text string")
+    assert personal.learned(docs) == model
+    every = personal.proposed(docs).select(F.inline("candidates")).where("fold <> 0").count()
+    assert fitted == [every] and every > 100
